@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hdlang, mix, quality, secrets, simhash
+from . import hdlang, mix, quality, rules, secrets, simhash
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,5 +32,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hdlang.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_score, op4_near_copies, op9_secret_scan, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_quality_score, op4_near_copies, op9_secret_scan, op10_language)}
 ORACLES = {"op1_mix_sources": mix.REPORT_SQL, "op9_secret_scan": secrets.report_sql()}
