@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hdlang, mix, quality, rules, secrets, simhash
+from . import decontam, hdlang, mix, quality, rules, secrets, shards, simhash
 from .common import table
 
 
@@ -24,6 +24,20 @@ def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_shard_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.report(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.classify(table(spark, sf_dir, "documents"))
 
@@ -32,5 +46,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hdlang.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_quality_score, op4_near_copies, op9_secret_scan, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_quality_score, op4_near_copies, op5_decontaminate, op8_shard_compaction, op9_secret_scan, op10_language, pipeline)}
 ORACLES = {"op1_mix_sources": mix.REPORT_SQL, "op9_secret_scan": secrets.report_sql()}
