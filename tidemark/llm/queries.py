@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fmindex, hdlang, mix, quality, rules, secrets, shards, simhash
+from . import decontam, fmindex, hdlang, mix, quality, rules, secrets, shards, simhash, tokenbin
 from .common import table
 
 
@@ -28,6 +28,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenbin.read(tokenbin.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.deduplicated(table(spark, sf_dir, "documents"))
 
@@ -50,5 +56,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hdlang.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_quality_score, op4_near_copies, op5_decontaminate, op7_substring_dedup, op8_shard_compaction, op9_secret_scan, op10_language, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality_rules, op3_quality_score, op4_near_copies, op5_decontaminate, op6_token_files, op7_substring_dedup, op8_shard_compaction, op9_secret_scan, op10_language, pipeline)}
 ORACLES = {"op1_mix_sources": mix.REPORT_SQL, "op9_secret_scan": secrets.report_sql()}
