@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import bucket
 from .checks import ContractError
 
-EVERYTHING = Window.partitionBy()
+def _everything():
+    return Window.partitionBy()
 
 
 def wilson_interval(successes: int, trials: int, confidence: float = 0.95) -> tuple[float, float] | None:
@@ -88,7 +89,7 @@ def brier(df: DataFrame, score: str, target: str, weight: Column | None = None,
 
 def capacity_with_ties(hist: DataFrame, capacity: float) -> DataFrame:
     """The queue at the k-th score, k = max(1, ceil(n * capacity)); everything tied with it is reviewed."""
-    h = hist.withColumns({"seen": F.sum("n").over(_down(()).rowsBetween(Window.unboundedPreceding, 0)), "tp": F.sum("pos").over(_down(()).rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(EVERYTHING), "positives": F.sum("pos").over(EVERYTHING)})
+    h = hist.withColumns({"seen": F.sum("n").over(_down(()).rowsBetween(Window.unboundedPreceding, 0)), "tp": F.sum("pos").over(_down(()).rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(_everything()), "positives": F.sum("pos").over(_everything())})
     k = F.greatest(F.lit(1), F.ceil(F.col("total") * capacity))
     row = h.filter(F.col("seen") >= k).groupBy().agg(*[F.min_by(c, "seen").alias(c) for c in ("score", "tp", "total", "positives")], F.min("seen").alias("reviewed_rows")).filter("score is not null")
     ratio = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
@@ -109,7 +110,7 @@ def strict_top(df: DataFrame, score: str, target: str, key: str, fractions: tupl
     hist = histogram(df, score, target)
     for f in fractions:
         down = _down(()).rowsBetween(Window.unboundedPreceding, 0)
-        h = hist.withColumns({"seen": F.sum("n").over(down), "tp": F.sum("pos").over(down), "total": F.sum("n").over(EVERYTHING), "positives": F.sum("pos").over(EVERYTHING)})
+        h = hist.withColumns({"seen": F.sum("n").over(down), "tp": F.sum("pos").over(down), "total": F.sum("n").over(_everything()), "positives": F.sum("pos").over(_everything())})
         h = h.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("total") * f)).cast("long"))
         cut = h.filter(F.col("seen") >= F.col("k")).groupBy().agg(*[F.min_by(c, "seen").alias(c) for c in ("score", "n", "pos", "seen", "tp", "total", "positives", "k")])
         cut = cut.select("total", "positives", "k", F.col("score").alias("cut_"), (F.col("k") - F.col("seen") + F.col("n")).alias("room_"), (F.col("tp") - F.col("pos")).alias("above_"))
@@ -132,7 +133,7 @@ def weighted_top(df: DataFrame, score: str, target: str, weight: str, key: str,
     """
     h = histogram(df, score, target, weight=F.col(weight))
     before = _down(()).rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumns({"mass_before": F.coalesce(F.sum("mass").over(before), F.lit(0.0)), "all_mass": F.sum("mass").over(EVERYTHING), "all_pos": F.sum("pos_mass").over(EVERYTHING)})
+    h = h.withColumns({"mass_before": F.coalesce(F.sum("mass").over(before), F.lit(0.0)), "all_mass": F.sum("mass").over(_everything()), "all_pos": F.sum("pos_mass").over(_everything())})
     h = h.withColumn("limit_", F.col("all_mass") * fraction)
     whole = h.filter(F.col("mass_before") + F.col("mass") < F.col("limit_")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n0"), F.coalesce(F.sum("mass"), F.lit(0.0)).alias("m0"), F.coalesce(F.sum("pos_mass"), F.lit(0.0)).alias("p0"))
     edge = h.filter((F.col("mass_before") < F.col("limit_")) & (F.col("mass_before") + F.col("mass") >= F.col("limit_"))).select(F.col("score").alias("cut_"), "mass_before", "limit_", "all_mass", "all_pos")
