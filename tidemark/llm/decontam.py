@@ -71,7 +71,7 @@ def templates(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.nda
         ids.extend(map(words.__getitem__, w))
     at = np.array(ids, np.int64)
     lengths = np.array(lengths, np.int64)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    first = np.cumsum(lengths) - lengths
     kind, lit = np.array(words.kind or [0], np.int8)[at], np.array(words.hash or [0], np.uint64)[at]
     unit, ends = np.array(words.unit or [False], bool)[at], np.array(words.ends or [False], bool)[at]
     begins, after = np.ones(len(at), bool), np.zeros(len(at), bool)

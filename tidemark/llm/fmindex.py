@@ -115,7 +115,7 @@ class Wavelet:
 
 
 class FMIndex:
-    """Of a text of integers from 1 up, with 0 between segments; suffixes are told apart by their first `order` symbols."""
+    """Of a text of integers from 1 up, with 0 after each segment, the last too; suffixes are told apart by their first `order` symbols."""
 
     def __init__(self, text: np.ndarray, order: int = WINDOW):
         n = len(text)

@@ -15,7 +15,8 @@ triangle bounds prune little: within a band of set sizes the search compares blo
 of all classes.  RADIUS can be lowered where that costs too much.
 
 Defined results: the row with the smallest id of a group stays, one if several have
-it; texts without words are one group; a null id counts as a hash of the text.
+it; texts without words are one group; a null id counts as a number from a hash of the
+text, above the ids that are known.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ def _majority(h: np.ndarray, block: int = 1 << 16) -> int:
 
 
 def _node(text: str = "text") -> F.Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("id")
+    unknown = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2) + F.lit(1 << 62)
+    return F.coalesce(F.col("doc_id").cast("long"), unknown).alias("id")
 
 
 def sketches(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from .common import cut
 
 END, BLOCK, CHUNK = 2, 2048, 2048 * 2048
 SLOTS, GROUPS, STEP = 1024, 14, 8
-HEAD = struct.Struct("<4sIIQI")
+HEAD = "<4sIIQI"
 U64 = np.uint64
 LOW40, TOP = U64((1 << 40) - 1), U64(1 << 48)
 
@@ -201,7 +201,7 @@ def _crc(ids: np.ndarray) -> int:
 def write_chunk(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     blocks = encode_blocks(ids)
     index = zlib.compress(np.array([d is None for d in doc_ids], np.uint8).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u4").tobytes())
-    head = HEAD.pack(b"TMK1", len(doc_ids), len(blocks), len(ids), len(index)) + index
+    head = struct.pack(HEAD, b"TMK1", len(doc_ids), len(blocks), len(ids), len(index)) + index
     sums = [(min(BLOCK, len(ids) - i * BLOCK), len(b), _crc(ids[i * BLOCK : (i + 1) * BLOCK])) for i, b in enumerate(blocks)]
     head += np.array(sums, "<u4").tobytes()
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blocks)
@@ -209,15 +209,15 @@ def write_chunk(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
 
 def read_chunk(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc_ids, lengths, ids); raises ValueError if any checksum differs."""
-    magic, docs, n_blocks, n, size = HEAD.unpack_from(data)
+    magic, docs, n_blocks, n, size = struct.unpack_from(HEAD, data)
     if magic != b"TMK1":
         raise ValueError("not a token chunk")
-    at = HEAD.size + size
+    at = struct.calcsize(HEAD) + size
     table = np.frombuffer(data, "<u4", 3 * n_blocks, at).reshape(-1, 3)
     end = at + table.nbytes
     if struct.unpack_from("<I", data, end)[0] != zlib.crc32(data[:end]):
         raise ValueError("the chunk's head is damaged")
-    raw = zlib.decompress(data[HEAD.size : at])
+    raw = zlib.decompress(data[struct.calcsize(HEAD) : at])
     null, doc_ids, lengths = np.frombuffer(raw, np.uint8, docs), np.frombuffer(raw, "<i8", docs, docs), np.frombuffer(raw, "<u4", docs, 9 * docs)
     ends = end + 4 + np.cumsum(table[:, 1].astype(np.int64))
     ids = decode_blocks([data[e - s : e] for e, s in zip(ends.tolist(), table[:, 1].tolist(), strict=True)], n)
