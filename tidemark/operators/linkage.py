@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded
@@ -17,46 +17,47 @@ def prepared(companies: DataFrame) -> DataFrame:
     return companies.withColumns({"strict": strict_name(F.col("company_name")), "legal": legal_name(F.col("company_name"))})
 
 
-def prefilter(companies: DataFrame, events: DataFrame) -> DataFrame:
-    """Companies that any event could match by any key: one pass with a semi-join on exploded keys.
+def _tagged(cin: str, strict: str, legal: str) -> Column:
+    """The three keys with their kind, so a name never meets an identifier."""
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in enumerate((cin, strict, legal))])).alias("x")
 
-    The events' keys are made distinct first; keys carry their kind, so a name never
-    meets an identifier.
-    """
-    tagged = lambda d, c, s, l: F.array(F.struct(F.lit(0).alias("k"), d[c].alias("v")), F.struct(F.lit(1).alias("k"), d[s].alias("v")), F.struct(F.lit(2).alias("k"), d[l].alias("v")))  # noqa: E731, E741
-    keys = events.select(F.explode(tagged(events, "cin_candidate", "entity_name_normalized_strict", "entity_name_normalized_legal")).alias("x")).select("x.*").filter("v <> ''").distinct()
-    own = companies.select("company_snapshot_id", F.explode(tagged(companies, "cin", "strict", "legal")).alias("x")).select("company_snapshot_id", "x.*").filter("v <> ''")
-    hits = own.join(keys, ["k", "v"], "left_semi").select("company_snapshot_id").distinct()
+
+def _company_keys(companies: DataFrame) -> DataFrame:
+    """(company, k, v) of prepared companies; blank keys go before any join, so they never multiply."""
+    return companies.select("company_snapshot_id", "cin", "company_name", _tagged("cin", "strict", "legal")).select("company_snapshot_id", "cin", "company_name", "x.*").filter("v <> ''")
+
+
+def _event_keys(events: DataFrame) -> DataFrame:
+    return events.select("adverse_event_id", _tagged("cin_candidate", "entity_name_normalized_strict", "entity_name_normalized_legal")).select("adverse_event_id", "x.*").filter("v <> ''")
+
+
+def prefilter(companies: DataFrame, events: DataFrame) -> DataFrame:
+    """Prepared companies that any event could match by any key: one semi-join on distinct keys."""
+    keys = _event_keys(events).select("k", "v").distinct()
+    hits = _company_keys(companies).join(keys, ["k", "v"], "left_semi").select("company_snapshot_id").distinct()
     return companies.join(hits, "company_snapshot_id", "left_semi")
 
 
-def _by(companies: DataFrame, events: DataFrame, own: str, theirs: str, method: str, score: float) -> DataFrame:
-    """Candidates by one key; blank keys go before the join, so they never multiply.
+def candidates(companies: DataFrame, events: DataFrame) -> DataFrame:
+    """The cascade: an event that an identifier matches skips names, one that a strict name matches skips legal names.
 
-    Counts come from an aggregation and ranks from row_number alone, so Spark can
-    limit each group while it sorts.
+    A semi-join on the companies' distinct keys tells each event's first kind of key
+    that matches anything; only that key is then joined.  Counts come from an
+    aggregation and ranks from row_number alone, so Spark limits each group as it sorts.
     """
-    found = events.filter(F.col(theirs) != "").join(companies.filter(F.col(own) != ""), events[theirs] == companies[own]).select("adverse_event_id", "company_snapshot_id", "cin", "company_name")
+    own = _company_keys(prepared(companies))
+    first = _event_keys(events).join(own.select("k", "v").distinct(), ["k", "v"], "left_semi").groupBy("adverse_event_id").agg(F.min(F.struct("k", "v")).alias("x")).select("adverse_event_id", "x.*")
+    found = first.join(own, ["k", "v"])
     counts = found.groupBy("adverse_event_id").agg(F.count("*").cast("int").alias("candidate_count"))
     rank = F.row_number().over(Window.partitionBy("adverse_event_id").orderBy("company_snapshot_id"))
-    top = found.withColumn("candidate_rank", rank).filter(F.col("candidate_rank") <= MAX_CANDIDATES)
-    return top.join(counts, "adverse_event_id").select(
-        F.concat("adverse_event_id", F.lit(f":{method}:"), "company_snapshot_id").alias("entity_match_candidate_id"), "adverse_event_id", "company_snapshot_id",
-        F.col("cin").alias("company_cin"), "company_name", F.lit(method).alias("match_method"), F.lit(score).alias("match_score"), "candidate_rank", "candidate_count",
-        (F.col("candidate_count") > MAX_CANDIDATES).alias("candidate_set_truncated"),
+    top = found.withColumn("candidate_rank", rank).filter(F.col("candidate_rank") <= MAX_CANDIDATES).join(counts, "adverse_event_id")
+    method, score = (F.element_at(F.array(*[F.lit(m[i]) for m in METHODS]), F.col("k") + 1) for i in range(2))
+    return top.select(
+        F.concat("adverse_event_id", F.lit(":"), method, F.lit(":"), "company_snapshot_id").alias("entity_match_candidate_id"), "adverse_event_id", "company_snapshot_id", F.col("cin").alias("company_cin"), "company_name",
+        method.alias("match_method"), score.alias("match_score"), "candidate_rank", "candidate_count", (F.col("candidate_count") > MAX_CANDIDATES).alias("candidate_set_truncated"),
     )
 
 
-def candidates(companies: DataFrame, events: DataFrame) -> DataFrame:
-    """The cascade: events with an identifier match skip names, those with a strict match skip legal names."""
-    near = prepared(companies)
-    cin = _by(near, events, "cin", "cin_candidate", *METHODS[0])
-    rest = events.join(cin.select("adverse_event_id").distinct(), "adverse_event_id", "left_anti")
-    strict = _by(near, rest, "strict", "entity_name_normalized_strict", *METHODS[1])
-    rest = rest.join(strict.select("adverse_event_id").distinct(), "adverse_event_id", "left_anti")
-    return cin.unionByName(strict).unionByName(_by(near, rest, "legal", "entity_name_normalized_legal", *METHODS[2]))
-
-
 def decisions(events: DataFrame, found: DataFrame) -> DataFrame:
     """One row an event; several candidates are ambiguous whatever the method, and only a single exact identifier is eligible."""
     summary = found.groupBy("adverse_event_id").agg(
