@@ -19,7 +19,7 @@ are read, other columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,7 +56,7 @@ def fingerprint(text: bytes | None, k: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
-def fingerprints(docs: DataFrame, k: int = 3, also: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id and fp (64 bits as a signed long) of every row, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +150,8 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def dealt(distinct: DataFrame, radius: int, shard_rows: int = SHARD_ROWS, extra: str = "") -> DataFrame:
-    """(shard, fp, home) of distinct fingerprints; with extra, that long column goes along."""
+def dealt(distinct: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(shard, fp, home) of distinct fingerprints, once for their home and once for each shard that they visit."""
     n = distinct.count()
     part = F.pmod(F.xxhash64(F.lit(9), F.col("fp")), F.lit(1 << 20)) < int(min(1.0, SAMPLE_ROWS / max(n, 1)) * (1 << 20))
     sample = np.sort(np.array([r.fp for r in distinct.filter(part).select("fp").collect()], np.int64)).view(np.uint64)
@@ -161,10 +161,9 @@ def dealt(distinct: DataFrame, radius: int, shard_rows: int = SHARD_ROWS, extra:
         for b in batches:
             fps = np.asarray(b.column(0), np.int64)
             for shard, rows, home in router.route(fps.view(np.uint64)):
-                more = [pa.array(np.asarray(b.column(1))[rows])] if extra else []
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard, np.int32)), pa.array(fps[rows]), pa.array(home), *more], names=["shard", "fp", "home", *[extra] * bool(extra)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), shard, np.int32)), pa.array(fps[rows]), pa.array(home)], names=["shard", "fp", "home"])
 
-    return distinct.select("fp", *[extra] * bool(extra)).mapInArrow(run, "shard int, fp long, home boolean" + f", {extra} long" * bool(extra))
+    return distinct.select("fp").mapInArrow(run, "shard int, fp long, home boolean")
 
 
 def forest_edges(distinct: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
