@@ -228,3 +228,41 @@ def slice_metrics(df: DataFrame, column: str, score: str, target: str, refuse_fl
         raise ContractError(f"not evaluable: {bad[0][0]}")
     ap = average_precision(histogram(named, score, target, (column,)), (column,))
     return g.join(ap, column).select(column, "rows", "positive_rows", (F.col("positive_rows") / F.col("rows")).alias("base_rate"), "average_precision")
+
+
+def signal_report(df: DataFrame, signal: str, score: str, target: str, eligible: str, capacity: float = 0.1, cost: float = 500.0, slice_name: str = "overall") -> dict:
+    """Everything known of a signal on a slice: counts, rates with intervals, average precision, the review queue and its cost.
+
+    Two jobs: the counts, and the score histogram that the curve and the queue share.
+    """
+    e = df.filter(F.col(eligible)).select(F.col(score).cast("double").alias("score"), F.col(signal).cast("boolean").alias("signal"), F.col(target).cast("boolean").alias("target"))
+    counts = confusion(e, "signal", "target")
+    c = counts.crossJoin(e.agg(F.count_if(F.col("score").isNull()).alias("null_scores"))).first().asDict()
+    out = {"slice_name": slice_name, "signal_name": signal, "requested_review_capacity": capacity, "review_cost_per_false_positive": cost}
+    if not c["population_rows"]:
+        return out | {k: 0 for k in c if k.endswith("_rows")} | {"false_positive_review_cost": 0.0, "metric_status": "empty_evaluation_slice"}
+    if c.pop("null_scores"):
+        raise ContractError("scores cannot be null")
+    hist = histogram(e, "score", "target")
+    queue = capacity_with_ties(hist, capacity).crossJoin(average_precision(hist)).first().asDict()
+    intervals = {"base_rate_interval": (c["positive_rows"], c["population_rows"]), "precision_interval": (c["true_positive_rows"], c["flagged_rows"]), "recall_interval": (c["true_positive_rows"], c["positive_rows"])}
+    lift = queue["review_precision"] / c["base_rate"] if c["base_rate"] else None
+    return out | c | queue | {k: wilson_interval(*v) for k, v in intervals.items()} | {
+        "review_lift": lift, "false_positive_review_cost": c["false_positive_rows"] * cost,
+        "metric_status": "passed" if c["positive_rows"] and c["flagged_rows"] else "insufficient_positive_or_flagged_rows",
+    }
+
+
+def evaluation_report(observations: DataFrame, units: dict[str, dict], start: date, modulus: int = 5, remainder: int = 0, simulations: int = 500, **how) -> dict:
+    """Metrics and concentration of each unit {name: {signal, score, group}} on all five slices, and the held-out states."""
+    sliced = slices(observations, start, modulus, remainder)
+    states = [r[0] for r in observations.select("state_code").distinct().filter(F.coalesce("state_code", F.lit("")) != "").filter(bucket(F.col("state_code"), modulus) == remainder).orderBy("state_code").collect()]
+    out: dict = {"holdout_states": states, "units": {}}
+    for name, u in units.items():
+        out["units"][name] = {}
+        for s in SLICES:
+            part = sliced.filter(F.col("slice_name") == s)
+            m = signal_report(part, u["signal"], u["score"], "slice_target", "slice_eligible", slice_name=s, **how)
+            p = concentration_p_value(part.filter("slice_eligible"), u["group"], "slice_target", simulations).first()
+            out["units"][name][s] = m | {"p_value": p.p_value, "null_simulations": p.null_simulations}
+    return out
