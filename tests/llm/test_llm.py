@@ -267,7 +267,7 @@ def near_fixture(spark, copies=60):
 
 
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "FIRST_PARTNERS", 2)  # so that rounds are needed
+    monkeypatch.setattr(neardup, "SHARD_ROWS", 20)  # so that there are several shards, and slices of them
     df = near_fixture(spark)
     sets = {r.doc_id: shingles(r.text) for r in df.collect()}
     want = plain_components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))

@@ -22,8 +22,6 @@ rejects; repeated rows are judged alike.  All of it is native.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +37,7 @@ D = len(NOISE)
 #: Scatter of the H-subset of a normal sample in 6 dimensions is smaller by this factor.
 CONSISTENT = 1.36
 BROADCAST_CELLS = 20_000
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 SYMBOLS, BLANKS, CAPITALS, STOPS = "#*$%&|<>", " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?"
 
 
@@ -144,12 +143,19 @@ def estimates(rows: DataFrame) -> DataFrame:
     return params.withColumn("_k", first).filter("_k = 1").drop("_k", "start", "logdet")
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """docs with the base statistics, distance2 (null without an estimate) and kept; reserved prefix `_q_`, other columns pass through."""
-    wide = base_statistics(docs).select("*", *[x.alias(f"_q_x{i}") for i, x in enumerate(vector())])
+def judged(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """docs with the base statistics, distance2 (null without an estimate) and kept; reserved prefix `_q_`, other columns pass through but for those in `without`.
+
+    Texts are read once; docs with their statistics go to the shared folder, and everything after reads that.
+    """
+    names = {f"x{i}": f"_q_x{i}" for i in range(D)}
+    if clash := set(names) & set(docs.columns):
+        raise ValueError(f"columns named like a statistic: {sorted(clash)}")
+    slim = [c for c in docs.columns if c not in without]
+    wide = cut(base_statistics(docs).select(*[F.col(f"`{c}`") for c in slim], *BASE, *vector()), "quality-statistics")
     cell = lambda *v: F.to_json(F.struct(F.lit(len(v)).alias("level"), *[c.alias(f"k{i}") for i, c in enumerate(v)]))
     levels = [cell(F.col("lang"), F.col("source")), cell(F.col("lang")), cell()]
-    stats = cut(wide.filter(~F.col("base_failed")).select("lang", "source", *[F.col(f"_q_x{i}").alias(f"x{i}") for i in range(D)]), "quality-vectors")
+    stats = wide.filter(~F.col("base_failed")).select("lang", "source", *names)
     sizes = stats.groupBy("lang", "source").agg(F.count("*").alias("n2"))
     sizes = sizes.withColumn("n1", F.sum("n2").over(Window.partitionBy("lang"))).withColumn("n0", F.sum("n2").over(Window.partitionBy()))
     pick = F.when(F.col("n2") >= MIN_ROWS, levels[0]).when(F.col("n1") >= MIN_ROWS, levels[1]).when(F.col("n0") >= MIN_ROWS, levels[2])
@@ -157,21 +163,17 @@ def judged(docs: DataFrame) -> DataFrame:
     wanted = groups.filter("cell is not null").select("cell").distinct()
     small = groups.count() <= BROADCAST_CELLS
     hint = F.broadcast if small else lambda d: d
-    x = [f"x{i}" for i in range(D)]
-    rows = stats.select(F.explode(F.array(*levels)).alias("cell"), *x).join(hint(wanted), "cell", "left_semi")
+    rows = stats.select(F.explode(F.array(*levels)).alias("cell"), *names).join(hint(wanted), "cell", "left_semi")
     fitted = cut(groups.join(estimates(rows), "cell"), "mcd-fitted")
     same = F.col("lang").eqNullSafe(F.col("_q_lang")) & F.col("source").eqNullSafe(F.col("_q_source"))
-    named = wide.select("*", *[F.col(f"_q_x{i}").alias(f"x{i}") for i in range(D)]) if not set(x) & set(docs.columns) else None
-    if named is None:
-        raise ValueError(f"columns named like a statistic: {sorted(set(x) & set(docs.columns))}")
-    out = named.join(hint(fitted), same, "left").withColumn("distance2", F.round(distance(), 6))
+    out = wide.join(hint(fitted), same, "left").withColumn("distance2", F.round(distance(), 6))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept")
+    return out.select(*[F.col(f"`{c}`") for c in slim], *BASE, "distance2", "kept")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept and distance2 of every row."""
-    return judged(docs.select("doc_id", "text", "lang", "source")).drop("text", "lang", "source")
+    return judged(docs.select("doc_id", "text", "lang", "source"), without=("text",)).drop("lang", "source")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
