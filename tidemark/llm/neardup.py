@@ -5,10 +5,9 @@ classes is a candidate if their set sizes allow the similarity, their fingerprin
 differ in at most RADIUS bits, and so do second fingerprints from remixed hashes.
 Candidates are checked by the exact Jaccard similarity of their shingle sets.
 
-A shard never emits all pairs of a group: in each round a class names its next few
-candidates in a component other than its own, the checked links join components, and
-classes with candidates left go on from there.  A group of true copies is one
-component after a round or two; every candidate is checked or already connected.
+A shard never emits pairs: it first names the classes that have a candidate, then gets
+their shingle sets, checks every candidate in place, and its links leave it as a
+spanning forest.  Every candidate is checked, however large its group.
 
 At a similarity of 0.8 fingerprints differ in about 10 bits, and with that radius the
 triangle bounds prune little: within a band of set sizes the search compares blocks
@@ -30,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .simhash import Router, components, shingle_hashes, tree_pairs
+from .simhash import Router, components, forest, shingle_hashes, tree_pairs
 
 SHINGLE, SIMILARITY, RADIUS, RADIUS2 = 5, 0.8, 14, 18
-SHARD_ROWS, SAMPLE_ROWS, FIRST_PARTNERS, BROADCAST_IDS = 8192, 50_000, 8, 500_000
+SHARD_ROWS, QUERY_ROWS, SAMPLE_ROWS, BROADCAST_IDS = 8192, 512, 50_000, 500_000
 
 
 def _set(text: bytes | None) -> np.ndarray:
@@ -76,7 +75,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _dealt(classes: DataFrame, radius: int) -> DataFrame:
-    """(part, id, fp, fp2, n, home, done) of every class in its own shard and those that it visits in its band of sizes and the next.
+    """(part, id, fp, fp2, n, home) of every class in its own shard and those that it visits in its band of sizes and the next.
 
     Bands are 1 / SIMILARITY wide, so similar sets are in the same band or neighbours.
     """
@@ -103,42 +102,36 @@ def _dealt(classes: DataFrame, radius: int) -> DataFrame:
     return classes.select("id", "fp", "fp2", "n", "band").mapInArrow(run, "part long, id long, fp long, fp2 long, n long, home boolean")
 
 
-def _candidates(visits: DataFrame, partners: int, radius: int, radius2: int, similarity: float) -> DataFrame:
-    """From visits with root and cursor (null: finished): (part, a, b, last), the next partners of each class; last is set on the final row of an unfinished class."""
+def _pairs(p: pd.DataFrame, q: pd.DataFrame, radius: int, radius2: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions in q, positions in p) of candidates: both fingerprints near, sizes that allow the similarity."""
+    arr = lambda d, c: d[c].to_numpy(np.int64)
+    pid, qid, pn, qn = arr(p, "id"), arr(q, "id"), arr(p, "n"), arr(q, "n")
+    p2, q2 = arr(p, "fp2").view(np.uint64), arr(q, "fp2").view(np.uint64)
+    for x, y in tree_pairs(arr(p, "fp").view(np.uint64), arr(q, "fp").view(np.uint64), radius):
+        ok = (qid[x] != pid[y]) & (np.minimum(pn[y], qn[x]) >= similarity * np.maximum(pn[y], qn[x]))
+        x, y = x[ok], y[ok]
+        ok = np.bitwise_count(p2[y] ^ q2[x]) <= radius2
+        yield x[ok], y[ok]
+
+
+def _involved(visits: DataFrame, radius: int, radius2: int, similarity: float) -> DataFrame:
+    """The visits that have a candidate in their shard: (part, id, fp, fp2, n, home)."""
 
     def shard(g: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"part": [], "a": [], "b": [], "more": []}).astype({"part": "int64", "a": "int64", "b": "int64", "more": "bool"})
-        g = g.sort_values("id", kind="stable")
-        p, q = g[g["home"]], g[g["cursor"].notna()]
-        if not len(p) or not len(q):
-            return none
-        arr = lambda d, c: d[c].to_numpy(np.int64)
-        pid, qid, pn, qn, proot, qroot, cur = arr(p, "id"), arr(q, "id"), arr(p, "n"), arr(q, "n"), arr(p, "root"), arr(q, "root"), arr(q, "cursor")
-        p2, q2 = arr(p, "fp2").view(np.uint64), arr(q, "fp2").view(np.uint64)
-        a, b, first = [], [], np.zeros(len(q), np.int64)
-        for x, y in tree_pairs(arr(p, "fp").view(np.uint64), arr(q, "fp").view(np.uint64), radius):
-            ok = (qid[x] != pid[y]) & (qroot[x] != proot[y]) & (pid[y] > cur[x]) & (np.minimum(pn[y], qn[x]) >= similarity * np.maximum(pn[y], qn[x]))
-            x, y = x[ok], y[ok]
-            ok = np.bitwise_count(p2[y] ^ q2[x]) <= radius2
-            a.append(x[ok]), b.append(y[ok])
-        if not a:
-            return none
-        x, y = np.concatenate(a), np.concatenate(b)
-        o = np.lexsort((pid[y], x))
-        x, y = x[o], y[o]
-        first = np.searchsorted(x, x, "left")
-        rank = np.arange(len(x)) - first
-        size = np.searchsorted(x, x, "right") - first
-        take = rank < partners
-        more = (rank == partners - 1) & (size > partners)
-        return pd.DataFrame({"part": np.full(int(take.sum()), int(g["part"].iloc[0]), np.int64), "a": qid[x[take]], "b": pid[y[take]], "more": more[take]})
-
-    return visits.groupBy("part").applyInPandas(shard, "part long, a long, b long, more boolean")
-
-
-def _similar(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of class ids whose shingle sets are similar enough; sets are made for the classes in pairs only."""
-    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "dedup-wanted")
+        g = g.reset_index(drop=True)
+        homes = np.nonzero(g["home"].to_numpy(bool))[0]
+        on = np.zeros(len(g), bool)
+        for x, y in _pairs(g.iloc[homes], g, radius, radius2, similarity):
+            on[x] = True
+            on[homes[y]] = True
+        return g[on]
+
+    return visits.groupBy("part").applyInPandas(shard, "part long, id long, fp long, fp2 long, n long, home boolean")
+
+
+def _sets(docs: DataFrame, involved: DataFrame) -> DataFrame:
+    """(id, s): the sorted shingle hashes of the involved classes, from one text of each."""
+    wanted = cut(involved.select("id").distinct(), "dedup-wanted")
     few = wanted.count() <= BROADCAST_IDS
     rows = docs.select(_node(), "text").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
 
@@ -148,11 +141,51 @@ def _similar(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], names=["id", "s"])
 
-    # a class id stands for one text; where rows repeat it, any of them will do as their sets are equal or they share an id
-    sets = cut(rows.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"]), "dedup-sets")
-    both = pairs.select("a", "b").distinct().join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # rows that repeat an id have, as members of one class, equal sets; if their texts differ, any of them stands for the id
+    return cut(rows.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"]), "dedup-sets")
+
+
+def _checked(involved: DataFrame, sets: DataFrame, radius: int, radius2: int, similarity: float) -> DataFrame:
+    """Edges (u, v) of a spanning forest of each shard's links: candidates whose exact Jaccard similarity is enough.
+
+    Shared shingles are counted from postings, one query against all residents at a
+    time.  Shards with many visitors are worked in slices, each with all residents.
+    """
+    visitors = involved.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("home")) / SHARD_ROWS)).cast("int").alias("slices"))
+    dealt = involved.join(visitors, "part")
+    own = F.when(F.col("home"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")))
+    dealt = dealt.withColumn("slice", F.explode(own)).drop("slices").join(sets, "id")
+
+    def shard(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("home", ascending=False, kind="stable").reset_index(drop=True)
+        homes, sizes = int(g["home"].sum()), np.array([len(s) for s in g["s"]], np.int64)
+        if not homes:
+            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+        flat = np.concatenate([np.asarray(s, np.int64) for s in g["s"][:homes]])
+        owner = np.repeat(np.arange(homes, dtype=np.int32), sizes[:homes])
+        order = np.argsort(flat, kind="stable")
+        keys, owner = flat[order], owner[order]
+        u, v = [], []
+        for block in range(0, len(g), QUERY_ROWS):  # pairs in memory: at most those of a block of queries
+            found = list(_pairs(g.iloc[:homes], g.iloc[block : block + QUERY_ROWS], radius, radius2, similarity))
+            x, y = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(2))
+            order = np.argsort(x, kind="stable")
+            x, y = x[order] + block, y[order]
+            edges = np.nonzero(np.diff(x, prepend=-1))[0].tolist()
+            for i, j in zip(edges, [*edges[1:], len(x)], strict=True):
+                q, partners = int(x[i]), y[i:j]
+                s = np.asarray(g["s"].iat[q], np.int64)
+                lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                common = np.bincount(owner[at], minlength=homes)[partners]
+                ok = common >= similarity * (sizes[q] + sizes[partners] - common)
+                u.append(np.full(int(ok.sum()), q)), v.append(partners[ok])
+        root = forest(np.concatenate([*u, np.zeros(0, np.int64)]), np.concatenate([*v, np.zeros(0, np.int64)]), len(g))
+        on, ids = root != np.arange(len(g)), g["id"].to_numpy(np.int64)
+        return pd.DataFrame({"u": ids[on], "v": ids[root[on]]})
+
+    return dealt.groupBy("part", "slice").applyInPandas(shard, "u long, v long")
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, radius2: int = RADIUS2) -> DataFrame:
@@ -160,28 +193,9 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
     rows = sketches(docs)
     named = cut(rows.groupBy("fp", "key").agg(F.min("id").alias("id"), F.first("fp2").alias("fp2"), F.first("n").alias("n")), "dedup-classes")
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-float(np.log(similarity)))).cast("long")
-    visits = cut(_dealt(named.filter("n > 0").withColumn("band", band), radius), "dedup-visits")
-    lowest = -(1 << 63)
-    state = visits.select("*", F.col("id").alias("root"), F.lit(lowest).alias("cursor"))
-    links, roots, partners = None, None, FIRST_PARTNERS
-    while True:
-        found = cut(_candidates(state, partners, radius, radius2, similarity), "dedup-candidates")
-        sized = found.agg(F.count("*"), F.count_if("more")).first()
-        if not sized[0]:
-            break
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = cut(_similar(docs, pairs, similarity), "dedup-links")
-        links = new if links is None else links.union(new)
-        if not sized[1]:
-            break
-        roots = cut(components(links, "dedup-components"), "dedup-roots")
-        on = found.filter("more").select("part", F.col("a").alias("id"), F.col("b").alias("cursor"))
-        state = cut(visits.join(on, ["part", "id"], "left").join(roots, F.col("id") == F.col("node"), "left").select("part", "id", "fp", "fp2", "n", "home", F.coalesce("root", "id").alias("root"), "cursor"), "dedup-state")
-        partners *= 4
-    if links is None:
-        joined = named.select("fp", "key", F.col("id").alias("stays"))
-    else:
-        joined = named.join(components(links, "dedup-components"), F.col("id") == F.col("node"), "left").select("fp", "key", F.coalesce("root", "id").alias("stays"))
+    involved = cut(_involved(_dealt(named.filter("n > 0").withColumn("band", band), radius), radius, radius2, similarity), "dedup-involved")
+    links = _checked(involved, _sets(docs, involved), radius, radius2, similarity)
+    joined = named.join(components(links, "dedup-components"), F.col("id") == F.col("node"), "left").select("fp", "key", F.coalesce("root", "id").alias("stays"))
     return rows.join(joined, ["fp", "key"]).select("id", "stays")
 
 
