@@ -200,12 +200,18 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that stay, one of each group, with docs' columns."""
+    """The rows of docs that stay, one of each group, with docs' columns.
+
+    Texts move only if there are more than BROADCAST_IDS ids to take out: the ids that
+    go are counted first, and up to that bound (under 32 MB) they are broadcast.
+    """
     judged = cut(groups(docs, **how), "dedup-groups")
-    stay = cut(judged.filter("id = stays").groupBy("id").agg(F.count("*").alias("n")), "dedup-stay")
-    keep = lambda few, rows: docs.join(rows.select(F.col("id").alias("_dedup_id")), _node() == F.col("_dedup_id"), "left_semi")
-    once = keep(True, stay.filter("n = 1"))
-    again = stay.filter("n > 1")
+    again = cut(judged.filter("id = stays").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("_dedup_id")), "dedup-again")
+    out = cut(judged.filter("id <> stays").select(F.col("id").alias("_dedup_id")).union(again).distinct(), "dedup-out")
+    hint = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    same = _node() == F.col("_dedup_id")
+    once = docs.join(hint(out), same, "left_anti")
     if again.isEmpty():
         return once
-    return once.unionByName(keep(False, again).withColumn("_dedup_id", _node()).dropDuplicates(["_dedup_id"]).drop("_dedup_id"))
+    repeated = docs.join(hint(again), same, "left_semi").withColumn("_dedup_id", _node())
+    return once.unionByName(repeated.dropDuplicates(["_dedup_id"]).drop("_dedup_id"))
