@@ -5,7 +5,8 @@ window of WINDOW words is its smallest GRAM-word hash, so equal windows have equ
 anchors.  That routes text to shards without any all-against-all streaming:
 
 1. Every document names its anchors; those named by one document only are dropped
-   (their windows cannot repeat elsewhere).
+   (their windows cannot repeat elsewhere).  Anchors that repeat within a batch are
+   known on the spot; the rest travel once, packed, to be compared across batches.
 2. Runs of windows with a shared anchor go to the anchor's shard as segments, equal
    segments once with their smallest doc_id.  Anchors of more than HOT_DOCUMENTS
    documents are dealt by whole windows instead, so that no shard gathers them.
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-WINDOW, GRAM, HOT_DOCUMENTS, SHARD_WORDS = 13, 4, 2000, 1_500_000
-NO_ID = (1 << 63) - 1
+WINDOW, GRAM, HOT_DOCUMENTS, SHARD_WORDS, PART_BYTES = 13, 6, 2000, 1_500_000, 50_000_000
+#: Rows without an id stand from here on, above all ids.
+NO_ID = 1 << 62
 
 
 def anchors(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
@@ -60,26 +62,69 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """id, row (a hash of the text), doc_id, n_words, whole_sha256 and the distinct anchors of every row, written once."""
+def measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, row (a hash of the text), doc_id, n_words and whole_sha256 of every row; and (id, anchor) of the anchors that several ids name.
+
+    An anchor that two ids of a batch name is marked there, and only its smallest and
+    largest id travel on; so a very common anchor costs its part two rows a batch.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, -(-size // PART_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = lambda n: pa.nulls(n, pa.int64())
+        names = ["id", "row", "doc_id", "n_words", "sha", "part", "anchors", "ids"]
+        lists = pa.list_(pa.int64())
         for b in batches:
-            n, sha, ends, found = [], [], [0], []
-            for t in b.column(3).cast(pa.binary()).to_pylist():
+            n, sha, found, owner = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            ids = np.asarray(b.column(0), np.int64)
+            for k, t in enumerate(b.column(3).cast(pa.binary()).to_pylist()):
                 w = t.split() if t else []
-                a = np.unique(anchors(w))
-                n.append(len(w)), sha.append(_sha(w)), ends.append(ends[-1] + len(a)), found.append(a)
-            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(sha), flat], names=["id", "row", "doc_id", "n_words", "sha", "anchors"])
+                u = np.unique(anchors(w))
+                n.append(len(w)), sha.append(_sha(w)), found.append(u), owner.append(np.full(len(u), ids[k]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(sha), none(len(n)), pa.nulls(len(n), lists), pa.nulls(len(n), lists)], names=names)
+            a, o = np.concatenate(found), np.concatenate(owner)
+            shared, first, last = _compared(a, o)
+            order = np.lexsort((o, a))
+            a, o, shared = a[order], o[order], shared[order]
+            send = ~shared | first | last
+            part = (a.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            out = [(-1, a[shared], o[shared])] + [(int(p), a[send & (part == p)], o[send & (part == p)]) for p in np.unique(part)]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x[1]) for x in out])]).astype(np.int32))
+            cols = [pa.array([x[0] for x in out], pa.int64()), *[pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[i] for x in out]))) for i in (1, 2)]]
+            yield pa.RecordBatch.from_arrays([none(len(out)), none(len(out)), pa.nulls(len(out), b.column(2).type), none(len(out)), pa.nulls(len(out), pa.string()), *cols], names=names)
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        a, o = (np.concatenate([np.asarray(x, np.int64) for x in g[c]]) for c in ("anchors", "ids"))
+        shared, _, _ = _compared(a, o)
+        order = np.lexsort((o, a))
+        return pd.DataFrame({"id": o[order][shared[order]], "anchor": a[order][shared[order]]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(*_keys(), "doc_id", "text")
-    return cut(rows.mapInArrow(run, f"id long, row long, doc_id {kind}, n_words long, sha string, anchors array<long>"), "fm-anchors")
+    both = cut(rows.mapInArrow(run, f"id long, row long, doc_id {kind}, n_words long, sha string, part long, anchors array<long>, ids array<long>"), "fm-anchors")
+    here = both.filter("part = -1").select(F.explode(F.arrays_zip("ids", "anchors")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.anchors").alias("anchor"))
+    across = both.filter("part >= 0").select("part", "anchors", "ids").groupBy("part").applyInPandas(meet, "id long, anchor long")
+    return both.filter("part is null").select("id", "row", "doc_id", "n_words", "sha"), cut(here.union(across), "fm-marks")
+
+
+def _compared(a: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether several ids name the anchor, in the given order; and in (anchor, id) order, whether a row is its anchor's first or last."""
+    order = np.lexsort((ids, a))
+    x, o = a[order], ids[order]
+    first = np.ones(len(x), bool)
+    first[1:] = x[1:] != x[:-1]
+    last = np.append(first[1:], np.ones(min(1, len(x)), bool))
+    group = np.cumsum(first) - 1
+    differ = o[last] != o[first]
+    shared = np.zeros(len(x), bool)
+    shared[order] = differ[group]
+    return shared, first, last
 
 
 def _keys() -> list:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row")]
+    t = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(t, 2)).alias("id"), t.alias("row")]
 
 
 class Wavelet:
@@ -167,7 +212,7 @@ def smallest_owner(segments: list[bytes], owners: np.ndarray, window: int = WIND
             end = np.zeros(len(u), np.int64)
             end[back] = hi[full]
             cuts = np.stack([u, end], 1).ravel()
-            low = np.minimum.reduceat(np.concatenate([own, [NO_ID]]), cuts)[::2]
+            low = np.minimum.reduceat(np.concatenate([own, [(1 << 63) - 1]]), cuts)[::2]
             out[full] = np.minimum(out[full], low[back])
     return np.split(out, np.cumsum(n_windows)[:-1])
 
@@ -181,6 +226,8 @@ def _segments(cand: DataFrame) -> DataFrame:
             for id_, row, t, shared, hot in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 w = t.split()
                 a = anchors(w)
+                if not len(a):
+                    continue
                 edges = np.nonzero(np.diff(a, prepend=a[0] - 1 if a[0] > -(1 << 62) else a[0] + 1))[0]
                 ends = np.append(edges[1:], len(a))
                 hot_set = {x for x, y in zip(shared, hot, strict=True) if y}
@@ -200,15 +247,13 @@ def _segments(cand: DataFrame) -> DataFrame:
     return cand.select("id", "row", "text", "shared", "hot").mapInArrow(run, "key long, id long, row long, start int, segment binary")
 
 
-def removals(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidate rows with their text, and (id, row, starts) of the windows to remove."""
-    each = found.select("id", "row", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("low < high")
-    shared = cut(shared.select("anchor", "low", (F.col("n") > HOT_DOCUMENTS).alias("hot")), "fm-shared")
-    lists = each.join(shared, "anchor").groupBy("id", "row").agg(F.collect_list(F.struct("anchor", "hot")).alias("x"))
-    lists = lists.select("id", "row", F.col("x.anchor").alias("shared"), F.col("x.hot").alias("hot"))
+    hot = marks.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_DOCUMENTS).select("anchor", F.lit(True).alias("hot"))
+    lists = marks.join(hot, "anchor", "left").groupBy("id").agg(F.collect_set(F.struct("anchor", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("x"))
+    lists = lists.select("id", F.col("x.anchor").alias("shared"), F.col("x.hot").alias("hot"))
     text = docs.select(*_keys(), "text").filter(F.col("text").isNotNull())
-    cand = cut(text.join(lists, ["id", "row"]).dropDuplicates(["id", "row"]), "fm-candidates")
+    cand = cut(text.join(lists, "id").dropDuplicates(["id", "row"]), "fm-candidates")
     segs = cut(_segments(cand), "fm-segments")
     digest = F.xxhash64(F.lit(1), "segment")
     distinct = segs.groupBy("key", "segment").agg(F.min("id").alias("owner")).withColumn("seg", digest)
@@ -222,15 +267,15 @@ def removals(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     owned = dealt.groupBy("shard").applyInPandas(shard, "key long, seg long, owners array<long>")
     member = segs.select("key", digest.alias("seg"), "id", "row", "start").join(owned, ["key", "seg"])
-    gone = member.select("id", "row", "start", F.posexplode("owners").alias("i", "owner")).filter("owner < id")
+    gone = member.select("id", "row", "start", F.posexplode("owners").alias("i", "owner")).filter(F.col("owner") < F.least("id", F.lit(NO_ID)))
     return cand, gone.groupBy("id", "row").agg(F.collect_set(F.col("start") + F.col("i")).alias("starts"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     docs = docs.select("doc_id", "text")
-    found = measured(docs)
-    cand, gone = removals(docs, found)
+    found, marks = measured(docs)
+    cand, gone = removals(docs, marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
