@@ -277,6 +277,29 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == df.columns
 
 
+def test_similar_texts_with_far_fingerprints_meet(spark):
+    """Pairs at 0.8 or a little more whose fingerprints differ beyond the radius, a passage that all texts share, and pairs just below 0.8."""
+    rng, texts, found = random.Random(23), [], collections.Counter()
+    line = " ".join(f"w{i}" for i in range(12))
+    for _ in range(4000):
+        t = [f"{rng.randrange(10**6)}" for _ in range(rng.choice([40, 120]))]
+        x = list(t)
+        for k in rng.sample(range(5, len(x) - 5), len(x) // 40 + rng.randint(0, 1)):
+            x[k] = "other"
+        two = [f"{line} {' '.join(y)}" for y in (t, x)]
+        a, b = map(shingles, two)
+        similar = len(a & b) >= 0.8 * len(a | b)
+        bits = bin(neardup._majority(neardup._set(two[0].encode())) ^ neardup._majority(neardup._set(two[1].encode()))).count("1")
+        if found[similar] < 6 and (not similar or bits > neardup.RADIUS):
+            found[similar] += 1
+            texts += two
+    assert found == {True: 6, False: 6}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    want = plain_components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert {r.id: r.stays for r in neardup.groups(df).collect()} == want and len(set(want.values())) == len(texts) - 6
+
+
 def test_one_of_each_group_stays(odd):
     got = collections.Counter(r.doc_id for r in neardup.deduplicate(odd).collect())
     assert got[0] + got[1] + got[2] <= 1 and got[5] == 0 and got[4] == 1 and got[8] == 1 and max(got.values()) == 1

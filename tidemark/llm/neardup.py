@@ -13,6 +13,12 @@ At a similarity of 0.8 fingerprints differ in about 10 bits, and with that radiu
 triangle bounds prune little: within a band of set sizes the search compares blocks
 of all classes.  RADIUS can be lowered where that costs too much.
 
+Similar pairs beyond the radius are found by an exact prefix join: in any one order of
+all shingles, two sets as similar as wanted share one of their first
+n - ceil(similarity * n) + 1 shingles.  Shingles frequent in a sample come last in that
+order.  Only classes that the fingerprints left in different groups become pairs, and
+those are checked by the exact similarity too, so no link is lost.
+
 Defined results: the row with the smallest id of a group stays, one if several have
 it; texts without words are one group; a null id counts as a number from a hash of the
 text, above the ids that are known.
@@ -20,6 +26,7 @@ text, above the ids that are known.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +40,8 @@ from .simhash import Router, components, forest, shingle_hashes, tree_pairs
 
 SHINGLE, SIMILARITY, RADIUS, RADIUS2 = 5, 0.8, 14, 18
 SHARD_ROWS, QUERY_ROWS, SAMPLE_ROWS, BROADCAST_IDS = 8192, 512, 50_000, 500_000
+#: The order of shingles: texts in the sample, texts in it that make a shingle frequent, frequent shingles at most.
+ORDER_ROWS, FREQUENT, FREQUENT_SHINGLES = 10_000, 3, 200_000
 
 
 def _set(text: bytes | None) -> np.ndarray:
@@ -52,26 +61,60 @@ def _majority(h: np.ndarray, block: int = 1 << 16) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]) if len(h) else 0
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+
+
 def _node(text: str = "text") -> F.Column:
     unknown = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2) + F.lit(1 << 62)
     return F.coalesce(F.col("doc_id").cast("long"), unknown).alias("id")
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """id, fp, fp2, key (a hash of the shingle set) and n (its size) of every row, written once."""
+def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingle hashes, texts of a sample that hold them); they only set the order of shingles, so results do not hang on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_set(t) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
+
+    share = int(min(1.0, ORDER_ROWS / max(docs.count(), 1)) * (1 << 20))
+    sample = docs.filter(F.pmod(F.xxhash64(F.lit(7), _node()), F.lit(1 << 20)) < share).select("text")
+    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    got = counts.orderBy(F.desc("n"), "h").limit(FREQUENT_SHINGLES).toArrow()
+    h, n = (np.asarray(got.column(i).combine_chunks(), np.int64) for i in range(2))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
+
+
+def _prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones before frequent ones: similar sets share one of them."""
+    n, (keys, counts) = len(s), frequent
+    size = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    if not len(keys) or not n:
+        return s[:size]
+    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+    return s[np.argsort(np.where(keys[at] == s, counts[at], 0), kind="stable")[:size]]
+
+
+def sketches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """id, fp, fp2, key (a hash of the shingle set), n (its size) and prefix of every row, written once."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            out = []
+            out, first = [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 s = _set(t)
+                first.append(_prefix(s, frequent.value, similarity).view(np.int64))
                 out.append((_majority(s), _majority(_remixed(s)), xxhash.xxh64_intdigest(s.tobytes(), 1), len(s)))
             a = np.array(out, np.uint64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(a[:, i]).view(np.int64)) for i in range(4)]], names=["id", "fp", "fp2", "key", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(a[:, i]).view(np.int64)) for i in range(4)], _lists(first)], names=["id", "fp", "fp2", "key", "n", "prefix"])
 
-    return cut(docs.select(_node(), "text").mapInArrow(run, "id long, fp long, fp2 long, key long, n long"), "dedup-sketches")
+    return cut(docs.select(_node(), "text").mapInArrow(run, "id long, fp long, fp2 long, key long, n long, prefix array<long>"), "dedup-sketches")
 
 
 def _dealt(classes: DataFrame, radius: int) -> DataFrame:
@@ -138,8 +181,7 @@ def _sets(docs: DataFrame, involved: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [_set(t).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(sets)], names=["id", "s"])
 
     # rows that repeat an id have, as members of one class, equal sets; if their texts differ, any of them stands for the id
     return cut(rows.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"]), "dedup-sets")
@@ -188,15 +230,39 @@ def _checked(involved: DataFrame, sets: DataFrame, radius: int, radius2: int, si
     return dealt.groupBy("part", "slice").applyInPandas(shard, "u long, v long")
 
 
+def _beyond(docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) between classes (id, n, prefix, root) of different roots whose exact Jaccard similarity is enough.
+
+    A shingle that only one root's prefixes hold goes first, so a group of copies makes
+    no pairs of its own.
+    """
+    posts = classes.select("id", "n", "root", F.explode("prefix").alias("h"))
+    shared = cut(posts.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("h"), "dedup-shared")
+    posts = posts.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "h", "left_semi")
+    posts = cut(posts.groupBy("h", "root").agg(F.collect_list(F.struct("id", "n")).alias("m")), "dedup-posts")
+    other = posts.select("h", F.col("root").alias("root2"), F.col("m").alias("m2"))
+    both = posts.join(other, "h").filter("root < root2").select(F.explode("m").alias("x"), "m2").select("x", F.explode("m2").alias("y"))
+    sized = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
+    pairs = cut(both.filter(sized).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct(), "dedup-pairs")
+    sets = _sets(docs, pairs.select(F.col("u").alias("id")).union(pairs.select("v")))
+    met = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("s")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("s2")), "v")
+    met = met.select("u", "v", F.size(F.array_intersect("s", "s2")).alias("common"), (F.size("s") + F.size("s2")).alias("total"))
+    return met.filter(F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("u", "v")
+
+
 def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, radius2: int = RADIUS2) -> DataFrame:
     """(id, stays): every row's id and the id that stays for its group."""
-    rows = sketches(docs)
-    named = cut(rows.groupBy("fp", "key").agg(F.min("id").alias("id"), F.first("fp2").alias("fp2"), F.first("n").alias("n")), "dedup-classes")
+    rows = sketches(docs, similarity)
+    named = cut(rows.groupBy("fp", "key").agg(F.min("id").alias("id"), F.first("fp2").alias("fp2"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "dedup-classes")
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-float(np.log(similarity)))).cast("long")
     involved = cut(_involved(_dealt(named.filter("n > 0").withColumn("band", band), radius), radius, radius2, similarity), "dedup-involved")
     links = _checked(involved, _sets(docs, involved), radius, radius2, similarity)
-    joined = named.join(components(links, "dedup-components"), F.col("id") == F.col("node"), "left").select("fp", "key", F.coalesce("root", "id").alias("stays"))
-    return rows.join(joined, ["fp", "key"]).select("id", "stays")
+    near = cut(components(links, "dedup-components"), "dedup-near")
+    rooted = lambda roots: named.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    beyond = _beyond(docs, rooted(near).select("id", "n", "prefix", "root"), similarity)
+    far = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(beyond), "dedup-components")
+    joined = rooted(far).select("fp", "key", F.col("root").alias("stays"))
+    return rows.select("id", "fp", "key").join(joined, ["fp", "key"]).select("id", "stays")
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
