@@ -328,6 +328,18 @@ def test_templates_catch_other_numbers_and_names(spark, odd):
     assert not any(r.contaminated for r in decontam.report(odd, bench.limit(0)).collect())
 
 
+def leaks(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontam.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_names_that_begin_sentences_match(spark):
+    items = ["Every morning the old baker carries nine warm loaves to the village market", "Alice has 5 red apples in the basket. Alice gives 2 of the apples away. Alice then eats one of the others at home."]
+    texts = [f"Exercise 4\n{items[0]}", items[1].replace("Alice", "Maria").replace("5", "8"), f"Notes\n{items[1].replace('Alice', 'Maria')}", items[0].replace("baker", "farmer")]
+    assert leaks(spark, items, texts) == [[0], [1], [1], []]
+
+
 def test_blocks_of_the_benchmark_agree(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = bag(decontam.report(docs, bench).withColumn("items", F.array_join("items", ",")), "doc_id", "items", "n_items", "contaminated")

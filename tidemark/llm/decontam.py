@@ -7,6 +7,11 @@ hash-joined, and a match counts only if the slots agree: one value on one side
 always meets the same value on the other, so a question with other numbers or names
 is caught and a chance match of placeholders is not.
 
+Windows are sought in three forms, each against its own: names inside a sentence only;
+every capitalised word as a name, so a name that begins a sentence can be another and
+a heading without end punctuation does no harm; and plain words, so a copy of a window
+is found.
+
 The benchmark's windows are joined in blocks of at most BLOCK_WINDOWS (under 64 MB),
 each broadcast; documents pass all blocks in one job without a shuffle.
 
@@ -59,8 +64,8 @@ class Words(dict):
         return len(self.kind) - 1
 
 
-def templates(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template hashes, slot values with 0 for literals, first position of each text, lengths) of all texts in one run of arrays."""
+def forms(texts: list[str | None], words: Words) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """(template hashes and slot values with 0 for literals in each form, first position of each text, lengths) of all texts in one run of arrays."""
     if len(words) > CACHE_WORDS:
         words.clear()
         words.__init__()
@@ -77,9 +82,18 @@ def templates(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.nda
     begins, after = np.ones(len(at), bool), np.zeros(len(at), bool)
     begins[1:], after[1:] = ends[:-1], kind[:-1] == _NUMBER
     begins[first[lengths > 0]], after[first[lengths > 0]] = True, False
-    num, name, unit = kind == _NUMBER, (kind == _CAPITAL) & ~begins, unit & after
-    tmpl = np.where(num, _MARK["num"], np.where(unit, _MARK["unit"], np.where(name, _MARK["name"], lit)))
-    return tmpl, np.where(num | unit | name, lit, np.uint64(0)), first, lengths
+    num, unit = kind == _NUMBER, unit & after
+    got = []
+    for name in ((kind == _CAPITAL) & ~begins, kind == _CAPITAL):
+        tmpl = np.where(num, _MARK["num"], np.where(unit, _MARK["unit"], np.where(name, _MARK["name"], lit)))
+        got.append((tmpl, np.where(num | unit | name, lit, np.uint64(0))))
+    return [*got, (lit, np.zeros(len(lit), np.uint64))], first, lengths
+
+
+def templates(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first form: (template hashes, slot values, first position of each text, lengths)."""
+    got, first, lengths = forms(texts, words)
+    return *got[0], first, lengths
 
 
 def windows(tmpl: np.ndarray, first: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,28 +117,31 @@ def consistent(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _block(rows: list) -> dict:
-    """What a broadcast block holds: by window size, sorted hashes with their item and start; and the items' templates."""
-    words, by_size = Words(), {}
+    """What a broadcast block holds: by form and window size, sorted hashes with their item and start; and the items' forms."""
+    words, found = Words(), {}
     rows = [r for r in rows if r.text]
-    tmpl, slot, first, lengths = templates([r.text for r in rows], words)
-    for i, (f, n) in enumerate(zip(first.tolist(), lengths.tolist(), strict=True)):
-        if n >= MIN_WORDS:
+    got, first, lengths = forms([r.text for r in rows], words)
+    for form, (tmpl, slot) in enumerate(got):
+        for i, (f, n) in enumerate(zip(first.tolist(), lengths.tolist(), strict=True)):
+            if n < MIN_WORDS:
+                continue
             size = min(WINDOW, n)
             start, h = windows(tmpl[f : f + n], np.array([0]), np.array([n]), size)
-            literal = np.array([(slot[f + s : f + s + size] == 0).sum() * 2 >= size for s in start.tolist()], bool)
-            by_size.setdefault(size, []).append((h[literal], np.full(literal.sum(), i), start[literal] + f))
-    joined = {s: [np.concatenate(x) for x in zip(*v, strict=True)] for s, v in by_size.items()}
+            sought = np.array([(got[0][1][f + s : f + s + size] == 0).sum() * 2 >= size for s in start.tolist()], bool)
+            found.setdefault((form, size), []).append((h[sought], np.full(sought.sum(), i), start[sought] + f))
+    joined = {s: [np.concatenate(x) for x in zip(*v, strict=True)] for s, v in found.items()}
     for s, (h, item, start) in joined.items():
         o = np.argsort(h, kind="stable")
         joined[s] = (h[o], item[o], start[o])
-    return {"sizes": joined, "tmpl": tmpl, "slot": slot, "ids": np.array([r.item_id if r.item_id is not None else -1 for r in rows], np.int64)}
+    return {"sizes": joined, "forms": got, "ids": np.array([r.item_id if r.item_id is not None else -1 for r in rows], np.int64)}
 
 
 def matches(texts: list[str | None], block: dict, words: Words) -> list[tuple[set, int]]:
     """For each text the items that it holds and how many of its windows match."""
     found: list[tuple[set, set]] = [(set(), set()) for _ in texts]
-    tmpl, slot, first, lengths = templates(texts, words)
-    for size, (keys, items, starts) in block["sizes"].items():
+    got, first, lengths = forms(texts, words)
+    for (form, size), (keys, items, starts) in block["sizes"].items():
+        (tmpl, slot), (its_tmpl, its_slot) = got[form], block["forms"][form]
         at, h = windows(tmpl, first, lengths, size)
         if not len(at) or not len(keys):
             continue
@@ -135,8 +152,8 @@ def matches(texts: list[str | None], block: dict, words: Words) -> list[tuple[se
             p, j = int(at[x]), int(low[x])
             while j < len(keys) and keys[j] == h[x]:
                 q = int(starts[j])
-                same = (tmpl[p : p + size] == block["tmpl"][q : q + size]).all()
-                if same and (int(items[j]) not in found[d][0] or p not in found[d][1]) and consistent(block["slot"][q : q + size], slot[p : p + size]):
+                new = int(items[j]) not in found[d][0] or p not in found[d][1]
+                if new and (tmpl[p : p + size] == its_tmpl[q : q + size]).all() and consistent(its_slot[q : q + size], slot[p : p + size]):
                     found[d][0].add(int(items[j]))
                     found[d][1].add(p)
                 j += 1
