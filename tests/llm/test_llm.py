@@ -340,6 +340,13 @@ def test_names_that_begin_sentences_match(spark):
     assert leaks(spark, items, texts) == [[0], [1], [1], []]
 
 
+def test_copies_of_numbers_and_short_items_match(spark):
+    series = " ".join(str(k * k + 3) for k in range(20))
+    items = [series, "Paris Rome Berlin Madrid", "seven times eight", "... --- ...", "?"]
+    texts = [f"see {series} there", "from Paris, Rome, Berlin, Madrid .", "what is seven times eight ?", " ".join(str(k) for k in range(20)), "Oslo Rome Berlin Madrid", "... ! ?"]
+    assert leaks(spark, items, texts) == [[0], [1], [2], [], [], []]
+
+
 def test_blocks_of_the_benchmark_agree(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = bag(decontam.report(docs, bench).withColumn("items", F.array_join("items", ",")), "doc_id", "items", "n_items", "contaminated")

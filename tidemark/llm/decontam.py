@@ -10,15 +10,15 @@ is caught and a chance match of placeholders is not.
 Windows are sought in three forms, each against its own: names inside a sentence only;
 every capitalised word as a name, so a name that begins a sentence can be another and
 a heading without end punctuation does no harm; and plain words, so a copy of a window
-is found.
+or of a short item is always found, whatever it is made of.
 
 The benchmark's windows are joined in blocks of at most BLOCK_WINDOWS (under 64 MB),
 each broadcast; documents pass all blocks in one job without a shuffle.
 
-Defined results: null and empty texts never match; items of MIN_WORDS to WINDOW - 1
-words are one window, shorter items are not sought; windows with fewer than half
-literal words are not sought; null items and repeated items do no harm; texts of any
-length are read whole; other columns pass through, the prefix `_leak_` is reserved.
+Defined results: null and empty texts never match; items under WINDOW words are one
+window; items under MIN_WORDS words and windows with fewer than half literal words are
+sought as plain words alone, and nothing that is all punctuation is sought; null items
+and repeated items do no harm; texts of any length are read whole; other columns pass through, the prefix `_leak_` is reserved.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ NUMBER = re.compile(r"[+\-$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
 EDGE = "\"'`()[]{}<>.,;:!?*_"
 
 _LITERAL, _NUMBER, _CAPITAL = 0, 1, 2
+#: The form of plain words, and the hash of a word that is all punctuation.
+_PLAIN, _EMPTY = 2, np.uint64(xxhash.xxh64_intdigest(b"", 7))
 _MARK = {"num": np.uint64(0x9E3779B97F4A7C15), "name": np.uint64(0xC2B2AE3D27D4EB4F), "unit": np.uint64(0x165667B19E3779F9)}
 
 
@@ -123,11 +125,14 @@ def _block(rows: list) -> dict:
     got, first, lengths = forms([r.text for r in rows], words)
     for form, (tmpl, slot) in enumerate(got):
         for i, (f, n) in enumerate(zip(first.tolist(), lengths.tolist(), strict=True)):
-            if n < MIN_WORDS:
+            if n < 1 or (form != _PLAIN and n < MIN_WORDS):
                 continue
             size = min(WINDOW, n)
             start, h = windows(tmpl[f : f + n], np.array([0]), np.array([n]), size)
-            sought = np.array([(got[0][1][f + s : f + s + size] == 0).sum() * 2 >= size for s in start.tolist()], bool)
+            if form == _PLAIN:
+                sought = np.array([(tmpl[f + s : f + s + size] != _EMPTY).any() for s in start.tolist()], bool)
+            else:
+                sought = np.array([(slot[f + s : f + s + size] == 0).sum() * 2 >= size for s in start.tolist()], bool)
             found.setdefault((form, size), []).append((h[sought], np.full(sought.sum(), i), start[sought] + f))
     joined = {s: [np.concatenate(x) for x in zip(*v, strict=True)] for s, v in found.items()}
     for s, (h, item, start) in joined.items():
