@@ -150,6 +150,14 @@ def test_rules_keep_clean_documents(spark, odd):
     assert rules.keep_good(odd).columns == odd.columns
 
 
+def test_rules_judge_small_inputs(spark):
+    rng = random.Random(6)
+    prose = lambda: " ".join(rng.choice(["the", "house", "river,", "stone", "walks", "along.", "Green"]) + str(rng.randint(0, 9)) for _ in range(80))
+    r = [(i, prose(), ["en", "de"][i % 2], "s", 0) for i in range(120)] + [(1000 + i, " ".join(x + "%%%%#" for x in prose().split()), "en", "s", 0) for i in range(5)]
+    kept = {x.doc_id for x in rules.keep_good(spark.createDataFrame(r, SCHEMA)).collect()}
+    assert not [i for i in kept if i >= 1000] and len(kept) >= 117
+
+
 # ---- 3
 
 def test_quality_learns_and_holds_out(spark, docs):

@@ -12,12 +12,12 @@ So no group is ever sorted or gathered, and a source that holds a third of all r
 costs no more than the rest.  Sums are of whole numbers, so reruns agree.
 
 Groups with fewer than MIN_ROWS texts use their language's estimate, and languages
-with fewer use that of all texts.  NOISE is added to the variances, so a statistic
+with fewer use that of all texts, which is always fitted.  NOISE is added to the variances, so a statistic
 that is zero in nearly all texts does not make the scatter singular.
 
 Defined results: a null text has no words and fails the base; a null language or
-source is a group of its own; below MIN_ROWS texts in all, nothing but the base
-rejects; repeated rows are judged alike.  All of it is native.
+source is a group of its own; an estimate of a few texts rejects few, as
+each is near the centre; repeated rows are judged alike.  All of it is native.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, cut
 
-#: CUTOFF is the 0.9999 quantile of chi-square with 6 degrees of freedom.
-MIN_ROWS, H, STEPS, CUTOFF = 200, 0.75, 4, 27.86
+#: MIN_ROWS is five rows for each of the 6 dimensions; CUTOFF is the 0.9999 quantile of chi-square with 6 degrees of freedom.
+MIN_ROWS, H, STEPS, CUTOFF = 30, 0.75, 4, 27.86
 #: Fixed scale: statistics are whole multiples of 1 / UNIT in all sums.
 UNIT = 1024
 #: Standard deviation that each statistic has at least.
@@ -158,7 +158,7 @@ def judged(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     stats = wide.filter(~F.col("base_failed")).select("lang", "source", *names)
     sizes = stats.groupBy("lang", "source").agg(F.count("*").alias("n2"))
     sizes = sizes.withColumn("n1", F.sum("n2").over(Window.partitionBy("lang"))).withColumn("n0", F.sum("n2").over(Window.partitionBy()))
-    pick = F.when(F.col("n2") >= MIN_ROWS, levels[0]).when(F.col("n1") >= MIN_ROWS, levels[1]).when(F.col("n0") >= MIN_ROWS, levels[2])
+    pick = F.when(F.col("n2") >= MIN_ROWS, levels[0]).when(F.col("n1") >= MIN_ROWS, levels[1]).otherwise(levels[2])
     groups = cut(sizes.select(F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), pick.alias("cell")), "mcd-groups")
     wanted = groups.filter("cell is not null").select("cell").distinct()
     small = groups.count() <= BROADCAST_CELLS
