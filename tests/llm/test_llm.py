@@ -394,17 +394,57 @@ def test_token_files_round_trip(spark, rows, odd):
         assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 
 
-@pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 9000])
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 2047, 2049, 9001, 70_000])
 def test_coder(n):
     rng = np.random.default_rng(n)
-    for ids in (rng.integers(0, 49408, n), rng.zipf(1.3, n) % 49408, np.full(n, 7), np.tile([5, 900, 49407], n)[:n]):
+    for ids in (rng.integers(0, 65536, n), rng.zipf(1.3, n) % 49408, np.full(n, 7), np.tile([5, 900, 49407], n)[:n], np.zeros(n)):
         ids = ids.astype(np.uint16)
-        assert (tokenbin.decode_blocks(tokenbin.encode_blocks(ids), n) == ids).all()
-    if n > 4000:
-        assert sum(map(len, tokenbin.encode_blocks(np.tile(np.arange(50, dtype=np.uint16), n // 50)))) < n // 4
+        assert (tokenbin.decode_block(tokenbin.encode_block(ids), n, int(ids.max())) == ids).all()
 
 
-def test_damage_is_noticed():
+def entropy(ids):
+    p = np.bincount(ids) / len(ids)
+    return -(p[p > 0] * np.log2(p[p > 0])).sum() * len(ids) / 8
+
+
+def test_contexts_are_mixed():
+    """Where only the id before, or the two before, tell the next, blocks are smaller than counts of ids alone allow; without contexts they come near that."""
+    rng = np.random.default_rng(7)
+    follows, pairs, one, two = rng.integers(0, 5000, 5000), rng.integers(0, 60, (60, 60)), [1], [1, 2]
+    for _ in range(60_000):
+        one.append(int(follows[one[-1]]) if rng.random() < 0.9 else int(rng.integers(0, 5000)))
+        two.append(int(pairs[two[-2], two[-1]]) if rng.random() < 0.9 else int(rng.integers(0, 60)))
+    for ids, share in ((one, 0.8), (two, 0.5), (rng.zipf(1.5, 60_000) % 3000, 1.2)):
+        ids = np.array(ids, np.uint16)
+        assert len(tokenbin.encode_block(ids)) < share * entropy(ids)
+
+
+def test_order_zero_has_a_chance_for_every_id_and_weights_fill_the_whole():
+    rng, model = np.random.default_rng(3), tokenbin.Mixer(300, 40)
+    for _ in range(30):
+        model.predict(40)
+        spans = [model.span(np.full(40, x)) for x in range(300)]
+        at = np.zeros(40, np.uint64)
+        for start, size in spans:
+            assert (start == at).all() and (size > 0).all()
+            at = start + size
+        assert (at <= 1 << tokenbin.WHOLE).all()
+        v = (rng.random(40) * at).astype(np.uint64)
+        x, start, size = model.find(v)
+        assert ((start <= v) & (v < start + size)).all() and all(s[0][k] == start[k] for k in range(40) for s in [spans[x[k]]])
+        model.learn(40, rng.zipf(1.4, 40) % 300)
+
+
+def test_large_vocabularies_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    t = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    with pytest.raises(ValueError, match="65536"):
+        tokenbin.Words(t.to_str())
+
+
+def test_damage_is_noticed(monkeypatch):
+    monkeypatch.setattr(tokenbin, "BLOCK", 2048)
     ids = np.arange(5000, dtype=np.uint16) % 997
     data = bytearray(tokenbin.write_chunk([1, None], [2000, 3000], ids))
     assert (tokenbin.read_chunk(bytes(data))[2] == ids).all()
@@ -415,6 +455,16 @@ def test_damage_is_noticed():
             tokenbin.read_chunk(bytes(bad))
 
 
+def test_chunks_follow_each_other(spark, monkeypatch):
+    """Many chunks in several parts, with starts that are joined rather than broadcast, read the same."""
+    monkeypatch.setattr(tokenbin, "BROADCAST_CHUNKS", 0)
+    rng = np.random.default_rng(5)
+    counts, part = rng.integers(1, 50, 400), np.sort(rng.integers(0, 5000, 400))
+    rows = [(int(p), int(k), int(c)) for k, (p, c) in enumerate(zip(part, counts, strict=True))]
+    got = {(r.part, r.chunk): r.start for r in tokenbin._starts(spark.createDataFrame(rows, "part int, chunk int, n_ids long")).collect()}
+    assert [got[r[:2]] for r in rows] == (np.cumsum(counts) - counts).tolist()
+
+
 # ---- 7
 
 def plain_removal(rows):

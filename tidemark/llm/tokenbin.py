@@ -5,21 +5,31 @@ whole documents become chunks.  A chunk is one row of a Parquet table, so Spark'
 committers write it and any task can read it alone.  Layout of a chunk, all
 little-endian:
 
-    magic "TMK1" | documents u32 | blocks u32 | ids u64 | bytes of the index u32
+    magic "TMK2" | documents u32 | blocks u32 | ids u64 | bytes of the index u32
     index (zlib): null flag of each doc_id u8, doc_ids i64, ids of each document u32
-    for each block: ids u32, bytes u32, CRC-32 of its ids as u32
+    for each block: ids u32, largest id u32, bytes u32, CRC-32 of its ids as u32
     CRC-32 of everything before | the blocks' bytes
 
-A block holds BLOCK ids (the last fewer) and is coded from a fresh model.  Order-2 and
-order-1 contexts each predict an id with a confidence; how far to trust either is
-mixed by adaptive counts under both confidences; an id that neither predicts is coded
-by adaptive order-0 counts of its upper part, and its lower byte flat.  The three
-parts multiply to one interval of a carry-less range coder with 64-bit state.  All
-blocks of a chunk are coded in step, one numpy lane each.
+A block holds BLOCK ids (the last fewer) and is coded from a fresh model.  The chance
+of an id is a mixture of three predictions,
+
+    p(x) = w2 [x = a] + w1 [x = b] + w0 p0(x)
+
+a is what last followed the two ids before, b what last followed the id before, p0
+are adaptive counts of whole ids, each of which has some chance from the start.  The
+weights are adaptive too: they are counts of which prediction was right, by how sure
+a and b are and whether they agree.
+
+The ids of a block are dealt out to lanes, runs of neighbours.  All lanes take one step
+at a time under one model, which then learns from all their ids at once; so the
+model is adaptive, shared by the whole block, and worked by numpy.  Each lane has a
+range coder of its own, whose digits are 32 bits; a block's bytes are the lanes'
+numbers of digits as u16 and their digits as u32.
 
 Defined results: a null or empty text is the END id alone; null ids come first;
 repeated ids keep all their rows, ordered by a hash of the text; texts of any length
-are encoded whole (a chunk holds at least one document); a damaged chunk raises.
+are encoded whole (a chunk holds at least one document); a damaged chunk raises; a
+vocabulary with ids of 65,536 or more is refused.
 """
 
 from __future__ import annotations
@@ -30,168 +40,189 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-END, BLOCK, CHUNK = 2, 2048, 2048 * 2048
-SLOTS, GROUPS, STEP = 1024, 14, 8
-HEAD = "<4sIIQI"
-U64 = np.uint64
-LOW40, TOP = U64((1 << 40) - 1), U64(1 << 48)
-
-
-class Model:
-    """The predictions of all lanes; predict() and update() are the same for both directions."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.id = [np.zeros(lanes * SLOTS, np.uint16) for _ in range(2)]
-        self.trust = [np.zeros(lanes * SLOTS, np.uint8) for _ in range(2)]
-        self.mix = np.ones((lanes * 32, 3), np.uint32)
-        self.zero = np.ones((lanes, GROUPS, 16), np.uint16)
-        self.groups = np.full((lanes, GROUPS), 16, np.uint32)
-        self.total = np.full(lanes, 16 * GROUPS, np.uint32)
-        self.last = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
+END, BLOCK, CHUNK = 2, 1 << 20, 1 << 22
+#: Lanes at most, and ids that a lane has if there are enough.
+LANES, LANE_IDS = 2048, 256
+#: Binary logarithms: sum of the weights, least weight of order 0, slots of order 2, what a range is filled up to, slots of the lookup of counts.
+WHOLE, FLOOR, SLOTS, LEAST, LOOKUP = 28, 21, 18, 31, 16
+#: How sure a prediction can get, and what one count of order 0 weighs at most against the chance that every id has.
+SURE, COUNT = 7, 32
+HEAD, BLOCK_HEAD = "<4sIIQI", 4
+BROADCAST_CHUNKS = 100_000
+I64, U64 = np.int64, np.uint64
+LOW31 = U64((1 << LEAST) - 1)
+
+
+class Mixer:
+    """The model of a block, the same for both directions: predict(), then span() of known ids or find() them, then learn()."""
+
+    def __init__(self, alphabet: int, lanes: int):
+        self.alphabet = alphabet
+        # a prediction is sure << 16 | id; sure 0 is an empty place
+        self.tables = np.zeros(1 << SLOTS, I64), np.zeros(1 << 16, I64)
+        self.last = np.zeros(lanes, I64), np.zeros(lanes, I64)
+        self.right = np.ones((16 * (SURE + 1), 3), I64)
+        self.seen, self.fresh = np.zeros(alphabet, I64), []
+        self.step, self.due = 0, 1
+        self._recount()
+
+    def _recount(self) -> None:
+        """Order 0 as of now: sums of counts below each id."""
+        if self.fresh:
+            self.seen += np.bincount(np.concatenate(self.fresh), minlength=self.alphabet)
+            self.fresh = []
+        weight = max(1, min(COUNT, ((1 << FLOOR) - self.alphabet) // max(1, int(self.seen.sum()))))
+        self.below = np.zeros(self.alphabet + 1, U64)
+        np.cumsum((self.seen * weight + 1).astype(U64), out=self.below[1:])
+        self.total, self.lookup = self.below[-1], None
 
     def predict(self, m: int) -> None:
-        """For the first m lanes: the slots and ids of order 2 and order 1, and the counts (order 2, order 1, neither)."""
+        """What the first m lanes expect: ids a and b, and the weights of a, b and order 0."""
         p1, p2 = self.last[0][:m], self.last[1][:m]
-        base = self.lane[:m] * SLOTS
-        self.at = [base + (((p1 * 31337 + p2 * 7919) >> 3) & (SLOTS - 1)), base + (((p1 * 40503) >> 6) & (SLOTS - 1))]
-        self.guess = [self.id[k][self.at[k]] for k in range(2)]
-        self.sure = [self.trust[k][self.at[k]] for k in range(2)]
-        same = self.guess[0] == self.guess[1]
-        self.row = self.lane[:m] * 32 + np.minimum(self.sure[0], 3) * 8 + np.minimum(self.sure[1], 3) * 2 + same
-        self.counts = self.mix[self.row].astype(U64)
-        self.whole = self.counts.sum(1)
-        self.rest = self.total[:m].astype(U64) * U64(256)
-
-    def update(self, m: int, ids: np.ndarray, kind: np.ndarray) -> None:
-        self.mix[self.row, kind] += 16
-        up = ids >> 8
-        lost = np.nonzero(kind == 2)[0]
-        g, b = up[lost] >> 4, up[lost] & 15
-        self.zero[lost, g, b] += STEP
-        self.groups[lost, g] += STEP
-        self.total[lost] += STEP
-        for k in range(2):
-            right = self.guess[k] == ids
-            weak = self.sure[k] <= 1
-            self.id[k][self.at[k]] = np.where(right | ~weak, self.guess[k], ids)
-            self.trust[k][self.at[k]] = np.where(right, np.minimum(self.sure[k], 254) + 1, np.where(weak, 1, self.sure[k] >> 1))
+        self.slots = ((p1 * 0x9E3779B1 + p2 * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - SLOTS), p1
+        self.held = tuple(t.take(s) for t, s in zip(self.tables, self.slots, strict=True))
+        self.a, self.b = self.held[0] & 0xFFFF, self.held[1] & 0xFFFF
+        self.sure = self.held[0] >> 16, self.held[1] >> 16
+        self.state = (self.sure[0] << 4) | (self.sure[1] << 1) | (self.a == self.b)
+        weights = (self.right[:, :2] * ((1 << WHOLE) - (1 << FLOOR)) // self.right.sum(1)[:, None]).astype(U64)
+        self.w2, self.w1 = weights[:, 0].take(self.state), weights[:, 1].take(self.state)
+        self.w0 = U64(1 << WHOLE) - self.w2 - self.w1
+
+    def _zero(self, x: np.ndarray, w0: np.ndarray) -> np.ndarray:
+        """Order 0's weight of all ids below x."""
+        return w0 * self.below.take(x) // self.total
+
+    def span(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weight of all ids below x, weight of x) in each lane."""
+        start = self._zero(x, self.w0)
+        size = self._zero(x + 1, self.w0) - start
+        start += self.w2 * (self.a < x) + self.w1 * (self.b < x)
+        size += self.w2 * (self.a == x) + self.w1 * (self.b == x)
+        return start, size
+
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids whose spans hold v, and their spans."""
+        a, b, w2, w1, w0 = self.a, self.b, self.w2, self.w1, self.w0
+        less = a < b
+        start, end = self._zero(a, w0) + w1 * (b < a), self._zero(a + 1, w0) + w2 + w1 * ~less
+        start_b, end_b = self._zero(b, w0) + w2 * less, self._zero(b + 1, w0) + w1 + w2 * (a <= b)
+        in_b = (v >= start_b) & (v < end_b)
+        rest = np.nonzero(~in_b & ((v < start) | (v >= end)))[0]
+        beyond = w2[rest] * (v[rest] >= end[rest]) + w1[rest] * (v[rest] >= end_b[rest])
+        x, start, end = np.where(in_b, b, a), np.where(in_b, start_b, start), np.where(in_b, end_b, end)
+        if len(rest):
+            w = w0[rest]
+            x[rest] = found = self._rank(((v[rest] - beyond + U64(1)) * self.total - U64(1)) // w)
+            start[rest], end[rest] = self._zero(found, w) + beyond, self._zero(found + 1, w) + beyond
+        return x, start, end - start
+
+    def _rank(self, y: np.ndarray) -> np.ndarray:
+        """The id whose counts hold y: a lookup by y's upper bits is right or just below for all but rare ids, which are searched."""
+        if self.lookup is None:
+            self.shift = U64(max(0, int(self.total).bit_length() - LOOKUP))
+            edges = (self.below + ((U64(1) << self.shift) - U64(1))) >> self.shift
+            self.lookup = np.repeat(np.arange(self.alphabet), np.diff(edges.astype(I64)))
+            self.lookup = np.concatenate([[0], self.lookup])  # place k + 1: the last id that begins at or before k's start
+        x = self.lookup.take((y >> self.shift).astype(I64) + 1, mode="clip")
+        for _ in range(2):
+            short = np.nonzero(self.below.take(x + 1) <= y)[0]
+            x[short] += 1
+        short = np.nonzero(self.below.take(x + 1) <= y)[0]
+        if len(short):
+            x[short] = np.searchsorted(self.below, y[short], "right") - 1
+        return x
+
+    def learn(self, m: int, x: np.ndarray) -> None:
+        is_a, is_b = self.a == x, self.b == x
+        kind = np.where(is_a, 0, np.where(is_b, 1, 2))
+        self.right += np.bincount(self.state * 3 + kind, minlength=self.right.size).reshape(self.right.shape)
+        self.fresh.append(x[kind == 2])
+        for table, slot, held, sure, hit in zip(self.tables, self.slots, self.held, self.sure, (is_a, is_b), strict=True):
+            up = held + ((sure < SURE).astype(I64) << 16)
+            down = np.where(sure > 1, (held & 0xFFFF) | ((sure >> 1) << 16), x | (1 << 16))
+            table[slot] = np.where(hit, up, down)  # of lanes with one slot the last one counts
         self.last[1][:m] = self.last[0][:m]
-        self.last[0][:m] = ids
-
-
-def _lanes(n: int) -> np.ndarray:
-    return np.array([BLOCK] * (n // BLOCK) + [n % BLOCK] * bool(n % BLOCK), np.int64)
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The coded blocks of ids, each on its own."""
-    lens = _lanes(len(ids))
-    lanes = len(lens)
-    if not lanes:
-        return []
-    grid = np.zeros((lanes, BLOCK), np.int64)
-    grid.ravel()[: len(ids)] = ids
-    model = Model(lanes)
-    low, span = np.zeros(lanes, U64), np.full(lanes, ~U64(0), U64)
-    out, pos = np.zeros((lanes, 4 * BLOCK + 16), "<u2"), np.zeros(lanes, np.int64)
-    for t in range(int(lens[0])):
-        m = lanes if t < lens[-1] else lanes - 1
+        self.last[0][:m] = x
+        self.step += 1
+        if self.step >= self.due:
+            self._recount()
+            self.due = self.step + min(8, 1 + self.step // 4)
+
+
+def _lanes(n: int) -> tuple[int, np.ndarray]:
+    """(steps, ids of each lane) of a block of n ids."""
+    lanes = max(1, min(LANES, n // LANE_IDS))
+    steps = -(-n // lanes)
+    lanes = -(-n // steps)
+    return steps, np.minimum(steps, n - steps * np.arange(lanes))
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """The coded ids (at least one, each below 65,536)."""
+    steps, sizes = _lanes(len(ids))
+    lanes = len(sizes)
+    grid = np.zeros(lanes * steps, I64)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    model = Mixer(int(grid.max()) + 1, lanes)
+    low, span = np.zeros(lanes, U64), np.full(lanes, (1 << 63) - 1, U64)
+    digits, used = np.zeros((lanes, steps + 2), U64), np.zeros(lanes, I64)
+    for t in range(steps):
+        m = lanes if t < sizes[-1] else lanes - 1
         model.predict(m)
-        x = grid[:m, t]
-        kind = np.where(x == model.guess[0], 0, np.where(x == model.guess[1], 1, 2))
-        up = x >> 8
-        rows = np.arange(m)
-        g, b = up >> 4, up & 15
-        here = model.zero[rows, g]
-        below = np.where(np.arange(GROUPS) < g[:, None], model.groups[:m], 0).sum(1) + np.where(np.arange(16) < b[:, None], here, 0).sum(1)
-        f0 = here[rows, b].astype(U64)
-        c, rest = model.counts, model.rest
-        esc_at = (below.astype(U64) * U64(256) + (x & 255).astype(U64) * f0)
-        start = np.where(kind == 0, U64(0), np.where(kind == 1, c[:, 0] * rest, (c[:, 0] + c[:, 1]) * rest + c[:, 2] * esc_at))
-        freq = np.where(kind == 0, c[:, 0] * rest, np.where(kind == 1, c[:, 1] * rest, c[:, 2] * f0))
-        r = span[:m] // (model.whole * rest)
-        low[:m] += start * r
-        span[:m] = freq * r
-        todo = np.arange(m)
-        while len(todo):
-            lo, sp = low[todo], span[todo]
-            settled = (lo ^ (lo + sp)) < TOP
-            small = ~settled & (sp <= LOW40)
-            go = settled | small
-            todo = todo[go]
-            lo, sp = lo[go], np.where(small[go], (~lo[go] + U64(1)) & LOW40, sp[go])
-            out[todo, pos[todo]] = (lo >> U64(48)).astype(np.uint16)
-            pos[todo] += 1
-            low[todo], span[todo] = lo << U64(16), sp << U64(16)
-        model.update(m, x, kind)
-    for _ in range(4):
-        out[np.arange(lanes), pos] = (low >> U64(48)).astype(np.uint16)
-        pos += 1
-        low <<= U64(16)
-    return [out[i, : pos[i]].tobytes() for i in range(lanes)]
-
-
-def decode_blocks(blocks: list[bytes], n: int) -> np.ndarray:
-    """The n ids of blocks from encode_blocks()."""
-    lens = _lanes(n)
-    lanes = len(lens)
-    if not lanes:
-        return np.zeros(0, np.uint16)
-    units = [np.frombuffer(b, "<u2") for b in blocks]
-    first = np.concatenate([[0], np.cumsum([len(u) for u in units])[:-1]]).astype(np.int64)
-    flat = np.concatenate([*units, np.zeros(4, "<u2")]).astype(U64)
-    end, pos = len(flat) - 1, first.copy()
-    model = Model(lanes)
-    low, span, code = np.zeros(lanes, U64), np.full(lanes, ~U64(0), U64), np.zeros(lanes, U64)
-    for _ in range(4):
-        code = (code << U64(16)) | flat[np.minimum(pos, end)]
-        pos += 1
-    grid = np.zeros((lanes, BLOCK), np.int64)
-    for t in range(int(lens[0])):
-        m = lanes if t < lens[-1] else lanes - 1
+        x = grid[t, :m]
+        start, size = model.span(x)
+        unit = span[:m] >> U64(WHOLE)
+        low[:m] += unit * start
+        span[:m] = unit * size
+        thin = np.nonzero(span[:m] <= LOW31)[0]
+        digits[thin, used[thin]] = low[thin] >> U64(LEAST)  # 33 bits: the uppermost is carried below
+        used[thin] += 1
+        low[thin] = (low[thin] & LOW31) << U64(32)
+        span[thin] <<= U64(32)
+        model.learn(m, x)
+    digits[np.arange(lanes), used] = (low + LOW31) >> U64(LEAST)
+    used += 1
+    for k in range(int(used.max()) - 1, 0, -1):
+        digits[:, k - 1] += digits[:, k] >> U64(32)
+    return used.astype("<u2").tobytes() + digits[np.arange(steps + 2) < used[:, None]].astype("<u4").tobytes()
+
+
+def decode_block(block: bytes, n: int, largest: int) -> np.ndarray:
+    """The n ids of encode_block()."""
+    steps, sizes = _lanes(n)
+    lanes = len(sizes)
+    used = np.frombuffer(block, "<u2", lanes).astype(I64)
+    digits = np.frombuffer(block, "<u4", offset=2 * lanes)
+    if used.sum() != len(digits):
+        raise ValueError("a block's digits are damaged")
+    # after the digits of each lane one of zero; a lane reads 31 bits of the digit after the one that it has reached
+    flat = np.zeros(len(digits) + lanes + 1, U64)
+    flat[np.arange(len(digits)) + np.repeat(np.arange(lanes), used)] = digits
+    more = ((flat[:-1] & U64(1)) << U64(31)) | (flat[1:] >> U64(1))
+    at = np.cumsum(used) - used + np.arange(lanes)
+    ahead, span = (flat[at] << U64(31)) | (flat[at + 1] >> U64(1)), np.full(lanes, (1 << 63) - 1, U64)
+    model = Mixer(largest + 1, lanes)
+    grid, last = np.zeros((steps, lanes), np.uint16), len(more) - 1
+    for t in range(steps):
+        m = lanes if t < sizes[-1] else lanes - 1
         model.predict(m)
-        c, rest = model.counts, model.rest
-        r = span[:m] // (model.whole * rest)
-        v = np.minimum((code[:m] - low[:m]) // r, model.whole * rest - U64(1))
-        kind = np.where(v < c[:, 0] * rest, 0, np.where(v < (c[:, 0] + c[:, 1]) * rest, 1, 2))
-        e = np.where(kind == 2, (v - (c[:, 0] + c[:, 1]) * rest) // c[:, 2], U64(0))
-        at = (e >> U64(8)).astype(np.int64)
-        gsum = np.cumsum(model.groups[:m].astype(np.int64), 1)
-        g = np.minimum((gsum <= at[:, None]).sum(1), GROUPS - 1)
-        rows = np.arange(m)
-        gbase = np.where(g > 0, gsum[rows, np.maximum(g - 1, 0)], 0)
-        here = model.zero[rows, g].astype(np.int64)
-        bsum = np.cumsum(here, 1)
-        b = np.minimum((bsum <= (at - gbase)[:, None]).sum(1), 15)
-        below = gbase + np.where(b > 0, bsum[rows, np.maximum(b - 1, 0)], 0)
-        f0 = here[rows, b].astype(U64)
-        lowbyte = (e - below.astype(U64) * U64(256)) // f0
-        x = np.where(kind == 0, model.guess[0], np.where(kind == 1, model.guess[1], ((g * 16 + b) << 8) + lowbyte.astype(np.int64))).astype(np.int64)
-        esc_at = below.astype(U64) * U64(256) + lowbyte * f0
-        start = np.where(kind == 0, U64(0), np.where(kind == 1, c[:, 0] * rest, (c[:, 0] + c[:, 1]) * rest + c[:, 2] * esc_at))
-        freq = np.where(kind == 0, c[:, 0] * rest, np.where(kind == 1, c[:, 1] * rest, c[:, 2] * f0))
-        low[:m] += start * r
-        span[:m] = freq * r
-        todo = np.arange(m)
-        while len(todo):
-            lo, sp = low[todo], span[todo]
-            settled = (lo ^ (lo + sp)) < TOP
-            small = ~settled & (sp <= LOW40)
-            go = settled | small
-            todo = todo[go]
-            lo, sp = lo[go], np.where(small[go], (~lo[go] + U64(1)) & LOW40, sp[go])
-            code[todo] = (code[todo] << U64(16)) | flat[np.minimum(pos[todo], end)]
-            pos[todo] += 1
-            low[todo], span[todo] = lo << U64(16), sp << U64(16)
-        grid[:m, t] = x
-        model.update(m, x, kind)
-    return grid.ravel()[:n].astype(np.uint16)
+        unit = span[:m] >> U64(WHOLE)
+        x, start, size = model.find(np.minimum(ahead[:m] // unit, U64((1 << WHOLE) - 1)))
+        ahead[:m] -= unit * start
+        span[:m] = unit * size
+        thin = np.nonzero(span[:m] <= LOW31)[0]
+        at[thin] += 1
+        ahead[thin] = (ahead[thin] << U64(32)) | more[np.minimum(at[thin], last)]
+        span[thin] <<= U64(32)
+        grid[t, :m] = x
+        model.learn(m, x)
+    return np.ascontiguousarray(grid.T).ravel()[:n]
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -199,56 +230,102 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def write_chunk(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    blocks = encode_blocks(ids)
+    parts = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    blocks = [encode_block(p) for p in parts]
     index = zlib.compress(np.array([d is None for d in doc_ids], np.uint8).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u4").tobytes())
-    head = struct.pack(HEAD, b"TMK1", len(doc_ids), len(blocks), len(ids), len(index)) + index
-    sums = [(min(BLOCK, len(ids) - i * BLOCK), len(b), _crc(ids[i * BLOCK : (i + 1) * BLOCK])) for i, b in enumerate(blocks)]
-    head += np.array(sums, "<u4").tobytes()
+    head = struct.pack(HEAD, b"TMK2", len(doc_ids), len(blocks), len(ids), len(index)) + index
+    head += np.array([(len(p), int(p.max()), len(b), _crc(p)) for p, b in zip(parts, blocks, strict=True)], "<u4").tobytes()
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blocks)
 
 
 def read_chunk(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc_ids, lengths, ids); raises ValueError if any checksum differs."""
-    magic, docs, n_blocks, n, size = struct.unpack_from(HEAD, data)
-    if magic != b"TMK1":
+    magic, docs, n_blocks, _, size = struct.unpack_from(HEAD, data)
+    if magic != b"TMK2":
         raise ValueError("not a token chunk")
     at = struct.calcsize(HEAD) + size
-    table = np.frombuffer(data, "<u4", 3 * n_blocks, at).reshape(-1, 3)
+    table = np.frombuffer(data, "<u4", BLOCK_HEAD * n_blocks, at).reshape(-1, BLOCK_HEAD)
     end = at + table.nbytes
     if struct.unpack_from("<I", data, end)[0] != zlib.crc32(data[:end]):
         raise ValueError("the chunk's head is damaged")
     raw = zlib.decompress(data[struct.calcsize(HEAD) : at])
     null, doc_ids, lengths = np.frombuffer(raw, np.uint8, docs), np.frombuffer(raw, "<i8", docs, docs), np.frombuffer(raw, "<u4", docs, 9 * docs)
-    ends = end + 4 + np.cumsum(table[:, 1].astype(np.int64))
-    ids = decode_blocks([data[e - s : e] for e, s in zip(ends.tolist(), table[:, 1].tolist(), strict=True)], n)
-    for i, (k, _, crc) in enumerate(table.tolist()):
-        if _crc(ids[i * BLOCK : i * BLOCK + k]) != crc:
+    ids, at = [np.zeros(0, np.uint16)], end + 4
+    for i, (n, largest, size, crc) in enumerate(table.tolist()):
+        ids.append(decode_block(data[at : at + size], n, largest))
+        if _crc(ids[-1]) != crc:
             raise ValueError(f"block {i} is damaged")
-    return [None if x else d for x, d in zip(null.tolist(), doc_ids.tolist(), strict=True)], lengths, ids
+        at += size
+    return [None if x else d for x, d in zip(null.tolist(), doc_ids.tolist(), strict=True)], lengths, np.concatenate(ids)
+
 
+class Words:
+    """Lower-cased words and their ids as bytes.
 
-class Words(dict):
-    """Lower-cased word -> its ids as bytes.  The tokenizer drops white space and never joins across it, so words are encoded on their own, each once."""
+    The tokenizer drops white space and never joins across it, so words are encoded on
+    their own, each once.  Its pattern parts letters from punctuation, so letters with
+    ASCII punctuation before or after them are encoded as two or three pieces.
+    """
 
-    LIMIT = 500_000
+    LIMIT = 400_000
+    #: ASCII punctuation without the apostrophe, which can begin a piece with letters in it.
+    EDGE = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer, self.ids, self.older = Tokenizer.from_str(spec), {}, {}
+        self.ends = np.zeros(1 << 16, bool)  # ids that end a piece
+        for token, i in self.tokenizer.get_vocab().items():
+            if i >= 1 << 16:
+                raise ValueError(f"the vocabulary has the id {i}, files hold ids below 65536")
+            self.ends[i] = token.endswith("</w>")
+
+    def _learn_runs(self, runs: list[bytes]) -> None:
+        """Of letters alone or punctuation alone: encoded in one go, as the end of each shows."""
+        ids = np.array(self.tokenizer.encode(b" ".join(runs).decode(), add_special_tokens=False).ids, "<u2")
+        ends = np.nonzero(self.ends[ids])[0] + 1
+        if len(ends) != len(runs) or (ends[-1:] != len(ids)).any():
+            return self._learn_words(runs)
+        raw, at = ids.tobytes(), 0
+        for w, e in zip(runs, (2 * ends).tolist(), strict=True):
+            self.ids[w] = raw[at:e]
+            at = e
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.ids[w] = np.array(e.ids, "<u2").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        new = words.difference(self)
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = words
-        # letters with one full stop or comma at the end are two pieces to the tokenizer's pattern
-        split = [w for w in new if w[-1:] in b".," and w[:-1].isalpha()]
-        plain = list((new - set(split) | {w[:-1] for w in split} | {w[-1:] for w in split}).difference(self))
-        for w, e in zip(plain, self.tokenizer.encode_batch([w.decode() for w in plain], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u2").tobytes()
-        for w in split:
-            self[w] = self[w[:-1]] + self[w[-1:]]
+        new = words.difference(self.ids)
+        if len(self.ids) + len(new) > self.LIMIT:  # the words of before are kept as the older half
+            self.ids, self.older, new = {}, self.ids, words
+        known, older = self.ids, self.older
+        runs, others, edged, edges = set(), [], [], []
+        for w in new:
+            if w in older:
+                known[w] = older[w]
+                continue
+            core = w.strip(self.EDGE)
+            if not core:
+                runs.add(w)
+            elif not (core.isalpha() or core.decode().isalpha()) or b"<|" in w:
+                others.append(w)
+            elif len(core) == len(w):
+                runs.add(w)
+            else:
+                at = w.index(core)
+                edged.append(w)
+                edges.append((w[:at], core, w[at + len(core) :]))
+                runs.update(edges[-1])
+        runs.discard(b"")
+        self._learn_words(others)
+        plain = list(runs.difference(known))
+        for i in range(0, len(plain), 1000):
+            self._learn_runs(plain[i : i + 1000])
+        known[b""] = b""
+        for w, pieces in zip(edged, edges, strict=True):
+            known[w] = b"".join(map(known.__getitem__, pieces))
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each text and END."""
@@ -256,7 +333,19 @@ class Words(dict):
         words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         self.learn(set().union(*words))
         end = np.array([END], "<u2").tobytes()
-        return [np.frombuffer(b"".join(map(self.__getitem__, w)) + end, "<u2") for w in words]
+        return [np.frombuffer(b"".join(map(self.ids.__getitem__, w)) + end, "<u2") for w in words]
+
+
+#: The words that this process knows, by the hash of the tokenizer: a Python worker keeps them from task to task.
+_known: dict[int, Words] = {}
+
+
+def _words(spec: str) -> Words:
+    key = zlib.crc32(spec.encode())
+    if key not in _known:
+        _known.clear()
+        _known[key] = Words(spec)
+    return _known[key]
 
 
 def write(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -271,7 +360,7 @@ def write(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, part, chunk = Words(spec.value), TaskContext.get().partitionId(), 0
+        words, part, chunk = _words(spec.value), TaskContext.get().partitionId(), 0
         doc_ids, lengths, ids, n = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -290,28 +379,42 @@ def write(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         if n:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    # rows without an id, or with one id, are told apart by their texts' hash, so they are dealt out like others
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark").asc()]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return cut(rows.mapInArrow(run, "part int, chunk int, n_ids long, payload binary"), "token-chunks")
 
 
-def read(chunks: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document of a table of chunks.
+def _starts(chunks: DataFrame) -> DataFrame:
+    """(part, chunk, start) of every chunk: sums inside groups of 1,024 parts, and of the groups, of which the driver holds one number each."""
+    spark = chunks.sparkSession
+    sizes = chunks.select("part", "chunk", "n_ids", F.shiftright("part", 10).alias("group"))
+    totals, at, base = sizes.groupBy("group").agg(F.sum("n_ids").alias("n")).orderBy("group").collect(), 0, []
+    for r in totals:
+        base.append((r.group, at))
+        at += r.n
+    before = F.sum("n_ids").over(Window.partitionBy("group").orderBy("part", "chunk").rowsBetween(Window.unboundedPreceding, -1))
+    inside = sizes.withColumn("inside", F.coalesce(before, F.lit(0)))
+    of_group = F.broadcast(spark.createDataFrame(base, "group int, base long"))
+    return inside.join(of_group, "group").select("part", "chunk", (F.col("base") + F.col("inside")).alias("start"))
 
-    The driver holds one number for each chunk (up to 4 million ids), not for each document.
-    """
-    starts, at = {}, 0
-    for r in chunks.select("part", "chunk", "n_ids").orderBy("part", "chunk").collect():
-        starts[r.part, r.chunk] = at
-        at += r.n_ids
+
+def read(chunks: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document of a table of chunks; places inside a chunk come from it alone, and chunks' starts are joined to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 doc_ids, lengths, ids = read_chunk(b.column(2)[i].as_py())
-                ends = np.cumsum(lengths.astype(np.int64))
-                begin = starts[b.column(0)[i].as_py(), b.column(1)[i].as_py()]
-                crc = [_crc(ids[e - k : e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begin + ends - lengths, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return chunks.select("part", "chunk", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                ends, n = np.cumsum(lengths.astype(np.int64)), len(doc_ids)
+                raw, at = memoryview(ids.astype("<u4").tobytes()), [0, *(4 * ends).tolist()]
+                crc = [zlib.crc32(raw[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
+                place = [pa.array(np.full(n, b.column(k)[i].as_py(), np.int32)) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*place, pa.array(doc_ids, pa.int64()), pa.array(ends - lengths, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "chunk", "doc_id", "inside", "n_tokens", "ids_crc32"])
+
+    rows = chunks.select("part", "chunk", "payload").mapInArrow(run, "part int, chunk int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    starts = _starts(chunks)
+    if chunks.count() <= BROADCAST_CHUNKS:
+        starts = F.broadcast(starts)
+    return rows.join(starts, ["part", "chunk"]).select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
