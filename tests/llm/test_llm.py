@@ -274,8 +274,10 @@ def near_fixture(spark, copies=60):
     return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(out)], SCHEMA)
 
 
-def test_near_duplicates_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SHARD_ROWS", 20)  # so that there are several shards, and slices of them
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, broadcast):
+    for name, n in (("SHARD_ROWS", 20), ("SLICE_ROWS", 8), ("PART_POSTS", 500), ("BROADCAST_IDS", broadcast)):  # several shards, slices of them, and parts
+        monkeypatch.setattr(neardup, name, n)
     df = near_fixture(spark)
     sets = {r.doc_id: shingles(r.text) for r in df.collect()}
     want = plain_components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
@@ -308,6 +310,47 @@ def test_similar_texts_with_far_fingerprints_meet(spark):
     assert {r.id: r.stays for r in neardup.groups(df).collect()} == want and len(set(want.values())) == len(texts) - 6
 
 
+def test_odd_sketches_never_hide_a_similar_pair():
+    rng = np.random.default_rng(9)
+    for n in (1, 3, 20, 64, 65, 700, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.0, 0.05, 0.1, 0.2, 0.4, 1.0):
+            b = np.unique(np.concatenate([a[: max(1, round(n * (1 - share)))], rng.integers(0, 1 << 63, round(n * share)).astype(np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            x, y = neardup._odd(a), neardup._odd(b)
+            p, q = neardup._folded([x, y])
+            assert np.bitwise_count(p ^ q).sum() <= len(a) + len(b) - 2 * common
+            said = neardup._folded_pairs([x, x], [y, x], np.array([len(a) + len(b), 2 * len(a)]), 0.8)
+            assert said[1] and (said[0] or common < 0.8 * (len(a) + len(b) - common))
+            if share >= 0.4 and n >= 64:
+                assert not said[0]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_duplicates_have_full_recall(spark, sf):
+    """Every class pair of the test tables at 0.8 or more, by counting shared shingles, is in one group, and nothing else is."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: shingles(r.text) for r in rows}
+    posts = collections.defaultdict(list)
+    for d, s in sets.items():
+        for x in s or (None,):
+            posts[x].append(d)
+    common = collections.Counter((a, b) for ids in posts.values() for i, a in enumerate(ids) for b in ids[i + 1 :])
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for (a, b), c in common.items():
+        if not sets[a] | sets[b] or c >= 0.8 * (len(sets[a]) + len(sets[b]) - c):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r.id: r.stays for r in neardup.groups(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()}
+    assert got == {d: find(d) for d in sets}
+
+
 def test_one_of_each_group_stays(odd):
     got = collections.Counter(r.doc_id for r in neardup.deduplicate(odd).collect())
     assert got[0] + got[1] + got[2] <= 1 and got[5] == 0 and got[4] == 1 and got[8] == 1 and max(got.values()) == 1

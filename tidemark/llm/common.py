@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,16 +12,17 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_folder: dict[str, str] = {}
+_last_resort: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset a temporary one serves a local session; on a cluster it raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
-        root = _own_folder.setdefault(app, "") or tempfile.mkdtemp(prefix="tidemark-")
-        _own_folder[app] = root
+        root = _last_resort[app] = _last_resort.get(app) or tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/tidemark"
 
 
@@ -33,15 +35,32 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables from cut() that nothing reads any more, and let Spark's cleaner drop the shuffles of finished jobs."""
+    for t in tables:
+        remove_path(t.sparkSession, t.written_path)
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a table that cut() wrote, on any file system."""
+    """Delete a path on any file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df, whatever its case, is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

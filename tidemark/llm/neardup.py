@@ -1,23 +1,25 @@
 """Near-duplicate removal on top of the SimHash vantage-point shards: five-word shingles, similarity 0.8 or more.
 
-Texts with the same shingle set form a class; only classes are compared.  A pair of
-classes is a candidate if their set sizes allow the similarity, their fingerprints
-differ in at most RADIUS bits, and so do second fingerprints from remixed hashes.
-Candidates are checked by the exact Jaccard similarity of their shingle sets.
-
-A shard never emits pairs: it first names the classes that have a candidate, then gets
-their shingle sets, checks every candidate in place, and its links leave it as a
-spanning forest.  Every candidate is checked, however large its group.
-
-At a similarity of 0.8 fingerprints differ in about 10 bits, and with that radius the
-triangle bounds prune little: within a band of set sizes the search compares blocks
-of all classes.  RADIUS can be lowered where that costs too much.
-
-Similar pairs beyond the radius are found by an exact prefix join: in any one order of
-all shingles, two sets as similar as wanted share one of their first
-n - ceil(similarity * n) + 1 shingles.  Shingles frequent in a sample come last in that
-order.  Only classes that the fingerprints left in different groups become pairs, and
-those are checked by the exact similarity too, so no link is lost.
+Texts with the same shingle set form a class; only classes are compared, and all
+candidates are checked by the exact Jaccard similarity of their shingle sets.
+
+1. A class has a fingerprint, an odd sketch and a prefix.  The odd sketch is a bitmap of
+   about a bit a shingle that holds the parity of the shingles at each place, so two
+   sketches differ in no more bits than the sets in shingles: a pair whose sketches
+   differ in more than the similarity allows can be left out, and loses nothing.
+2. Vantage-point shards of the fingerprints, within a band of set sizes and the next, find
+   the pairs at most RADIUS bits apart.  A shard never emits pairs: it names the classes
+   that have a candidate, then gets their shingle sets, checks candidates in place, and
+   its links leave it as a spanning forest.  A pair whose classes are linked already is
+   not checked again, so a large group of copies costs about one check a member.
+3. Similar pairs beyond the radius are found by an exact prefix join: in any one order of
+   all shingles, two sets as similar as wanted share one of their first
+   n - ceil(similarity * n) + 1 shingles.  Shingles frequent in a sample come last in that
+   order.  A shingle that only one group's prefixes hold makes no pairs.
+
+So no link is lost, whatever RADIUS is.  At 14 bits the triangle bounds prune little:
+within a band the search compares blocks of all classes.  A lower RADIUS costs less
+there and leaves more to the prefix join.
 
 Defined results: the row with the smallest id of a group stays, one if several have
 it; texts without words are one group; a null id counts as a number from a hash of the
@@ -32,26 +34,37 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .simhash import Router, components, forest, shingle_hashes, tree_pairs
+from .common import cut, discard, free_name
+from .simhash import Router, components, tree_pairs
 
-SHINGLE, SIMILARITY, RADIUS, RADIUS2 = 5, 0.8, 14, 18
-SHARD_ROWS, QUERY_ROWS, SAMPLE_ROWS, BROADCAST_IDS = 8192, 512, 50_000, 500_000
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 14
+SHARD_ROWS, SAMPLE_ROWS = 8192, 50_000
+#: A task that checks a shard gets so many residents and queries, or so many shingles of each, and compares so many queries at once.
+SLICE_ROWS, SLICE_SHINGLES, QUERY_ROWS = 2048, 2_000_000, 512
+#: Ids that are broadcast at most (some 100 MB); with more, texts are joined to them by a shuffle.
+BROADCAST_IDS = 4_000_000
 #: The order of shingles: texts in the sample, texts in it that make a shingle frequent, frequent shingles at most.
-ORDER_ROWS, FREQUENT, FREQUENT_SHINGLES = 10_000, 3, 200_000
+ORDER_ROWS, FREQUENT, FREQUENT_SHINGLES = 20_000, 2, 400_000
+#: Prefix shingles that one task compares.
+PART_POSTS = 2_000_000
 
 
 def _set(text: bytes | None) -> np.ndarray:
-    got = list(shingle_hashes(text, SHINGLE))
-    return np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
-
-
-def _remixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    """The sorted hashes of a text's shingles, A-Z lower-cased; a shorter text is one shingle."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    k = min(SHINGLE, len(words))
+    g = np.full(len(words) - k + 1, k, np.uint64)
+    for i in range(k):
+        g = (g ^ h[i : i + len(g)]) * np.uint64(0x9E3779B97F4A7C15)
+        g ^= g >> np.uint64(32)
+    return np.unique(g)
 
 
 def _majority(h: np.ndarray, block: int = 1 << 16) -> int:
@@ -61,14 +74,44 @@ def _majority(h: np.ndarray, block: int = 1 << 16) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]) if len(h) else 0
 
 
-def _lists(sets: list[np.ndarray]) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+def _odd(s: np.ndarray) -> bytes:
+    """The odd sketch of a set: a power of two of bits, at least one a shingle."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    places = (s & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all as short as the shortest; halves are added by exclusive or."""
+    sizes = np.array([len(s) for s in sketches], np.int64) // 8
+    least = int(sizes.min()) if len(sizes) else 1
+    out = np.zeros((len(sketches), least), np.uint64)
+    for size in np.unique(sizes):
+        rows = np.nonzero(sizes == size)[0]
+        a = np.frombuffer(b"".join([sketches[i] for i in rows.tolist()]), "<u8").reshape(len(rows), size)
+        while a.shape[1] > least:
+            a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+        out[rows] = a
+    return out
 
 
-def _node(text: str = "text") -> F.Column:
-    unknown = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2) + F.lit(1 << 62)
-    return F.coalesce(F.col("doc_id").cast("long"), unknown).alias("id")
+def _may_be_similar(a: np.ndarray, b: np.ndarray, total: np.ndarray, similarity: float) -> np.ndarray:
+    """False for the pairs of sketches that differ in more bits than the sets, of `total` shingles together, may in shingles."""
+    ok, step = np.zeros(len(total), bool), max(1, (1 << 20) // max(1, a.shape[1]))
+    for i in range(0, len(total), step):
+        j = slice(i, i + step)
+        ok[j] = np.bitwise_count(a[j] ^ b[j]).sum(1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * total[j] + 1e-6
+    return ok
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
+
+
+def _node() -> Column:
+    unknown = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), 2) + F.lit(1 << 62)
+    return F.coalesce(F.col("doc_id").cast("long"), unknown)
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +128,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     got = counts.orderBy(F.desc("n"), "h").limit(FREQUENT_SHINGLES).toArrow()
     h, n = (np.asarray(got.column(i).combine_chunks(), np.int64) for i in range(2))
     order = np.argsort(h.view(np.uint64))
-    return h.view(np.uint64)[order], n[order]
+    return h.view(np.uint64)[order], n[order].astype(np.int32)
 
 
 def _prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
@@ -99,26 +142,25 @@ def _prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity:
 
 
 def sketches(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """id, fp, fp2, key (a hash of the shingle set), n (its size) and prefix of every row, written once."""
+    """id, fp, key (a hash of the shingle set), n (its size), odd and prefix of every row, written once."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in batches:
-            out, first = [], []
+            out, odd, first = [], [], []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 s = _set(t)
                 first.append(_prefix(s, frequent.value, similarity).view(np.int64))
-                out.append((_majority(s), _majority(_remixed(s)), xxhash.xxh64_intdigest(s.tobytes(), 1), len(s)))
-            a = np.array(out, np.uint64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(a[:, i]).view(np.int64)) for i in range(4)], _lists(first)], names=["id", "fp", "fp2", "key", "n", "prefix"])
+                odd.append(_odd(s))
+                out.append((_majority(s), xxhash.xxh64_intdigest(s.tobytes(), 1), len(s)))
+            a = np.array(out, np.uint64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(a[:, i]).view(np.int64)) for i in range(3)], pa.array(odd, pa.binary()), _lists(first)], names=["id", "fp", "key", "n", "odd", "prefix"])
 
-    return cut(docs.select(_node(), "text").mapInArrow(run, "id long, fp long, fp2 long, key long, n long, prefix array<long>"), "dedup-sketches")
+    return cut(docs.select(_node().alias("id"), "text").mapInArrow(run, "id long, fp long, key long, n long, odd binary, prefix array<long>"), "dedup-sketches")
 
 
 def _dealt(classes: DataFrame, radius: int) -> DataFrame:
-    """(part, id, fp, fp2, n, home) of every class in its own shard and those that it visits in its band of sizes and the next.
+    """(part, id, fp, n, odd, home) of every class in its own shard and those that it visits in its band of sizes and the next.
 
     Bands are 1 / SIMILARITY wide, so similar sets are in the same band or neighbours.
     """
@@ -132,51 +174,53 @@ def _dealt(classes: DataFrame, radius: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [np.asarray(b.column(i)) for i in range(5)]
-            bands = cols[4]
+            ids, fps, sizes, bands = (np.asarray(b.column(i)) for i in (0, 1, 2, 4))
             for to in np.unique(np.concatenate([bands, bands + 1])).tolist():
                 if to not in routers:
                     continue
                 near = np.nonzero((bands == to) | (bands == to - 1))[0]
-                for shard, rows, home in routers[to].route(cols[1][near].astype(np.int64).view(np.uint64)):
-                    rows_, own = near[rows], bands[near[rows]] == to
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows_), to * 1_000_000 + shard, np.int64)), *[pa.array(c[rows_]) for c in cols[:4]], pa.array(home & own)], names=["part", "id", "fp", "fp2", "n", "home"])
+                for shard, rows, home in routers[to].route(fps[near].astype(np.int64).view(np.uint64)):
+                    at, own = near[rows], bands[near[rows]] == to
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), to * 1_000_000 + shard, np.int64)), *[pa.array(c[at]) for c in (ids, fps, sizes)], b.column(3).take(pa.array(at)), pa.array(home & own)], names=["part", "id", "fp", "n", "odd", "home"])
 
-    return classes.select("id", "fp", "fp2", "n", "band").mapInArrow(run, "part long, id long, fp long, fp2 long, n long, home boolean")
+    return classes.select("id", "fp", "n", "odd", "band").mapInArrow(run, "part long, id long, fp long, n long, odd binary, home boolean")
 
 
-def _pairs(p: pd.DataFrame, q: pd.DataFrame, radius: int, radius2: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions in q, positions in p) of candidates: both fingerprints near, sizes that allow the similarity."""
-    arr = lambda d, c: d[c].to_numpy(np.int64)
-    pid, qid, pn, qn = arr(p, "id"), arr(q, "id"), arr(p, "n"), arr(q, "n")
-    p2, q2 = arr(p, "fp2").view(np.uint64), arr(q, "fp2").view(np.uint64)
-    for x, y in tree_pairs(arr(p, "fp").view(np.uint64), arr(q, "fp").view(np.uint64), radius):
-        ok = (qid[x] != pid[y]) & (np.minimum(pn[y], qn[x]) >= similarity * np.maximum(pn[y], qn[x]))
+def _pairs(g: pd.DataFrame, residents: np.ndarray, queries: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions of queries, positions of residents) of candidates in g: fingerprints near, sizes and sketches that allow the similarity."""
+    ids, n, fp, odd = g["id"].to_numpy(np.int64), g["n"].to_numpy(np.int64), g["fp"].to_numpy(np.int64).view(np.uint64), _folded(list(g["odd"]))
+    for x, y in tree_pairs(fp[residents], fp[queries], radius):
+        x, y = queries[x], residents[y]
+        ok = (ids[x] != ids[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]))
         x, y = x[ok], y[ok]
-        ok = np.bitwise_count(p2[y] ^ q2[x]) <= radius2
+        ok = _may_be_similar(odd[x], odd[y], n[x] + n[y], similarity)
         yield x[ok], y[ok]
 
 
-def _involved(visits: DataFrame, radius: int, radius2: int, similarity: float) -> DataFrame:
-    """The visits that have a candidate in their shard: (part, id, fp, fp2, n, home)."""
+def _involved(visits: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """The visits that have a candidate in their shard: (part, id, fp, n, odd, home)."""
 
     def shard(g: pd.DataFrame) -> pd.DataFrame:
         g = g.reset_index(drop=True)
-        homes = np.nonzero(g["home"].to_numpy(bool))[0]
         on = np.zeros(len(g), bool)
-        for x, y in _pairs(g.iloc[homes], g, radius, radius2, similarity):
+        for x, y in _pairs(g, np.nonzero(g["home"].to_numpy(bool))[0], np.arange(len(g)), radius, similarity):
             on[x] = True
-            on[homes[y]] = True
+            on[y] = True
         return g[on]
 
-    return visits.groupBy("part").applyInPandas(shard, "part long, id long, fp long, fp2 long, n long, home boolean")
+    return visits.groupBy("part").applyInPandas(shard, "part long, id long, fp long, n long, odd binary, home boolean")
+
 
+def _matched(docs: DataFrame, ids: DataFrame, n: int, how: str) -> DataFrame:
+    """docs joined by `how` (left_semi or left_anti) to n ids of a column `id`: the ids are broadcast if their number is bounded, so texts stay where they are."""
+    other = ids.select(F.col("id").alias(free_name(docs, "node")))
+    return docs.join(F.broadcast(other) if n <= BROADCAST_IDS else other, _node() == other[other.columns[0]], how)
 
-def _sets(docs: DataFrame, involved: DataFrame) -> DataFrame:
-    """(id, s): the sorted shingle hashes of the involved classes, from one text of each."""
-    wanted = cut(involved.select("id").distinct(), "dedup-wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    rows = docs.select(_node(), "text").join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, s): the sorted shingle hashes of the classes named by id, from one text of each."""
+    wanted = cut(ids.select("id").distinct(), "dedup-wanted")
+    rows = _matched(docs.select("doc_id", "text"), wanted, wanted.count(), "left_semi").select(_node().alias("id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,97 +231,155 @@ def _sets(docs: DataFrame, involved: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"]), "dedup-sets")
 
 
-def _checked(involved: DataFrame, sets: DataFrame, radius: int, radius2: int, similarity: float) -> DataFrame:
-    """Edges (u, v) of a spanning forest of each shard's links: candidates whose exact Jaccard similarity is enough.
+def _linked(g: pd.DataFrame, radius: int, similarity: float) -> pd.DataFrame:
+    """A spanning forest (u, v) of the links between residents and queries of g, whose sets are in s."""
+    g = g.reset_index(drop=True)
+    ids, n, sets = g["id"].to_numpy(np.int64), g["n"].to_numpy(np.int64), [np.asarray(s, np.int64) for s in g["s"]]
+    residents, queries = (np.nonzero(g[c].to_numpy(bool))[0] for c in ("resident", "query"))
+    root, u, v = np.arange(len(g)), [], []
+    for i in range(0, len(queries), QUERY_ROWS):  # pairs in memory: at most those of a block of queries
+        found = list(_pairs(g, residents, queries[i : i + QUERY_ROWS], radius, similarity))
+        x, y = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(2))
+        if not len(x):
+            continue
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        edges = np.nonzero(np.diff(x, prepend=-1))[0].tolist()
+        for a, b in zip(edges, [*edges[1:], len(x)], strict=True):
+            q = int(x[a])
+            partners = y[a:b][root[y[a:b]] != root[q]]
+            for block in range(0, len(partners), QUERY_ROWS):
+                p = partners[block : block + QUERY_ROWS]
+                p = p[root[p] != root[q]]
+                if not len(p):
+                    continue
+                flat, s = np.concatenate([sets[k] for k in p.tolist()]), sets[q]
+                shared = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
+                common = np.add.reduceat(shared.astype(np.int64), np.cumsum(n[p]) - n[p])
+                p = p[common >= similarity * (n[q] + n[p] - common) - 1e-9]
+                u += [int(ids[q])] * len(p)
+                v += ids[p].tolist()
+                root[np.isin(root, root[p])] = root[q]
+    return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
-    Shared shingles are counted from postings, one query against all residents at a
-    time.  Shards with many visitors are worked in slices, each with all residents.
-    """
-    visitors = involved.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("home")) / SHARD_ROWS)).cast("int").alias("slices"))
-    dealt = involved.join(visitors, "part")
-    own = F.when(F.col("home"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")))
-    dealt = dealt.withColumn("slice", F.explode(own)).drop("slices").join(sets, "id")
 
-    def shard(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("home", ascending=False, kind="stable").reset_index(drop=True)
-        homes, sizes = int(g["home"].sum()), np.array([len(s) for s in g["s"]], np.int64)
-        if not homes:
-            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-        flat = np.concatenate([np.asarray(s, np.int64) for s in g["s"][:homes]])
-        owner = np.repeat(np.arange(homes, dtype=np.int32), sizes[:homes])
-        order = np.argsort(flat, kind="stable")
-        keys, owner = flat[order], owner[order]
-        u, v = [], []
-        for block in range(0, len(g), QUERY_ROWS):  # pairs in memory: at most those of a block of queries
-            found = list(_pairs(g.iloc[:homes], g.iloc[block : block + QUERY_ROWS], radius, radius2, similarity))
-            x, y = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(2))
-            order = np.argsort(x, kind="stable")
-            x, y = x[order] + block, y[order]
-            edges = np.nonzero(np.diff(x, prepend=-1))[0].tolist()
-            for i, j in zip(edges, [*edges[1:], len(x)], strict=True):
-                q, partners = int(x[i]), y[i:j]
-                s = np.asarray(g["s"].iat[q], np.int64)
-                lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                common = np.bincount(owner[at], minlength=homes)[partners]
-                ok = common >= similarity * (sizes[q] + sizes[partners] - common)
-                u.append(np.full(int(ok.sum()), q)), v.append(partners[ok])
-        root = forest(np.concatenate([*u, np.zeros(0, np.int64)]), np.concatenate([*v, np.zeros(0, np.int64)]), len(g))
-        on, ids = root != np.arange(len(g)), g["id"].to_numpy(np.int64)
-        return pd.DataFrame({"u": ids[on], "v": ids[root[on]]})
-
-    return dealt.groupBy("part", "slice").applyInPandas(shard, "u long, v long")
+def _checked(involved: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Edges (u, v) that hold together each shard's links: candidates whose exact Jaccard similarity is enough.
+
+    Residents and queries of a large shard are dealt out to slices; each slice of
+    queries meets each slice of residents in a task of its own.
+    """
+    slices = lambda on: F.greatest(F.lit(1), F.ceil(F.count_if(on) / SLICE_ROWS), F.ceil(F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)) / SLICE_SHINGLES)).cast("int")
+    sizes = involved.groupBy("part").agg(slices(F.col("home")).alias("down"), slices(F.lit(True)).alias("across"))
+    to = lambda i, j, resident, query: F.struct(i.alias("i"), j.alias("j"), resident.alias("resident"), query.alias("query"))
+    no, yes = F.lit(False), F.lit(True)
+    d = involved.join(sizes, "part").withColumn("i0", F.pmod(F.xxhash64(F.lit(1), "id"), "down").cast("int")).withColumn("j0", F.pmod(F.xxhash64(F.lit(2), "id"), "across").cast("int"))
+    as_resident = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda j: to(F.col("i0"), j, yes, j == F.col("j0")))).otherwise(F.array().cast("array<struct<i:int,j:int,resident:boolean,query:boolean>>"))
+    as_query = F.filter(F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: to(i, F.col("j0"), no, yes)), lambda c: ~F.col("home") | (c["i"] != F.col("i0")))
+    d = d.select("part", "id", "fp", "n", "odd", F.explode(F.concat(as_resident, as_query)).alias("c")).select("part", "id", "fp", "n", "odd", "c.*").join(sets, "id")
+    return d.groupBy("part", "i", "j").applyInPandas(lambda g: _linked(g, radius, similarity), "u long, v long")
+
+
+def _shared_posts(classes: DataFrame) -> DataFrame:
+    """(h, id) of the prefix shingles that classes (id, root, prefix) of several roots hold; they travel packed, a row for each batch and part."""
+    total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    parts = max(8, -(-total // PART_POSTS))
+    columns = ("h", "id", "root")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = b.column(2)
+            size = np.diff(np.asarray(first.offsets, np.int64))
+            h = np.asarray(first.flatten(), np.int64)
+            ids, roots = (np.repeat(np.asarray(b.column(i), np.int64), size) for i in range(2))
+            part = (h.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            there, ends = np.unique(part, return_index=False), np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+            at = pa.array(np.append(ends[there], len(h)).astype(np.int32))
+            # a root is sent as its distance from the id, which is mostly none
+            yield pa.RecordBatch.from_arrays([pa.array(there), *[pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (h, ids, roots - ids)]], names=["part", *columns])
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        h, ids, roots = (np.concatenate([np.asarray(x, np.int64) for x in g[c]]) for c in columns)
+        roots = roots + ids
+        order = np.lexsort((roots, h))
+        h, ids, roots = h[order], ids[order], roots[order]
+        first = np.append(True, h[1:] != h[:-1])
+        last = np.append(first[1:], True)
+        on = (roots[first] != roots[last])[np.cumsum(first) - 1]
+        return pd.DataFrame({"h": h[on], "id": ids[on], "root": roots[on]})
+
+    packed = classes.select("id", "root", "prefix").mapInArrow(pack, "part long, h array<long>, id array<long>, root array<long>")
+    return packed.groupBy("part").applyInPandas(meet, "h long, id long, root long")
 
 
 def _beyond(docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) between classes (id, n, prefix, root) of different roots whose exact Jaccard similarity is enough.
-
-    A shingle that only one root's prefixes hold goes first, so a group of copies makes
-    no pairs of its own.
-    """
-    posts = classes.select("id", "n", "root", F.explode("prefix").alias("h"))
-    shared = cut(posts.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("h"), "dedup-shared")
-    posts = posts.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "h", "left_semi")
-    posts = cut(posts.groupBy("h", "root").agg(F.collect_list(F.struct("id", "n")).alias("m")), "dedup-posts")
-    other = posts.select("h", F.col("root").alias("root2"), F.col("m").alias("m2"))
-    both = posts.join(other, "h").filter("root < root2").select(F.explode("m").alias("x"), "m2").select("x", F.explode("m2").alias("y"))
-    sized = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
-    pairs = cut(both.filter(sized).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct(), "dedup-pairs")
-    sets = _sets(docs, pairs.select(F.col("u").alias("id")).union(pairs.select("v")))
-    met = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("s")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("s2")), "v")
+    """Edges (u, v) between classes (id, n, odd, prefix, root) of different roots whose exact Jaccard similarity is enough."""
+    kept = cut(_shared_posts(classes), "dedup-posts")
+    posts = kept.join(classes.select("id", "n"), "id")
+    other = posts.select("h", F.col("id").alias("v"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+    sized = F.least("n", "n2") >= similarity * F.greatest("n", "n2")
+    pairs = posts.join(other, "h").filter((F.col("root") < F.col("root2")) & sized).select(F.col("id").alias("u"), "v").distinct()
+    sketch = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}"))
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                rows = _folded_pairs(b.column(4).to_pylist(), b.column(5).to_pylist(), np.asarray(b.column(2), np.int64) + np.asarray(b.column(3), np.int64), similarity)
+                yield b.select([0, 1]).filter(pa.array(rows))
+
+    tested = pairs.join(sketch("u"), "u").join(sketch("v"), "v").select("u", "v", "n_u", "n_v", "odd_u", "odd_v").mapInArrow(possible, "u long, v long")
+    tested = cut(tested, "dedup-pairs")
+    sets = _sets(docs, tested.select(F.col("u").alias("id")).union(tested.select("v")))
+    met = tested.join(sets.select(F.col("id").alias("u"), "s"), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("s2")), "v")
     met = met.select("u", "v", F.size(F.array_intersect("s", "s2")).alias("common"), (F.size("s") + F.size("s2")).alias("total"))
-    return met.filter(F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("u", "v")
+    links = cut(met.filter(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select("u", "v"), "dedup-far")
+    discard(kept, tested, sets)
+    return links
+
+
+def _folded_pairs(a: list[bytes], b: list[bytes], total: np.ndarray, similarity: float) -> np.ndarray:
+    """_may_be_similar() of pairs of sketches, in groups of one size."""
+    ok, least = np.zeros(len(a), bool), np.minimum([len(x) for x in a], [len(x) for x in b])
+    for size in np.unique(least):
+        rows = np.nonzero(least == size)[0]
+        short = b"\0" * int(size)  # makes both sides as short as the shorter of each pair
+        x, y = (_folded([*(side[i] for i in rows.tolist()), short])[:-1] for side in (a, b))
+        ok[rows] = _may_be_similar(x, y, total[rows], similarity)
+    return ok
 
 
-def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, radius2: int = RADIUS2) -> DataFrame:
-    """(id, stays): every row's id and the id that stays for its group."""
+def groups(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """(id, stays): every row's id and the id that stays for its group, written once."""
     rows = sketches(docs, similarity)
-    named = cut(rows.groupBy("fp", "key").agg(F.min("id").alias("id"), F.first("fp2").alias("fp2"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "dedup-classes")
+    named = cut(rows.groupBy("fp", "key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "odd", "prefix")]), "dedup-classes")
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(-float(np.log(similarity)))).cast("long")
-    involved = cut(_involved(_dealt(named.filter("n > 0").withColumn("band", band), radius), radius, radius2, similarity), "dedup-involved")
-    links = _checked(involved, _sets(docs, involved), radius, radius2, similarity)
+    involved = cut(_involved(_dealt(named.filter("n > 0").withColumn("band", band), radius), radius, similarity), "dedup-involved")
+    sets = _sets(docs, involved)
+    links = cut(_checked(involved, sets, radius, similarity), "dedup-links")
+    discard(involved, sets)
     near = cut(components(links, "dedup-components"), "dedup-near")
     rooted = lambda roots: named.join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    beyond = _beyond(docs, rooted(near).select("id", "n", "prefix", "root"), similarity)
+    beyond = _beyond(docs, rooted(near).select("id", "n", "odd", "prefix", "root"), similarity)
     far = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(beyond), "dedup-components")
     joined = rooted(far).select("fp", "key", F.col("root").alias("stays"))
-    return rows.select("id", "fp", "key").join(joined, ["fp", "key"]).select("id", "stays")
+    judged = cut(rows.select("id", "fp", "key").join(joined, ["fp", "key"]).select("id", "stays"), "dedup-groups")
+    discard(rows, named, links, near, beyond)
+    return judged
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that stay, one of each group, with docs' columns.
 
-    Texts move only if there are more than BROADCAST_IDS ids to take out: the ids that
-    go are counted first, and up to that bound (under 32 MB) they are broadcast.
+    The ids that go are counted first; up to BROADCAST_IDS they are broadcast and texts
+    stay where they are.
     """
-    judged = cut(groups(docs, **how), "dedup-groups")
-    again = cut(judged.filter("id = stays").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("_dedup_id")), "dedup-again")
-    out = cut(judged.filter("id <> stays").select(F.col("id").alias("_dedup_id")).union(again).distinct(), "dedup-out")
-    hint = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    same = _node() == F.col("_dedup_id")
-    once = docs.join(hint(out), same, "left_anti")
+    judged = groups(docs, **how)
+    again = cut(judged.filter("id = stays").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "dedup-again")
+    out = cut(judged.filter("id <> stays").select("id").union(again).distinct(), "dedup-out")
+    once = _matched(docs, out, out.count(), "left_anti")
     if again.isEmpty():
         return once
-    repeated = docs.join(hint(again), same, "left_semi").withColumn("_dedup_id", _node())
-    return once.unionByName(repeated.dropDuplicates(["_dedup_id"]).drop("_dedup_id"))
+    node = free_name(docs, "node_of_row")
+    repeated = _matched(docs, again, again.count(), "left_semi").withColumn(node, _node())
+    return once.unionByName(repeated.dropDuplicates([node]).drop(node))
