@@ -7,14 +7,18 @@ anchors.  That routes text to shards without any all-against-all streaming:
 1. Every document names its anchors; those named by one document only are dropped
    (their windows cannot repeat elsewhere).  Anchors that repeat within a batch are
    known on the spot; the rest travel once, packed, to be compared across batches.
-2. Runs of windows with a shared anchor go to the anchor's shard as segments, equal
-   segments once with their smallest doc_id.  Anchors of more than HOT_DOCUMENTS
-   documents are dealt by whole windows instead, so that no shard gathers them.
+2. Texts with shared anchors move once, to buckets of their ids.  Runs of windows with a
+   shared anchor go to the anchor's shard as segments, equal segments once with their
+   smallest doc_id; a task writes a segment's words once, however many documents hold it.
+   Anchors of more than HOT_DOCUMENTS documents are dealt by whole windows instead, so
+   that no shard gathers them.
 3. A shard builds an FM-index of its segments (suffix array, BWT, wavelet tree with
    bit-packed levels and rank blocks) and streams the segments through it: backward
    search, all positions at once, gives the matching statistics up to WINDOW words.
-   Intervals that reach WINDOW yield the smallest doc_id of their occurrences.
-4. A document loses the words of each window whose smallest doc_id is below its own.
+   Intervals that reach WINDOW yield the smallest doc_id of their occurrences, reported
+   as runs of windows with one owner.
+4. A document loses the words of each window whose smallest doc_id is below its own; its
+   runs come to the buckets, so its text does not move again.
 
 Defined results: null and short texts lose nothing; rows with the same doc_id never
 remove from each other; a null id counts as larger than all others; texts of any
@@ -24,6 +28,7 @@ length are read whole; only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +38,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard, new_path, remove_path
 
 WINDOW, GRAM, HOT_DOCUMENTS, SHARD_WORDS, PART_BYTES = 13, 6, 2000, 1_500_000, 50_000_000
+#: Segments that a task remembers to have written.
+WRITTEN = 500_000
 #: Rows without an id stand from here on, above all ids.
 NO_ID = 1 << 62
 
@@ -105,7 +112,9 @@ def measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = cut(rows.mapInArrow(run, f"id long, row long, doc_id {kind}, n_words long, sha string, part long, anchors array<long>, ids array<long>"), "fm-anchors")
     here = both.filter("part = -1").select(F.explode(F.arrays_zip("ids", "anchors")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.anchors").alias("anchor"))
     across = both.filter("part >= 0").select("part", "anchors", "ids").groupBy("part").applyInPandas(meet, "id long, anchor long")
-    return both.filter("part is null").select("id", "row", "doc_id", "n_words", "sha"), cut(here.union(across), "fm-marks")
+    found, marks = cut(both.filter("part is null").select("id", "row", "doc_id", "n_words", "sha"), "fm-found"), cut(here.union(across), "fm-marks")
+    discard(both)
+    return found, marks
 
 
 def _compared(a: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,79 +227,123 @@ def smallest_owner(segments: list[bytes], owners: np.ndarray, window: int = WIND
 
 
 def _segments(cand: DataFrame) -> DataFrame:
-    """(key, id, row, start, segment) of the runs of windows with a shared anchor; hot anchors give one segment a window."""
+    """(key, seg, id, row, start, segment) of the runs of windows with a shared anchor; hot anchors give one segment a window.
+
+    seg is the segment's hash; segment, its words, is null where the task has written them before.
+    """
+    kinds = {"key": pa.int64(), "seg": pa.int64(), "id": pa.int64(), "row": pa.int64(), "start": pa.int32(), "segment": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written: set[int] = set()
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for id_, row, t, shared, hot in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                w = t.split()
+            key, seg, size, start, segment = [], [], [], [], []
+            for t, shared, hot in zip(*(b.column(k).to_pylist() for k in ("words", "shared", "hot")), strict=True):
+                w = t.split(b" ")
                 a = anchors(w)
-                if not len(a):
-                    continue
-                edges = np.nonzero(np.diff(a, prepend=a[0] - 1 if a[0] > -(1 << 62) else a[0] + 1))[0]
-                ends = np.append(edges[1:], len(a))
-                hot_set = {x for x, y in zip(shared, hot, strict=True) if y}
-                shared_set = set(shared)
-                for i, j in zip(edges.tolist(), ends.tolist(), strict=True):
-                    key = int(a[i])
-                    if key in hot_set:
-                        for k in range(i, j):
-                            s = b" ".join(w[k : k + WINDOW])
-                            for col, v in zip(out, (np.uint64(xxhash.xxh64_intdigest(s)).astype(np.int64).item(), id_, row, k, s), strict=True):
-                                col.append(v)
-                    elif key in shared_set:
-                        for col, v in zip(out, (key, id_, row, i, b" ".join(w[i : j + WINDOW - 1])), strict=True):
-                            col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "id", "row", "start", "segment"])
-
-    return cand.select("id", "row", "text", "shared", "hot").mapInArrow(run, "key long, id long, row long, start int, segment binary")
-
-
-def removals(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate rows with their text, and (id, row, starts) of the windows to remove."""
+                ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+                edges = np.append(0, np.nonzero(np.diff(a))[0] + 1)
+                named, hot_set, n = a[edges], {x for x, y in zip(shared, hot, strict=True) if y}, len(key)
+                on = np.isin(named, np.array(shared, np.int64))
+                for i, j, k in zip(edges[on].tolist(), np.append(edges[1:], len(a))[on].tolist(), named[on].tolist(), strict=True):
+                    for first, last in ((x, x + 1) for x in range(i, j)) if k in hot_set else ((i, j),):
+                        x = t[int(ends[first - 1]) if first else 0 : int(ends[last + WINDOW - 2]) - 1]
+                        h = xxhash.xxh64_intdigest(x)
+                        key.append(h if k in hot_set else k), seg.append(h), start.append(first), segment.append(None if h in written else x)
+                        if len(written) >= WRITTEN:
+                            written.clear()
+                        written.add(h)
+                size.append(len(key) - n)
+            ids, rows = (np.repeat(np.asarray(b.column(k), np.int64), size) for k in ("id", "row"))
+            whole = lambda x: np.array([v & (1 << 64) - 1 for v in x], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for k, c in zip(kinds, (whole(key), whole(seg), ids, rows, start, segment), strict=True)], names=list(kinds))
+
+    return cand.select("id", "row", "words", "shared", "hot").mapInArrow(run, "key long, seg long, id long, row long, start int, segment binary")
+
+
+def _candidates(docs: DataFrame, marks: DataFrame, name: str, path: str) -> DataFrame:
+    """The rows with shared anchors: id, row, their words joined by one space, shared and hot; a table in buckets of their ids."""
+    spark = docs.sparkSession
     hot = marks.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_DOCUMENTS).select("anchor", F.lit(True).alias("hot"))
     lists = marks.join(hot, "anchor", "left").groupBy("id").agg(F.collect_set(F.struct("anchor", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("x"))
     lists = lists.select("id", F.col("x.anchor").alias("shared"), F.col("x.hot").alias("hot"))
-    text = docs.select(*_keys(), "text").filter(F.col("text").isNotNull())
-    cand = cut(text.join(lists, "id").dropDuplicates(["id", "row"]), "fm-candidates")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([b" ".join(t.split()) for t in b.column(2).cast(pa.binary()).to_pylist()], pa.binary())], names=["id", "row", "words"])
+
+    text = docs.select(*_keys(), "text").filter(F.col("text").isNotNull()).mapInArrow(joined, "id long, row long, words binary")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a row that repeats an id and a text stands once; such rows lose the same
+    rows = text.join(lists, "id").dropDuplicates(["id", "row"])
+    rows.write.bucketBy(buckets, "id").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def removals(cand: DataFrame) -> DataFrame:
+    """(id, row, runs) of the rows of cand that lose words: runs of windows (start, n) to remove."""
     segs = cut(_segments(cand), "fm-segments")
-    digest = F.xxhash64(F.lit(1), "segment")
-    distinct = segs.groupBy("key", "segment").agg(F.min("id").alias("owner")).withColumn("seg", digest)
-    words = segs.agg(F.sum(F.size(F.split(F.col("segment").cast("string"), " ")))).first()[0] or 0
-    shards = max(1, -(-words // SHARD_WORDS))
+    distinct = segs.groupBy("key", "seg").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.first("segment", ignorenulls=True).alias("segment"))
+    words = segs.agg(F.sum(F.length("segment"))).first()[0] or 0
+    shards = max(1, -(-words // (7 * SHARD_WORDS)))
 
     def shard(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["key", "seg"], kind="stable")
-        return pd.DataFrame({"key": g["key"].to_numpy(), "seg": g["seg"].to_numpy(), "owners": smallest_owner(list(g["segment"]), g["owner"].to_numpy(np.int64))})
+        own, several = g["owner"].to_numpy(np.int64), (g["last"] > g["owner"]).to_numpy(bool)
+        found = smallest_owner(list(g["segment"]), own)
+        n = np.array([len(x) for x in found], np.int64)
+        at, owner = np.repeat(np.arange(len(n)), n), np.concatenate([*found, np.zeros(0, np.int64)])
+        first = np.ones(len(at), bool)
+        first[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
+        begins = np.nonzero(first)[0]
+        runs = np.diff(np.append(begins, len(at)))
+        # windows that only one id holds remove nothing
+        on = several[at[begins]] | (owner[begins] < own[at[begins]])
+        begins, runs = begins[on], runs[on]
+        at = at[begins]
+        return pd.DataFrame({"key": g["key"].to_numpy()[at], "seg": g["seg"].to_numpy()[at], "owner": owner[begins], "at": (begins - (np.cumsum(n) - n)[at]).astype(np.int32), "n": runs.astype(np.int32)})
 
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    owned = dealt.groupBy("shard").applyInPandas(shard, "key long, seg long, owners array<long>")
-    member = segs.select("key", digest.alias("seg"), "id", "row", "start").join(owned, ["key", "seg"])
-    gone = member.select("id", "row", "start", F.posexplode("owners").alias("i", "owner")).filter(F.col("owner") < F.least("id", F.lit(NO_ID)))
-    return cand, gone.groupBy("id", "row").agg(F.collect_set(F.col("start") + F.col("i")).alias("starts"))
+    owned = cut(dealt.groupBy("shard").applyInPandas(shard, "key long, seg long, owner long, at int, n int"), "fm-owned")
+    member = segs.select("key", "seg", "id", "row", "start").join(owned, ["key", "seg"]).filter(F.col("owner") < F.least("id", F.lit(NO_ID)))
+    gone = cut(member.groupBy("id", "row").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("start"), "n")).alias("runs")), "fm-runs")
+    discard(segs, owned)
+    return gone
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    docs = docs.select("doc_id", "text")
-    found, marks = measured(docs)
-    cand, gone = removals(docs, marks)
+def _changed(cand: DataFrame, gone: DataFrame) -> DataFrame:
+    """(id, row, n_removed, kept) of the rows that lose words; cand stays in its buckets, and rows that share an id find their own runs by their text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            removed, sha = [], []
-            for t, starts in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
-                w = t.split()
-                step = np.zeros(len(w) + 1, np.int64)
-                s = np.array(starts, np.int64)
-                np.add.at(step, s, 1)
-                np.add.at(step, s + WINDOW, -1)
-                keep = np.cumsum(step[:-1]) == 0
-                removed.append(int((~keep).sum()))
-                sha.append(_sha([w[i] for i in np.nonzero(keep)[0].tolist()]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(sha)], names=["id", "row", "n_removed", "kept"])
-
-    changed = cand.select("id", "row", "text").join(gone, ["id", "row"]).select("id", "row", "text", "starts").mapInArrow(run, "id long, row long, n_removed long, kept string")
-    out = found.select("id", "row", "doc_id", "n_words", "sha").join(cut(changed, "fm-changed"), ["id", "row"], "left")
+            at, removed, sha = [], [], []
+            for k, (row, t, of) in enumerate(zip(*(b.column(c).to_pylist() for c in ("row", "words", "of")), strict=True)):
+                for r in of:
+                    if r["row"] != row:
+                        continue
+                    w = t.split(b" ")
+                    step = np.zeros(len(w) + 1, np.int64)
+                    s, n = (np.array([x[c] for x in r["runs"]], np.int64) for c in ("start", "n"))
+                    np.add.at(step, s, 1)
+                    np.add.at(step, s + n + WINDOW - 1, -1)
+                    keep = np.cumsum(step[:-1]) == 0
+                    at.append(k), removed.append(int((~keep).sum())), sha.append(_sha([w[i] for i in np.nonzero(keep)[0].tolist()]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["id", "row", "n_removed", "kept"])
+
+    by_id = gone.groupBy("id").agg(F.collect_list(F.struct("row", "runs")).alias("of"))
+    return cut(cand.select("id", "row", "words").join(by_id, "id").select("id", "row", "words", "of").mapInArrow(run, "id long, row long, n_removed long, kept string"), "fm-changed")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every row."""
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    found, marks = measured(docs)
+    name, path = f"tidemark_{uuid.uuid4().hex}", new_path(spark, "fm-candidates")
+    cand = _candidates(docs, marks, name, path)
+    discard(marks)
+    gone = removals(cand)
+    changed = _changed(cand, gone)
+    spark.sql(f"DROP TABLE {name}")
+    remove_path(spark, path)
+    discard(gone)
+    out = found.select("id", "row", "doc_id", "n_words", "sha").join(changed, ["id", "row"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
