@@ -10,7 +10,7 @@ little-endian:
     for each block: ids u32, largest id u32, bytes u32, CRC-32 of its ids as u32
     CRC-32 of everything before | the blocks' bytes
 
-A block holds BLOCK ids (the last fewer) and is coded from a fresh model.  The chance
+A block holds at most BLOCK ids and is coded from a fresh model.  The chance
 of an id is a mixture of three predictions,
 
     p(x) = w2 [x = a] + w1 [x = b] + w0 p0(x)
@@ -34,6 +34,7 @@ vocabulary with ids of 65,536 or more is refused.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,13 +46,15 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-END, BLOCK, CHUNK = 2, 1 << 20, 1 << 22
+END, BLOCK, CHUNK = 2, 1 << 22, 1 << 23
 #: Lanes at most, and ids that a lane has if there are enough.
-LANES, LANE_IDS = 2048, 256
+LANES, LANE_IDS = 8192, 256
 #: Binary logarithms: sum of the weights, least weight of order 0, slots of order 2, what a range is filled up to, slots of the lookup of counts.
 WHOLE, FLOOR, SLOTS, LEAST, LOOKUP = 28, 21, 18, 31, 16
 #: How sure a prediction can get, and what one count of order 0 weighs at most against the chance that every id has.
 SURE, COUNT = 7, 32
+#: By how sure a prediction was, first where it was wrong, then where it was right: how sure its place is now, as the place holds it.
+NEXT = np.array([max(1, k >> 1) << 16 for k in range(SURE + 1)] + [min(SURE, k + 1) << 16 for k in range(SURE + 1)], np.int64)
 HEAD, BLOCK_HEAD = "<4sIIQI", 4
 BROADCAST_CHUNKS = 100_000
 I64, U64 = np.int64, np.uint64
@@ -76,6 +79,8 @@ class Mixer:
         if self.fresh:
             self.seen += np.bincount(np.concatenate(self.fresh), minlength=self.alphabet)
             self.fresh = []
+        if int(self.seen.sum()) + self.alphabet > 1 << FLOOR:  # old counts fade, so that all of them stay below the least weight
+            self.seen >>= 1
         weight = max(1, min(COUNT, ((1 << FLOOR) - self.alphabet) // max(1, int(self.seen.sum()))))
         self.below = np.zeros(self.alphabet + 1, U64)
         np.cumsum((self.seen * weight + 1).astype(U64), out=self.below[1:])
@@ -101,8 +106,10 @@ class Mixer:
         """(weight of all ids below x, weight of x) in each lane."""
         start = self._zero(x, self.w0)
         size = self._zero(x + 1, self.w0) - start
-        start += self.w2 * (self.a < x) + self.w1 * (self.b < x)
-        size += self.w2 * (self.a == x) + self.w1 * (self.b == x)
+        start += self.w2 * (self.a < x)
+        start += self.w1 * (self.b < x)
+        size += self.w2 * (self.a == x)
+        size += self.w1 * (self.b == x)
         return start, size
 
     def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,13 +146,12 @@ class Mixer:
 
     def learn(self, m: int, x: np.ndarray) -> None:
         is_a, is_b = self.a == x, self.b == x
-        kind = np.where(is_a, 0, np.where(is_b, 1, 2))
+        kind = np.where(is_a, 0, 2 - is_b)
         self.right += np.bincount(self.state * 3 + kind, minlength=self.right.size).reshape(self.right.shape)
         self.fresh.append(x[kind == 2])
-        for table, slot, held, sure, hit in zip(self.tables, self.slots, self.held, self.sure, (is_a, is_b), strict=True):
-            up = held + ((sure < SURE).astype(I64) << 16)
-            down = np.where(sure > 1, (held & 0xFFFF) | ((sure >> 1) << 16), x | (1 << 16))
-            table[slot] = np.where(hit, up, down)  # of lanes with one slot the last one counts
+        for table, slot, held, sure, hit in zip(self.tables, self.slots, (self.a, self.b), self.sure, (is_a, is_b), strict=True):
+            kept = np.where(hit | (sure > 1), held, x)
+            table[slot] = kept | NEXT.take(sure + hit * (SURE + 1))  # of lanes with one slot the last one counts
         self.last[1][:m] = self.last[0][:m]
         self.last[0][:m] = x
         self.step += 1
@@ -166,7 +172,7 @@ def encode_block(ids: np.ndarray) -> bytes:
     """The coded ids (at least one, each below 65,536)."""
     steps, sizes = _lanes(len(ids))
     lanes = len(sizes)
-    grid = np.zeros(lanes * steps, I64)
+    grid = np.zeros(lanes * steps, np.uint16)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Mixer(int(grid.max()) + 1, lanes)
@@ -175,7 +181,7 @@ def encode_block(ids: np.ndarray) -> bytes:
     for t in range(steps):
         m = lanes if t < sizes[-1] else lanes - 1
         model.predict(m)
-        x = grid[t, :m]
+        x = grid[t, :m].astype(I64)
         start, size = model.span(x)
         unit = span[:m] >> U64(WHOLE)
         low[:m] += unit * start
@@ -230,7 +236,7 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def write_chunk(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    parts = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    parts = np.array_split(ids, max(1, -(-len(ids) // BLOCK))) if len(ids) else []
     blocks = [encode_block(p) for p in parts]
     index = zlib.compress(np.array([d is None for d in doc_ids], np.uint8).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u4").tobytes())
     head = struct.pack(HEAD, b"TMK2", len(doc_ids), len(blocks), len(ids), len(index)) + index
@@ -267,7 +273,7 @@ class Words:
     ASCII punctuation before or after them are encoded as two or three pieces.
     """
 
-    LIMIT = 400_000
+    LIMIT = 600_000
     #: ASCII punctuation without the apostrophe, which can begin a piece with letters in it.
     EDGE = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -275,22 +281,36 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.ids, self.older = Tokenizer.from_str(spec), {}, {}
+        # runs of a-z need no normalising and are parted by blanks alone; this reads them faster, once it has been seen to read some alike
+        bare = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.bare = Tokenizer.from_str(json.dumps(json.loads(spec) | {"normalizer": None, "pre_tokenizer": bare, "added_tokens": []}))
+        self.trusted = None
         self.ends = np.zeros(1 << 16, bool)  # ids that end a piece
         for token, i in self.tokenizer.get_vocab().items():
             if i >= 1 << 16:
                 raise ValueError(f"the vocabulary has the id {i}, files hold ids below 65536")
             self.ends[i] = token.endswith("</w>")
 
-    def _learn_runs(self, runs: list[bytes]) -> None:
-        """Of letters alone or punctuation alone: encoded in one go, as the end of each shows."""
-        ids = np.array(self.tokenizer.encode(b" ".join(runs).decode(), add_special_tokens=False).ids, "<u2")
-        ends = np.nonzero(self.ends[ids])[0] + 1
-        if len(ends) != len(runs) or (ends[-1:] != len(ids)).any():
-            return self._learn_words(runs)
-        raw, at = ids.tobytes(), 0
-        for w, e in zip(runs, (2 * ends).tolist(), strict=True):
-            self.ids[w] = raw[at:e]
-            at = e
+    def _learn_runs(self, tokenizer, runs: list[bytes]) -> None:
+        """Of letters alone or punctuation alone: encoded a thousand in one go, as the end of each shows."""
+        parts = [runs[i : i + 1000] for i in range(0, len(runs), 1000)]
+        for part, e in zip(parts, tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u2")
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                self._learn_words(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, e in zip(part, (2 * ends).tolist(), strict=True):
+                self.ids[w] = raw[at:e]
+                at = e
+
+    def _trusts(self, plain: list[bytes]) -> bool:
+        """Whether the bare tokenizer reads runs of a-z as the whole one does, tried on the first that come."""
+        if self.trusted is None and plain:
+            text = b" ".join(plain[:2000]).decode()
+            self.trusted = self.bare.encode(text, add_special_tokens=False).ids == self.tokenizer.encode(text, add_special_tokens=False).ids
+        return bool(self.trusted)
 
     def _learn_words(self, words: list[bytes]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
@@ -299,13 +319,16 @@ class Words:
     def learn(self, words: set[bytes]) -> None:
         new = words.difference(self.ids)
         if len(self.ids) + len(new) > self.LIMIT:  # the words of before are kept as the older half
-            self.ids, self.older, new = {}, self.ids, words
+            self.ids, self.older, new = {}, self.ids, set(words)
         known, older = self.ids, self.older
+        again = [w for w in new if w in older] if older else ()
+        for w in again:
+            known[w] = older[w]
+        new.difference_update(again)
+        plain = {w for w in new if w.isalpha() and w.islower()}  # bytes: a-z alone
+        new -= plain
         runs, others, edged, edges = set(), [], [], []
         for w in new:
-            if w in older:
-                known[w] = older[w]
-                continue
             core = w.strip(self.EDGE)
             if not core:
                 runs.add(w)
@@ -318,11 +341,12 @@ class Words:
                 edged.append(w)
                 edges.append((w[:at], core, w[at + len(core) :]))
                 runs.update(edges[-1])
-        runs.discard(b"")
+        plain.update(w for w in runs if w.isalpha() and w.islower())
+        runs.difference_update(plain, (b"",))
         self._learn_words(others)
-        plain = list(runs.difference(known))
-        for i in range(0, len(plain), 1000):
-            self._learn_runs(plain[i : i + 1000])
+        todo = list(plain.difference(known))
+        self._learn_runs(self.bare if self._trusts(todo) else self.tokenizer, todo)
+        self._learn_runs(self.tokenizer, list(runs.difference(known)))
         known[b""] = b""
         for w, pieces in zip(edged, edges, strict=True):
             known[w] = b"".join(map(known.__getitem__, pieces))
