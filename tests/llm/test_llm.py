@@ -408,6 +408,7 @@ def test_blocks_of_the_benchmark_agree(spark, docs, monkeypatch):
         exact |= {r.doc_id for i in range(len(w) - 12) if tuple(w[i : i + 13]) in keys}
     assert exact <= {k[0] for k in want if k[3]} and len(exact) > 0
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 400)
+    monkeypatch.setattr(decontam, "SLICE_BYTES", 1000)
     assert bag(decontam.report(docs, bench).withColumn("items", F.array_join("items", ",")), "doc_id", "items", "n_items", "contaminated") == want
 
 

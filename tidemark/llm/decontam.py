@@ -12,13 +12,16 @@ every capitalised word as a name, so a name that begins a sentence can be anothe
 a heading without end punctuation does no harm; and plain words, so a copy of a window
 or of a short item is always found, whatever it is made of.
 
-The benchmark's windows are joined in blocks of at most BLOCK_WINDOWS (under 64 MB),
-each broadcast; documents pass all blocks in one job without a shuffle.
+The benchmark's windows are joined in blocks of at most BLOCK_WINDOWS (under 64 MB).  Up
+to BLOCKS of them are broadcast at once and met in one pass over the documents, which
+stay where they are; a larger benchmark takes further passes, each over what the one
+before has written.
 
 Defined results: null and empty texts never match; items under WINDOW words are one
 window; items under MIN_WORDS words and windows with fewer than half literal words are
 sought as plain words alone, and nothing that is all punctuation is sought; null items
-and repeated items do no harm; texts of any length are read whole; other columns pass through, the prefix `_leak_` is reserved.
+and repeated items do no harm, an item without id is listed as null; texts of any
+length are read whole; other columns pass through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,14 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut, free_name
 
-WINDOW, MIN_WORDS, BLOCK_WINDOWS = 13, 5, 1_000_000
-CACHE_WORDS = 400_000
+WINDOW, MIN_WORDS, BLOCK_WINDOWS, BLOCKS = 13, 5, 1_000_000, 4
+#: Words that a task remembers, and bytes of texts that it works on at once (one text at least).
+CACHE_WORDS, SLICE_BYTES = 400_000, 2_000_000
 
 # Units that count as such after a number.
 UNITS = frozenset("mm cm m km inch inches in ft feet foot yard yards mile miles mg g kg t lb lbs oz ounce ounces ml l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent % $ € £ dollar dollars cent cents euro euros pound pounds usd eur degree degrees c f k hz khz mhz ghz w kw v kb mb gb tb kmh mph".split())
@@ -52,18 +58,23 @@ class Words(dict):
     """Word -> place in arrays of (kind, literal hash, is a unit, ends a sentence); filled as words are met."""
 
     def __init__(self):
-        self.kind, self.hash, self.unit, self.ends = [], [], [], []
+        self.new: list[tuple] = []
+        self.columns = [np.zeros(0, t) for t in (np.int8, np.uint64, bool, bool)]
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode()
         core = word.strip(EDGE)
         low = core.lower()
-        self.kind.append(_NUMBER if NUMBER.fullmatch(core) else _CAPITAL if core[:1].isupper() and len(core) > 1 and not core.isupper() else _LITERAL)
-        self.hash.append(xxhash.xxh64_intdigest(low.encode(), 7))
-        self.unit.append(low in UNITS)
-        self.ends.append(word[-1] in ".!?:;\"")
-        self[raw] = len(self.kind) - 1
-        return len(self.kind) - 1
+        kind = _NUMBER if NUMBER.fullmatch(core) else _CAPITAL if core[:1].isupper() and len(core) > 1 and not core.isupper() else _LITERAL
+        self.new.append((kind, xxhash.xxh64_intdigest(low.encode(), 7), low in UNITS, word[-1] in ".!?:;\""))
+        self[raw] = len(self)
+        return len(self) - 1
+
+    def table(self) -> list[np.ndarray]:
+        if self.new:
+            self.columns = [np.concatenate([c, np.array(n, c.dtype)]) for c, n in zip(self.columns, zip(*self.new, strict=True), strict=True)]
+            self.new = []
+        return self.columns
 
 
 def forms(texts: list[str | None], words: Words) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
@@ -79,8 +90,7 @@ def forms(texts: list[str | None], words: Words) -> tuple[list[tuple[np.ndarray,
     at = np.array(ids, np.int64)
     lengths = np.array(lengths, np.int64)
     first = np.cumsum(lengths) - lengths
-    kind, lit = np.array(words.kind or [0], np.int8)[at], np.array(words.hash or [0], np.uint64)[at]
-    unit, ends = np.array(words.unit or [False], bool)[at], np.array(words.ends or [False], bool)[at]
+    kind, lit, unit, ends = (c[at] for c in words.table())
     begins, after = np.ones(len(at), bool), np.zeros(len(at), bool)
     begins[1:], after[1:] = ends[:-1], kind[:-1] == _NUMBER
     begins[first[lengths > 0]], after[first[lengths > 0]] = True, False
@@ -138,63 +148,89 @@ def _block(rows: list) -> dict:
     for s, (h, item, start) in joined.items():
         o = np.argsort(h, kind="stable")
         joined[s] = (h[o], item[o], start[o])
-    return {"sizes": joined, "forms": got, "ids": np.array([r.item_id if r.item_id is not None else -1 for r in rows], np.int64)}
+    return {"sizes": joined, "forms": got, "ids": [r.item_id for r in rows]}
 
 
-def matches(texts: list[str | None], block: dict, words: Words) -> list[tuple[set, int]]:
+def matches(texts: list[str | None], blocks: list[dict], words: Words) -> list[tuple[set, int]]:
     """For each text the items that it holds and how many of its windows match."""
     found: list[tuple[set, set]] = [(set(), set()) for _ in texts]
     got, first, lengths = forms(texts, words)
-    for (form, size), (keys, items, starts) in block["sizes"].items():
-        (tmpl, slot), (its_tmpl, its_slot) = got[form], block["forms"][form]
-        at, h = windows(tmpl, first, lengths, size)
-        if not len(at) or not len(keys):
-            continue
-        low = np.searchsorted(keys, h)
-        hit = np.nonzero(keys[np.minimum(low, len(keys) - 1)] == h)[0]
-        doc = np.searchsorted(first, at[hit], "right") - 1
-        for x, d in zip(hit.tolist(), doc.tolist(), strict=True):
-            p, j = int(at[x]), int(low[x])
-            while j < len(keys) and keys[j] == h[x]:
-                q = int(starts[j])
-                new = int(items[j]) not in found[d][0] or p not in found[d][1]
-                if new and (tmpl[p : p + size] == its_tmpl[q : q + size]).all() and consistent(its_slot[q : q + size], slot[p : p + size]):
-                    found[d][0].add(int(items[j]))
-                    found[d][1].add(p)
-                j += 1
-    return [({int(block["ids"][i]) for i in items}, len(places)) for items, places in found]
-
-
-def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with _leak_items (sorted item ids) and _leak_windows (matching windows)."""
+    hashed: dict = {}
+    for b, block in enumerate(blocks):
+        for (form, size), (keys, items, starts) in block["sizes"].items():
+            (tmpl, slot), (its_tmpl, its_slot) = got[form], block["forms"][form]
+            if (form, size) not in hashed:
+                hashed[form, size] = windows(tmpl, first, lengths, size)
+            at, h = hashed[form, size]
+            if not len(at) or not len(keys):
+                continue
+            low = np.searchsorted(keys, h)
+            hit = np.nonzero(keys[np.minimum(low, len(keys) - 1)] == h)[0]
+            doc = np.searchsorted(first, at[hit], "right") - 1
+            for x, d in zip(hit.tolist(), doc.tolist(), strict=True):
+                p, j = int(at[x]), int(low[x])
+                while j < len(keys) and keys[j] == h[x]:
+                    q, item = int(starts[j]), (b, int(items[j]))
+                    new = item not in found[d][0] or p not in found[d][1]
+                    if new and (tmpl[p : p + size] == its_tmpl[q : q + size]).all() and consistent(its_slot[q : q + size], slot[p : p + size]):
+                        found[d][0].add(item)
+                        found[d][1].add(p)
+                    j += 1
+    return [({blocks[b]["ids"][i] for b, i in items}, len(places)) for items, places in found]
+
+
+def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    """Whole texts, some SLICE_BYTES at a time."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+    part = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    edges = np.append(np.nonzero(np.diff(part, prepend=-1))[0], len(texts))
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield texts.slice(i, j - i).to_pylist()
+
+
+def _sorted(items: set) -> list:
+    return sorted(items, key=lambda x: (x is None, x))
+
+
+def flagged(docs: DataFrame, benchmark: DataFrame, items: str, hits: str) -> DataFrame:
+    """docs with two more columns: the sorted ids of the items that a text holds, and its matching windows; their names must be free."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-n // BLOCK_WINDOWS))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    out = docs.select("*", F.array().cast("array<long>").alias("_leak_items"), F.lit(0).cast("long").alias("_leak_windows"))
-    for k in range(blocks):
-        block = spark.sparkContext.broadcast(_block(items.filter(part == k).collect()))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            words = Words()
+    bench = benchmark.select("item_id", "text")
+    kind = bench.schema["item_id"].dataType
+    n = bench.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
+    parts = max(1, -(-n // BLOCK_WINDOWS))
+    part = F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(parts))
+    out = docs.select("*", F.array().cast(T.ArrayType(kind)).alias(items), F.lit(0).cast("long").alias(hits))
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields])
+    for first in range(0, parts, BLOCKS):
+        # an item that stands several times is sought once
+        blocks = [spark.sparkContext.broadcast(_block(bench.filter(part == k).distinct().collect())) for k in range(first, min(parts, first + BLOCKS))]
+
+        def run(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
+            words, held = Words(), [b.value for b in blocks]
             for b in batches:
                 names = b.schema.names
-                old_items, old_n = b.column(names.index("_leak_items")).to_pylist(), b.column(names.index("_leak_windows")).to_pylist()
-                got = matches(b.column(names.index("text")).to_pylist(), block.value, words)
-                new = [pa.array([sorted(set(o) | g[0]) for o, g in zip(old_items, got, strict=True)], pa.list_(pa.int64())), pa.array([o + g[1] for o, g in zip(old_n, got, strict=True)], pa.int64())]
+                texts = b.column(names.index("text"))
+                got = [x for s in _slices(texts) for x in matches(s, held, words)] if b.num_rows else []
+                old, before = b.column(names.index(items)), b.column(names.index(hits)).to_pylist()
+                new = [pa.array([_sorted(set(o) | g[0]) for o, g in zip(old.to_pylist(), got, strict=True)], old.type), pa.array([o + g[1] for o, g in zip(before, got, strict=True)], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-2], *new], names=names)
 
-        out = out.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields]))
+        out = out.mapInArrow(run, schema)
+        if first + BLOCKS < parts:
+            out = cut(out, "leak-pass")
+            for b in blocks:
+                b.unpersist()
     return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, items, n_items, n_windows and contaminated of every row."""
-    got = flagged(docs.select("doc_id", "text"), benchmark)
-    return got.select("doc_id", F.col("_leak_items").alias("items"), F.size("_leak_items").cast("long").alias("n_items"), F.col("_leak_windows").alias("n_windows"), (F.col("_leak_windows") > 0).alias("contaminated"))
+    got = flagged(docs.select("doc_id", "text"), benchmark, "items", "n_windows")
+    return got.select("doc_id", "items", F.size("items").cast("long").alias("n_items"), "n_windows", (F.col("n_windows") > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark window, with docs' columns."""
-    return flagged(docs, benchmark).filter("_leak_windows = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    items, hits = free_name(docs, "items_held"), free_name(docs, "windows_held")
+    return flagged(docs, benchmark, items, hits).filter(F.col(hits) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
