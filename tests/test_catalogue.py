@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidemark.plans import catalogue
+from tidemark.plans import catalogue, evidence
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,12 +18,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(evidence.ORACLES))
 def test_equals_sql(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, SF)
+    df = evidence.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(repr([r[c] for c in cols]) for r in df.collect())
-    res = duck.execute(catalogue.ORACLES[name])
+    res = duck.execute(evidence.ORACLES[name])
     names = [d[0] for d in res.description]
     assert sorted(names) == cols
     want = sorted(repr([dict(zip(names, r, strict=True))[c] for c in cols]) for r in res.fetchall())

@@ -57,8 +57,8 @@ def test_hash_bucket_equals_python(spark):
 
 def test_dates(spark):
     assert one(spark, dates.iso_date, "2020-02-30") is None
-    assert one(spark, dates.day_first, " 03-Nov-2023 ") == date(2023, 11, 3)
-    assert one(spark, dates.day_first, "03/04/2023") == date(2023, 4, 3)
+    assert one(spark, dates.mixed_day_first, " 03-Nov-2023 ") == date(2023, 11, 3)
+    assert one(spark, dates.mixed_day_first, "03/04/2023") == date(2023, 4, 3)
     assert [one(spark, dates.has_offset, v) for v in ("2024-01-01T10:00:00+05:30", "2024-01-01T10:00:00", "2024-13-01T10:00:00Z")] == [True, False, False]
 
 

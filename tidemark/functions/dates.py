@@ -10,16 +10,21 @@ from .names import stripped
 
 def parsed(c: Column, *formats: str) -> Column:
     """The first format that fits."""
-    return F.coalesce(*[F.try_to_timestamp(stripped(c), F.lit(f)).cast("date") for f in formats])
+    return F.coalesce(*[F.try_to_timestamp(stripped(c.cast("string")), F.lit(f)).cast("date") for f in formats])
 
 
 def iso_date(c: Column) -> Column:
     return parsed(c, "yyyy-MM-dd")
 
 
-def day_first(c: Column) -> Column:
+def day_month_name(c: Column) -> Column:
+    """01-Feb-2020; a month's name is read in any case."""
+    return parsed(F.initcap(c.cast("string")), "dd-MMM-yyyy", "d-MMM-yyyy")
+
+
+def mixed_day_first(c: Column) -> Column:
     """Day-first dates in the spellings that registers mix."""
-    return parsed(c, "dd-MM-yyyy", "dd/MM/yyyy", "dd-MMM-yyyy", "dd MMM yyyy", "yyyy-MM-dd")
+    return F.coalesce(parsed(c, "dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM-dd"), parsed(F.initcap(c.cast("string")), "dd-MMM-yyyy", "dd MMM yyyy"))
 
 
 def month_key(c: Column) -> Column:

@@ -30,6 +30,24 @@ def require(df: DataFrame, unique: tuple[str, ...] = (), constant: dict | None =
             raise ContractError(f"{c} must be {value} in every row")
 
 
+def one_snapshot(left: DataFrame, right: DataFrame, column: str = "source_snapshot_id") -> DataFrame:
+    """One row with the snapshot that both sides have in every row; several, different ones or none raise when it is read."""
+    seen = left.select(F.col(column).alias("x"), F.lit(1).alias("side")).union(right.select(column, F.lit(2)))
+    got = seen.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count_if(F.col("x").isNull()).alias("none"), F.count_distinct("side").alias("sides"))
+    same = F.coalesce((F.col("low") == F.col("high")) & (F.col("none") == 0) & (F.col("sides") == 2), F.lit(False))
+    return got.select(F.when(same, F.col("low")).otherwise(F.raise_error(F.lit(f"both sides must have one {column}")).cast("string")).alias(column))
+
+
+def contract_counters(df: DataFrame, key: str, constant: str, number: str) -> DataFrame:
+    """What the contracts look at, as one row: rows, distinct keys (null is one), least and largest constant, numbers that aren't finite, and numbers outside [0, 1]."""
+    n = F.col(number).cast("double")
+    odd = n.isNull() | F.isnan(n) | (F.abs(n) == float("inf"))
+    return df.agg(
+        F.count("*").alias("rows"), (F.count_distinct(key) + F.coalesce(F.max(F.col(key).isNull().cast("int")), F.lit(0))).alias("distinct_keys"), F.min(constant).alias("least"), F.max(constant).alias("largest"),
+        F.count_if(odd).alias("not_finite"), F.count_if(~odd & ~in_range(n, 0.0, 1.0)).alias("outside"),
+    )
+
+
 def joined_one(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
     """Join to a side whose key is checked while it runs: a repeated key raises instead of multiplying rows."""
     n = F.count("*").alias("_n")
@@ -58,6 +76,11 @@ def in_range(c: Column, low, high) -> Column:
     return F.coalesce(c.between(low, high), F.lit(False))
 
 
+def duplicates(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Rows, and how many of them repeat a key."""
+    return df.agg(F.count("*").alias("valid_rows"), (F.count("*") - F.count_distinct(F.struct(*key))).alias("duplicate_rows"))
+
+
 def quality_audit(df: DataFrame, key: str = "legal_entity_identifier") -> DataFrame:
     """One row of counters; a distinct count ignores null, so null keys count as repeats."""
     text = lambda c: F.col(c).isNull() | (F.col(c) == "")

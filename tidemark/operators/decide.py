@@ -134,6 +134,11 @@ def confidence(method: str, cutoff: date, today: date, band_precision: float | N
     return ("low" if reasons else "moderate"), tuple(reasons)
 
 
+def confidence_column(method: Column, stale: Column, measured: Column) -> Column:
+    """confidence() as a Column: the level alone."""
+    return F.when((method == "exact_cin") & ~stale & measured, "moderate").otherwise("low")
+
+
 def factors(contributions: dict[str, float], most: int = 6) -> list[tuple[str, float, str]]:
     """The largest contributions by size; zeros go after the cut."""
     top = sorted(((k, v) for k, v in contributions.items() if k != "model_bias"), key=lambda x: -abs(x[1]))[:most]
@@ -144,5 +149,15 @@ def inr(value: float | None) -> str:
     return "not recorded" if value is None else f"INR {value:,.0f}"
 
 
+def inr_column(value: Column) -> Column:
+    """inr() as a Column."""
+    return F.when(value.isNull(), "not recorded").otherwise(F.concat(F.lit("INR "), F.format_number(value, 0)))
+
+
+def percent_column(value: Column) -> Column:
+    """percent() as a Column."""
+    return F.format_string("%.2f%%", value * 100)
+
+
 def percent(value: float) -> str:
     return f"{value * 100:.2f}%"

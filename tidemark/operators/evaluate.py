@@ -87,6 +87,12 @@ def brier(df: DataFrame, score: str, target: str, weight: Column | None = None,
     return df.groupBy(*keys).agg((F.sum(w * e) / F.sum(w)).alias("brier_score"))
 
 
+def brier_pair(df: DataFrame, score: str, target: str, weight: Column) -> DataFrame:
+    """Plain and weighted Brier score from one pass."""
+    e = F.pow(F.col(score).cast("double") - F.col(target).cast("int"), 2)
+    return df.agg(F.avg(e).alias("brier_score"), (F.sum(weight * e) / F.sum(weight)).alias("weighted_brier_score"))
+
+
 def capacity_with_ties(hist: DataFrame, capacity: float) -> DataFrame:
     """The queue at the k-th score, k = max(1, ceil(n * capacity)); everything tied with it is reviewed."""
     h = hist.withColumns({"seen": F.sum("n").over(_down(()).rowsBetween(Window.unboundedPreceding, 0)), "tp": F.sum("pos").over(_down(()).rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(_everything()), "positives": F.sum("pos").over(_everything())})
@@ -104,26 +110,27 @@ def strict_top(df: DataFrame, score: str, target: str, key: str, fractions: tupl
     """Precision, recall and lift of exactly max(1, ceil(n * fraction)) rows; ties go by key.
 
     Only scores at the cut need the key: rows above it are counted from the histogram,
-    and of the tied rows as many as still fit are taken in key order.
+    and of the tied rows as many as still fit are taken in key order.  All fractions share
+    one histogram and one pass over the tied rows.
     """
-    out = None
-    hist = histogram(df, score, target)
-    for f in fractions:
-        down = _down(()).rowsBetween(Window.unboundedPreceding, 0)
-        h = hist.withColumns({"seen": F.sum("n").over(down), "tp": F.sum("pos").over(down), "total": F.sum("n").over(_everything()), "positives": F.sum("pos").over(_everything())})
-        h = h.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("total") * f)).cast("long"))
-        cut = h.filter(F.col("seen") >= F.col("k")).groupBy().agg(*[F.min_by(c, "seen").alias(c) for c in ("score", "n", "pos", "seen", "tp", "total", "positives", "k")])
-        cut = cut.select("total", "positives", "k", F.col("score").alias("cut_"), (F.col("k") - F.col("seen") + F.col("n")).alias("room_"), (F.col("tp") - F.col("pos")).alias("above_"))
-        tied = df.join(F.broadcast(cut), F.col(score).cast("double") == F.col("cut_"))
-        tied = tied.select("*", F.row_number().over(Window.partitionBy("cut_").orderBy(key)).alias("r_")).filter(F.col("r_") <= F.col("room_"))
-        got = tied.groupBy("total", "positives", "k", "cut_", "above_").agg(F.count_if(F.col(target)).alias("tied_tp"))
-        tp = (F.col("above_") + F.col("tied_tp")).cast("double")
-        one = got.select(
-            F.lit(f).alias("capacity_fraction"), F.col("k").alias("review_rows"), F.col("cut_").alias("score_threshold"), (tp / F.col("k")).alias("precision"),
-            F.try_divide(tp, F.col("positives").cast("double")).alias("recall"), F.try_divide(tp / F.col("k"), F.col("positives") / F.col("total")).alias("lift"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    down = _down(()).rowsBetween(Window.unboundedPreceding, 0)
+    h = histogram(df, score, target).withColumns({"seen": F.sum("n").over(down), "tp": F.sum("pos").over(down), "total": F.sum("n").over(_everything()), "positives": F.sum("pos").over(_everything())})
+    c = F.col
+
+    def at_cut(f: float) -> Column:
+        k = F.greatest(F.lit(1), F.ceil(c("total") * f)).cast("long")
+        facts = F.struct(F.lit(f).alias("capacity_fraction"), "total", "positives", k.alias("k"), c("score").alias("cut_"), (k - c("seen") + c("n")).alias("room_"), (c("tp") - c("pos")).alias("above_"))
+        return F.min_by(facts, F.when(c("seen") >= k, c("seen")))
+
+    cuts = h.agg(F.array(*[at_cut(f) for f in fractions]).alias("x")).select(F.explode("x").alias("x")).filter("x is not null").select("x.*")
+    tied = df.join(F.broadcast(cuts), c(score).cast("double") == c("cut_"))
+    tied = tied.withColumn("r_", F.row_number().over(Window.partitionBy("capacity_fraction").orderBy(key))).filter("r_ <= room_")
+    got = tied.groupBy("capacity_fraction", "total", "positives", "k", "cut_", "above_").agg(F.count_if(c(target)).alias("tied_tp"))
+    tp = (c("above_") + c("tied_tp")).cast("double")
+    return got.select(
+        "capacity_fraction", c("k").alias("review_rows"), c("cut_").alias("score_threshold"), (tp / c("k")).alias("precision"),
+        F.try_divide(tp, c("positives").cast("double")).alias("recall"), F.try_divide(tp / c("k"), c("positives") / c("total")).alias("lift"),
+    )
 
 
 def weighted_top(df: DataFrame, score: str, target: str, weight: str, key: str, fraction: float) -> DataFrame:

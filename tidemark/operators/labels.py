@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checks import ContractError
+from .checks import joined_one
 
 
 def prior(events: DataFrame, key: str, cutoff: date) -> DataFrame:
@@ -29,9 +29,21 @@ def labelled(population: DataFrame, events: DataFrame, key: str, cutoff: date, s
     return j.withColumns({"observed_outcome": F.col("outcome_count") > 0, "evaluation_eligible": F.coalesce(ok, F.lit(False))})
 
 
-def label_policy(decided: DataFrame) -> str:
-    """The policy that the eligible decisions stand for; an unknown status is an error."""
-    seen = {r[0] for r in decided.filter("outcome_eligible").select("review_status").distinct().limit(10).collect()}
-    if unknown := seen - {"accepted", "accepted_reviewed"}:
-        raise ContractError(f"unknown eligible status: {', '.join(sorted(map(str, unknown)))}")
-    return "exact_identifier_and_review" if "accepted_reviewed" in seen else "exact_identifier"
+# Statuses that may count as outcomes, and what the labels then stand for.
+REVIEWED, ELIGIBLE = "accepted_reviewed", ("accepted", "accepted_reviewed")
+EXACT_ONLY, EXACT_OR_REVIEWED = "accepted_unique_exact_cin_only", "accepted_unique_exact_cin_or_completed_human_review"
+
+
+def label_policy(decided: DataFrame) -> DataFrame:
+    """One row: the policy that the eligible decisions stand for; a status that may not count raises when it is read."""
+    status = F.when(F.col("outcome_eligible"), F.coalesce("review_status", F.lit("no status")))
+    wrong = F.max(F.when(~status.isin(*ELIGIBLE), status))
+    policy = F.when(F.bool_or(status == REVIEWED), EXACT_OR_REVIEWED).otherwise(EXACT_ONLY)
+    checked = F.when(wrong.isNotNull(), F.raise_error(F.concat(F.lit("not an eligible status: "), wrong)).cast("string")).otherwise(policy)
+    return decided.agg(checked.alias("label_match_policy"))
+
+
+def accepted_events(decided: DataFrame, events: DataFrame) -> DataFrame:
+    """(adverse_event_id, company_snapshot_id, event_date) of the eligible decisions; an event that stands twice on the right raises."""
+    ok = decided.filter(F.col("outcome_eligible") & F.col("accepted_company_snapshot_id").isNotNull()).select("adverse_event_id", F.col("accepted_company_snapshot_id").alias("company_snapshot_id"))
+    return joined_one(ok, events.select("adverse_event_id", "event_date"), "adverse_event_id", "inner")

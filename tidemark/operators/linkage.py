@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded
 from ..functions.names import legal_name, strict_name
+from .checks import joined_one
 
 METHODS = (("exact_cin", 1.0), ("strict_name", 0.9), ("legal_name", 0.8))
 MAX_CANDIDATES = 25
@@ -42,15 +43,16 @@ def candidates(companies: DataFrame, events: DataFrame) -> DataFrame:
     """The cascade: an event that an identifier matches skips names, one that a strict name matches skips legal names.
 
     A semi-join on the companies' distinct keys tells each event's first kind of key
-    that matches anything; only that key is then joined.  Counts come from an
-    aggregation and ranks from row_number alone, so Spark limits each group as it sorts.
+    that matches anything; only that key is then joined.  Companies are counted and ranked
+    within their key first, so an event meets at most MAX_CANDIDATES of them however many
+    share its name; Spark limits each group as it sorts.
     """
     own = _company_keys(prepared(companies))
     first = _event_keys(events).join(own.select("k", "v").distinct(), ["k", "v"], "left_semi").groupBy("adverse_event_id").agg(F.min(F.struct("k", "v")).alias("x")).select("adverse_event_id", "x.*")
-    found = first.join(own, ["k", "v"])
-    counts = found.groupBy("adverse_event_id").agg(F.count("*").cast("int").alias("candidate_count"))
-    rank = F.row_number().over(Window.partitionBy("adverse_event_id").orderBy("company_snapshot_id"))
-    top = found.withColumn("candidate_rank", rank).filter(F.col("candidate_rank") <= MAX_CANDIDATES).join(counts, "adverse_event_id")
+    counts = own.groupBy("k", "v").agg(F.count("*").cast("int").alias("candidate_count"))
+    rank = F.row_number().over(Window.partitionBy("k", "v").orderBy("company_snapshot_id"))
+    shown = own.withColumn("candidate_rank", rank).filter(F.col("candidate_rank") <= MAX_CANDIDATES).join(counts, ["k", "v"])
+    top = first.join(shown, ["k", "v"])
     method, score = (F.element_at(F.array(*[F.lit(m[i]) for m in METHODS]), F.col("k") + 1) for i in range(2))
     return top.select(
         F.concat("adverse_event_id", F.lit(":"), method, F.lit(":"), "company_snapshot_id").alias("entity_match_candidate_id"), "adverse_event_id", "company_snapshot_id", F.col("cin").alias("company_cin"), "company_name",
@@ -86,6 +88,24 @@ def review_sample(found: DataFrame, decided: DataFrame, sizes: dict[str, int], s
     )
 
 
+def strata(reviews: DataFrame) -> DataFrame:
+    """Events and rows of each stratum of a review sample."""
+    return reviews.groupBy("review_stratum").agg(F.count_distinct("adverse_event_id").alias("events"), F.count("*").alias("rows"))
+
+
+def with_payload(reviews: DataFrame, events: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Review rows with what reviewers need of their event; an event that stands twice raises."""
+    return joined_one(reviews, events.select("adverse_event_id", *columns), "adverse_event_id")
+
+
+def report(decided: DataFrame) -> DataFrame:
+    """Counters of decisions, their coverage, and whether people must look; one row from one pass."""
+    n = lambda s: F.count_if(F.col("review_status") == s)
+    got = decided.agg(F.count("*").alias("event_rows"), *[n(s).alias(f"{k}_rows") for k, s in (("accepted", "accepted"), ("pending", "pending_review"), ("ambiguous", "ambiguous"), ("unmatched", "unmatched"))])
+    rate = F.coalesce(F.try_divide(F.col("accepted_rows").cast("double"), F.col("event_rows").cast("double")), F.lit(0.0))
+    return got.withColumns({"exact_cin_coverage_rate": rate, "human_review_required": F.col("pending_rows") + F.col("ambiguous_rows") > 0})
+
+
 def apply_reviews(reviews: DataFrame) -> DataFrame:
     """One MATCH, all others NO_MATCH and nothing cut off: accepted; all NO_MATCH: rejected; else unresolved."""
     said = lambda v: F.count_if(F.upper(F.trim(F.coalesce("review_decision", F.lit("")))) == v)

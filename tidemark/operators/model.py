@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.hashing import bucket, seeded
 from .checks import ContractError
 
+# Held-out states, and the names of features and feature sets.
 HELD_STATES = ("karnataka", "kerala", "tamil nadu", "telangana")
 UNKNOWN = "UNKNOWN"
+#: Share of the validation population whose precision decides between candidates of equal average precision.
+SELECTION_CAPACITY = 0.001
 
 NUMERIC = ("company_age_years", "paid_to_authorised_capital_ratio", "log_shared_address_company_count", "log_address_registration_month_company_count", "log_authorised_capital_inr", "log_paid_up_capital_inr")
 CATEGORICAL = ("state_code", "roc_code", "company_category", "company_subcategory", "company_class", "listing_status", "company_origin", "nic_division")
@@ -77,6 +80,12 @@ def split_evidence(data: DataFrame) -> DataFrame:
     return data.groupBy("dataset_split").agg(F.count("*").alias("rows"), F.sum("target").cast("long").alias("positive_rows"), (F.sum("target") / F.count("*")).alias("positive_rate"))
 
 
+def negatives_to_take(data: DataFrame, most: dict[str, int], share: int) -> dict[str, int]:
+    """Negatives of each split to sample: one in `share`, and at most as many as a fit is meant to have."""
+    found = {r.dataset_split: r.n for r in data.filter(F.col("dataset_split").isin(*most) & (F.col("target") == 0)).groupBy("dataset_split").agg(F.count("*").alias("n")).collect()}
+    return {s: min(n, -(-found.get(s, 0) // share)) for s, n in most.items()}
+
+
 def fit_sample(data: DataFrame, negatives: dict[str, int], seed: int = 106) -> DataFrame:
     """All positives and the first negatives in hash order of the sampled splits, with the weight that restores the population."""
     rows = data.filter(F.col("dataset_split").isin(*negatives))
@@ -85,9 +94,9 @@ def fit_sample(data: DataFrame, negatives: dict[str, int], seed: int = 106) -> D
     limits = F.create_map(*[F.lit(x) for kv in negatives.items() for x in kv])
     want = F.element_at(limits, F.col("dataset_split"))
     full = neg.groupBy("dataset_split").agg(F.count("*").alias("full_"))
-    short = full.filter(F.col("full_") < want).limit(1).collect()
-    if short or full.count() < len(negatives):
-        raise ContractError(f"too few negatives: {short[0][0] if short else 'a split has none'}")
+    found = {r.dataset_split: r.full_ for r in full.collect()}
+    if short := sorted(s for s, n in negatives.items() if found.get(s, 0) < n):
+        raise ContractError(f"too few negatives: {', '.join(short)}")
     rank = F.row_number().over(Window.partitionBy("dataset_split").orderBy(seeded(F.col("company_snapshot_id"), seed), "company_snapshot_id"))
     top = neg.withColumn("r_", rank).filter(F.col("r_") <= want).drop("r_").join(F.broadcast(full), "dataset_split")
     return pos.unionByName(top.withColumn("sample_weight", F.col("full_") / want).drop("full_"))
@@ -154,7 +163,7 @@ def train_boosted(df: DataFrame, pre: Preprocessor, candidates: tuple[dict, ...]
     """
     from pyspark.ml.classification import GBTClassifier
 
-    from .evaluate import average_precision, histogram
+    from .evaluate import average_precision, histogram, weighted_top
 
     matrix = assembled(df.filter(F.col("dataset_split").isin("training", "validation")), pre, ("company_snapshot_id", "target", "dataset_split", "sample_weight"))
     matrix = matrix.withColumns({"label": F.col("target").cast("double"), "held": F.col("dataset_split") == "validation"})
@@ -163,9 +172,11 @@ def train_boosted(df: DataFrame, pre: Preprocessor, candidates: tuple[dict, ...]
         model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="sample_weight", validationIndicatorCol="held", maxIter=rounds, seed=seed, **params).fit(matrix)
         held = scored(model, matrix.filter("held")).withColumn("hit", F.col("target") == 1)
         ap = average_precision(histogram(held, "score", "hit", weight=F.col("sample_weight"))).first()[0] or 0.0
-        if best is None or ap > best[0]:
-            best = (ap, model, params)
-    return best[1], {"average_precision": best[0], "parameters": best[2]}
+        top = weighted_top(held, "score", "hit", "sample_weight", "company_snapshot_id", SELECTION_CAPACITY).first()
+        rank = (ap, (top["precision"] if top else None) or 0.0)
+        if best is None or rank > best[0]:
+            best = (rank, model, params)
+    return best[1], {"average_precision": best[0][0], "precision": best[0][1], "parameters": best[2]}
 
 
 def assembled(df: DataFrame, pre: Preprocessor, keep: tuple[str, ...]) -> DataFrame:

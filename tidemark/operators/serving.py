@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import bucket
 from ..functions.identifiers import CIN_PATTERN, valid_cin
 from ..functions.names import legal_name, legal_text, strict_name, strict_text, stripped
 from .checks import require
@@ -122,4 +123,5 @@ def demo_scenarios(scored: DataFrame) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: str, per_million: int, seed: int = 0) -> DataFrame:
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < per_million)
+    """About per_million of each million keys; the same ones on every engine."""
+    return df.filter(bucket(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 1_000_000) < per_million)

@@ -323,8 +323,7 @@ def eval_roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{EVAL_SQL} SELECT round_even(avg(power(probability - y::INT, 2)), 6) AS brier_score, round_even(sum(wt * power(probability - y::INT, 2)) / sum(wt), 6) AS weighted_brier_score FROM ev")
 def eval_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _evaluated(spark, sf_dir)
-    weighted = evaluate.brier(e, "probability", "observed_outcome", F.col("sample_weight")).withColumnRenamed("brier_score", "weighted_brier_score")
-    return r6(evaluate.brier(e, "probability", "observed_outcome").join(weighted), "brier_score", "weighted_brier_score")
+    return r6(evaluate.brier_pair(e, "probability", "observed_outcome", F.col("sample_weight")), "brier_score", "weighted_brier_score")
 
 
 def _top_sql(f: float) -> str:
@@ -338,7 +337,7 @@ def eval_capacity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{EVAL_SQL}, o AS (SELECT *, sum(wt) OVER (ORDER BY score DESC, company_snapshot_id ROWS UNBOUNDED PRECEDING) - wt AS b, sum(wt) OVER () AS m, sum(wt) FILTER (y) OVER () AS pm FROM ev), t AS (SELECT * FROM o WHERE b < m * 0.05)
-SELECT 0.05::DOUBLE AS capacity_fraction, count(*)::BIGINT AS selected_sample_rows, sum(wt) AS selected_population_mass, round_even(sum(wt) FILTER (y) / sum(wt), 6) AS precision, round_even(sum(wt) FILTER (y) / any_value(pm), 6) AS recall, round_even((sum(wt) FILTER (y) / sum(wt)) / any_value(pm / m), 6) AS lift FROM t""")
+SELECT 0.05::DOUBLE AS capacity_fraction, count(*)::BIGINT AS selected_sample_rows, sum(wt) AS selected_population_mass, round_even(coalesce(sum(wt) FILTER (y), 0) / sum(wt), 6) AS precision, round_even(coalesce(sum(wt) FILTER (y), 0) / any_value(pm), 6) AS recall, round_even((coalesce(sum(wt) FILTER (y), 0) / sum(wt)) / any_value(pm / m), 6) AS lift FROM t""")
 def eval_weighted_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(evaluate.weighted_top(_evaluated(spark, sf_dir), "score", "observed_outcome", "sample_weight", "company_snapshot_id", 0.05), "precision", "recall", "lift")
 
@@ -404,14 +403,17 @@ def split_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(model.split_evidence(_model_data(spark, sf_dir)), "positive_rate")
 
 
-FIT = {"training": 50, "validation": 20}
+#: Negatives of the fit at most, and the share of them that is taken below that, so that a sample is drawn at every size.
+FIT, FIT_SHARE = {"training": 48_200, "validation": 46_600}, 3
+FIT_SQL = "least(CASE dataset_split WHEN 'training' THEN 48200 ELSE 46600 END, ceil(full_n / 3.0))"
 
 
 @query(f"""{SPLIT_SQL}, neg AS (SELECT *, row_number() OVER (PARTITION BY dataset_split ORDER BY sha256('106:' || company_snapshot_id), company_snapshot_id) AS r, count(*) OVER (PARTITION BY dataset_split) AS full_n FROM data WHERE target = 0 AND dataset_split IN ('training', 'validation'))
 SELECT company_snapshot_id, dataset_split, 1 AS target, 1.0::DOUBLE AS sample_weight FROM data WHERE target = 1 AND dataset_split IN ('training', 'validation')
-UNION ALL SELECT company_snapshot_id, dataset_split, 0, round_even(full_n / CASE dataset_split WHEN 'training' THEN 50 ELSE 20 END, 6) FROM neg WHERE r <= CASE dataset_split WHEN 'training' THEN 50 ELSE 20 END""")
+UNION ALL SELECT company_snapshot_id, dataset_split, 0, round_even(full_n / {FIT_SQL}, 6) FROM neg WHERE r <= {FIT_SQL}""")
 def fit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = model.fit_sample(_model_data(spark, sf_dir), FIT)
+    data = _model_data(spark, sf_dir)
+    s = model.fit_sample(data, model.negatives_to_take(data, FIT, FIT_SHARE))
     return r6(s.select("company_snapshot_id", "dataset_split", F.col("target").cast("int").alias("target"), "sample_weight"), "sample_weight")
 
 
@@ -448,12 +450,20 @@ def preprocess_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("company_snapshot_id", F.bround("company_age_years", 4).alias("company_age_years"), has("state_code=maharashtra").alias("is_maharashtra"), has("state_code=<infrequent>").alias("is_infrequent"))
 
 
+CANDIDATES = ({"maxDepth": 3, "stepSize": 0.1}, {"maxDepth": 4, "stepSize": 0.1})
+
+
+def trained(data: DataFrame, numeric: tuple[str, ...], categorical: tuple[str, ...], candidates: tuple[dict, ...] = CANDIDATES, rounds: int = 20):
+    """(booster, preprocessor, selection metrics): the better candidate, each stopped when the validation split gains no more."""
+    sample = model.fit_sample(data, model.negatives_to_take(data, FIT, FIT_SHARE)).persist()  # its size is bounded; all passes of the fit read it
+    pre = model.Preprocessor.fit(sample.filter("dataset_split = 'training'"), numeric, categorical)
+    booster, metrics = model.train_boosted(sample, pre, candidates=candidates, rounds=rounds)
+    return booster, pre, metrics
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numeric, categorical = model.feature_set("baseline_no_status")
     data = _model_data(spark, sf_dir)
-    sample = model.fit_sample(data, FIT)
-    pre = model.Preprocessor.fit(sample.filter("dataset_split = 'training'"), numeric, categorical)
-    booster, _ = model.train_boosted(sample, pre, candidates=({"maxDepth": 3, "stepSize": 0.1},), rounds=8)
+    booster, pre, _ = trained(data, *model.feature_set("baseline_no_status"))
     return model.scored(booster, model.assembled(data, pre, ("company_snapshot_id", "dataset_split", "target"))).drop("features")
 
 

@@ -99,7 +99,12 @@ def no_formula(c: Column) -> Column:
     return F.when(c.rlike(r"\A[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
+def spreadsheet_cell(c: Column, kind: str) -> Column:
+    """A cell as text: empty for null, true and false in lower case, dates in ISO form, and nothing that a spreadsheet would run."""
+    text = F.when(c, "true").otherwise("false") if kind == "boolean" else F.date_format(c, "yyyy-MM-dd") if kind == "date" else c.cast("string")
+    return no_formula(F.when(c.isNull(), "").otherwise(text))
+
+
 def write_review_csv(df: DataFrame, path: str) -> None:
     """One CSV with safe cells, for people; df is a bounded sample."""
-    text = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
-    df.select(*[no_formula(F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns]).coalesce(1).write.csv(path, header=True, quoteAll=True)
+    df.select(*[spreadsheet_cell(F.col(f"`{f.name}`"), f.dataType.typeName()).alias(f.name) for f in df.schema.fields]).coalesce(1).write.csv(path, header=True, quoteAll=True)
