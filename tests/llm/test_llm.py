@@ -571,6 +571,29 @@ def test_store_merges_by_tier(spark, docs, odd, tmp_path):
     assert shards.sharded(odd.limit(0)).count() == 0
 
 
+def test_sharding_loses_nothing_to_names(spark, docs):
+    names = ("_f", "_metadata", "shard", "shard_", "SHARD_ROWS", "file_of_row", "arrival", "manifest_version")
+    df = docs.limit(50).select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in names])
+    got = shards.sharded(df)
+    assert [c for c in df.columns if c not in got.columns] == ["SHARD_ROWS"]  # takes another name, as does what stands for shard and manifest_version
+    assert bag(got, "doc_id", "text", "_f", "_metadata", "file_of_row", "arrival") == bag(df, "doc_id", "text", "_f", "_metadata", "file_of_row", "arrival")
+    kept = {v.split("-")[0] for v in got.first().asDict().values() if isinstance(v, str) and v.endswith(f"-{got.first()['doc_id']}")}
+    assert kept == set(names)
+
+
+def test_arrivals_are_merged_tier_by_tier(spark, docs, tmp_path):
+    store = shards.Store(spark, str(tmp_path / "s"))
+    m = store.arrive(docs.repartition(2))
+    assert m["version"] == shards.ARRIVALS and len(m["shards"]) > shards.MERGE_AT
+    assert [sum(x["rows"] for x in store.manifest(v)["shards"]) for v in range(1, 5)] == sorted({sum(x["rows"] for x in store.manifest(v)["shards"]) for v in range(1, 5)})
+    small = [{"file": f"data/x/{i}", "bytes": b, "rows": 1} for i, b in enumerate([10, 11, 12, 900, 901, 902, 903, 70_000])]
+    assert [x["bytes"] for x in shards.Store(spark, str(tmp_path / "t"), 100_000)._due(small)] == [900, 901, 902, 903]
+    after = store.compact()
+    assert len(after["shards"]) == 1 and bag(store.read(), *docs.columns) == bag(docs, *docs.columns)
+    report = shards.report(docs)
+    assert report.count() == docs.count() and report.select("shard").distinct().count() == 1 and report.first().manifest_version == shards.ARRIVALS + 1
+
+
 def test_commits_exclude_each_other(spark, docs, tmp_path):
     a, b = (shards.Store(spark, str(tmp_path / "s")) for _ in range(2))
     base = a.append(docs.limit(5))
@@ -603,8 +626,37 @@ def test_secrets(spark, docs, odd):
     assert set(plain_spans(texts[1][0])[0].split(",")) <= set(said[101].spans.split(","))
 
 
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(8)
+    text = " ".join(f"token={rng.randrange(16**18):020x}" if k % 3 else f"AKIA{rng.randrange(10**16):016d} word" for k in range(3000))
+    got = secrets.classify(spark.createDataFrame([(1, text, "en", "s", 0)], SCHEMA)).first()
+    spans, n = plain_spans(text)
+    assert [got.n_assign, got.n_access, got.n_hex] == n and got.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
 # ---- 10
 
+def test_languages_of_one_script_are_told_apart(spark):
+    rng = random.Random(9)
+    parts = {"bg": "ът на та ще ъл ски ява от ен", "ru": "ого ый ся ние ть что ых ост", "uk": "ій ння ть що ого ів ється ї", "el": "ος τη και του ων στο", "pl": "ła cz śó że ęść nią prz", "tr": "lar ğı şın için ü bir"}
+    prose = lambda k: " ".join("".join(rng.choice(parts[k].split()) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(10, 40)))
+    langs = list(parts)
+    got = hdlang.identify(spark.createDataFrame([(i, prose(langs[i % 6]), langs[i % 6], "s", 0) for i in range(900)], SCHEMA)).collect()
+    held = [x for x in got if x.held_out]
+    assert sum(x.lang_pred == langs[x.doc_id % 6] for x in held) / len(held) > 0.97
+
+
+def test_language_vectors_do_not_hang_on_what_came_before(monkeypatch):
+    texts = ["une phrase française", "ein deutscher Satz", "русское предложение", "a b c"]
+    want = [hdlang.Profiles().of(t) for t in texts]
+    p = hdlang.Profiles()
+    assert all((p.of(t) == w).all() for t, w in zip(reversed(texts), reversed(want), strict=True))
+    monkeypatch.setattr(hdlang, "KNOWN", 24)
+    monkeypatch.setattr(hdlang, "ADDED", 7)
+    q = hdlang.Profiles()
+    assert all(np.allclose(q.of(t), w, atol=1e-6) for t, w in zip(texts, want, strict=True))
+
+
 def test_languages(spark, odd):
     rng = random.Random(6)
     parts = {"en": "the ing tion and er on th re at or ha", "de": "ung ein sch der die keit ver ich ge be", "fr": "eau ou le la ment que tre aux é è ai", "es": "ción os la que ado mente ar ie ñ ja ue"}
@@ -628,6 +680,29 @@ def test_empty_tables(odd, run):
     assert run(odd.limit(0)).collect() == []
 
 
+def test_empty_and_odd_tables_with_a_second_input(spark, odd, tmp_path):
+    bench = spark.createDataFrame([(1, QUESTION), (None, None), (2, "")], "item_id long, text string")
+    assert decontam.report(odd.limit(0), bench).collect() == [] and decontam.clean(odd.limit(0), bench).columns == odd.columns
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert tokenbin.read(tokenbin.write(odd.limit(0), path)).collect() == []
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_odd_tables(spark, odd, empty):
+    """Every stage on its own takes nulls, repeats, empty and long texts and clashing columns, keeps the columns, and drops no clean row."""
+    df = odd.limit(0) if empty else odd
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF)
+        if name == "sharding":
+            assert out.count() == df.count()
+            continue
+        assert out.columns == df.columns, name
+        rows = out.collect()
+        assert not empty or rows == []
+        if name == "decontamination":
+            assert bag(out, "doc_id", "text") == bag(df, "doc_id", "text")
+
+
 def test_odd_quality_and_empty(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (4, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     got = quality.classify(odd, labels).collect()

@@ -1,9 +1,10 @@
 """Language ID with hyperdimensional profiles.
 
-Every letter has a random +1/-1 vector.  A trigram binds the letters' vectors,
-rotated by their place; a document bundles (adds) its trigrams; a language bundles
-its documents.  A document gets the language whose prototype has the largest cosine
-with its own vector, after the mean prototype is taken from both.
+Every letter of every script has a random +1/-1 vector, drawn from its code point.  A
+trigram binds the letters' vectors, rotated by their place; a document bundles (adds)
+its trigrams; a language bundles its documents.  A document gets the language whose
+prototype has the largest cosine with its own vector, after the mean prototype is
+taken from both.
 
 Training takes a hash-chosen sample of about TRAIN_DOCUMENTS labelled rows outside
 the held-out fold (a documented bound); their vectors are summed where they are, so
@@ -25,43 +26,49 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-DIMENSIONS, SYMBOLS, SEED = 512, 64, 20
+DIMENSIONS, SEED = 512, 20
 TRAIN_DOCUMENTS = 30_000
+#: Trigrams whose vectors a task remembers (64 MB), and that it adds up at once.
+KNOWN, ADDED = 32_768, 8192
 
 
 class Profiles:
-    """Turns texts into bundled trigram vectors; letter and trigram vectors are made as they are met."""
+    """Turns texts into bundled trigram vectors; letter and trigram vectors are made as they are met, and do not hang on what was met before."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        letters = rng.choice(np.array([-1.0, 1.0], np.float32), (SYMBOLS, dimensions))
-        self.bound = [np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters]
-        self.place = np.full(SYMBOLS**3, -1, np.int32)
-        self.vectors = np.empty((4096, dimensions), np.float32)
-        self.n = 0
-        self.symbol = np.zeros(0x110000, np.uint8)
+        self.dimensions, self.seed = dimensions, seed
+        self.letters: dict[int, np.ndarray] = {0: self._drawn(0)}
+        self.place: dict[int, int] = {}
+        self.vectors = np.empty((KNOWN, dimensions), np.float32)
         self.known = np.zeros(0x110000, bool)
+        self.is_letter = np.zeros(0x110000, bool)
+
+    def _drawn(self, code: int) -> np.ndarray:
+        return np.random.default_rng((self.seed, code)).choice(np.array([-1.0, 1.0], np.float32), self.dimensions)
 
     def _symbols(self, text: str) -> np.ndarray:
-        """0 for what is no letter, else 1 to 63: Latin letters have their own, others share four."""
+        """Code points of the lower-cased text, 0 for what is no letter."""
         code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         for c in np.unique(code[~self.known[code]]).tolist():
             self.known[c] = True
-            if chr(c).isalpha():
-                self.symbol[c] = c - 96 if 97 <= c <= 122 else c - 0xDF + 27 if 0xDF <= c <= 0xFF else 60 + c % 4
-        return self.symbol[code]
-
-    def _vectors(self, grams: np.ndarray) -> np.ndarray:
-        at = self.place[grams]
-        if (new := grams[at < 0]).size:
-            a, b, c = new // SYMBOLS**2, new // SYMBOLS % SYMBOLS, new % SYMBOLS
-            while self.n + new.size > len(self.vectors):
-                self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
-            self.vectors[self.n : self.n + new.size] = self.bound[0][a] * self.bound[1][b] * self.bound[2][c]
-            self.place[new] = np.arange(self.n, self.n + new.size, dtype=np.int32)
-            self.n += new.size
-            at = self.place[grams]
-        return self.vectors[at]
+            self.is_letter[c] = chr(c).isalpha()
+        return np.where(self.is_letter[code], code, 0).astype(np.int64)
+
+    def _letter(self, code: int) -> np.ndarray:
+        if code not in self.letters:
+            self.letters[code] = self._drawn(code)
+        return self.letters[code]
+
+    def _vectors(self, grams: list[int]) -> np.ndarray:
+        new = [g for g in grams if g not in self.place]
+        if len(self.place) + len(new) > KNOWN:
+            self.place.clear()
+            new = grams
+        for g in new:
+            a, b, c = (self._letter(x) for x in (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF))
+            self.place[g] = at = len(self.place)
+            self.vectors[at] = np.roll(a, 2) * np.roll(b, 1) * c
+        return self.vectors[[self.place[g] for g in grams]]
 
     def of(self, text: str | None) -> np.ndarray | None:
         """The text's vector of length 1; None without a letter."""
@@ -70,12 +77,14 @@ class Profiles:
         s = self._symbols(text)
         if not s.any():
             return None
-        s = np.concatenate([[0], s, [0]]).astype(np.int32)
+        s = np.concatenate([[0], s, [0]])
         s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]  # runs of other characters count once
         if len(s) < 3:
             s = np.concatenate([s, [0]])
-        grams, n = np.unique(s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:], return_counts=True)
-        v = n.astype(np.float32) @ self._vectors(grams)
+        grams, n = np.unique(s[:-2] << 42 | s[1:-1] << 21 | s[2:], return_counts=True)
+        v = np.zeros(self.dimensions, np.float32)
+        for i in range(0, len(grams), ADDED):
+            v += n[i : i + ADDED].astype(np.float32) @ self._vectors(grams[i : i + ADDED].tolist())
         return v / max(float(np.linalg.norm(v)), 1e-9)
 
 

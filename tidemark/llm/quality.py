@@ -142,7 +142,9 @@ def train(stats: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Trees:
     known = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     n = known.count()
     part = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(1 << 20)) < int(min(1.0, most / max(n, 1)) * (1 << 20))
-    rows = stats.filter(~F.col("held_out")).join(known.filter(part), "doc_id").select("doc_id", "x", "y").toArrow()
+    # an id that stands on several rows gives one of them, so the bound holds for rows too
+    one = stats.filter(~F.col("held_out")).join(known.filter(part), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.first("y").alias("y"))
+    rows = one.select("doc_id", "x", "y").toArrow()
     x = np.asarray(rows["x"].combine_chunks().flatten()).reshape(-1, len(NAMES)) if len(rows) else np.zeros((0, len(NAMES)), np.float32)
     order = np.lexsort((*x.T, np.asarray(rows["doc_id"])))
     return Trees().fit(x[order], np.round(np.asarray(rows["y"], np.float64)[order]))

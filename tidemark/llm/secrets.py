@@ -28,6 +28,8 @@ KINDS = (
 )
 #: Generic candidates: long tokens of key characters, with a digit and both cases.
 GENERIC = ("owned", r"[A-Za-z0-9+/_-]{20,}", 0, 20)
+#: Matches that are walked at once.
+RUN = 128
 #: A candidate that so many owners or repositories hold is a copied example.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 2, 1000
 
@@ -36,7 +38,8 @@ def spans(text: Column, pattern: str, group: int, least: int, order: int) -> Col
     """Array of (start, kind number, end, value) of the matches whose group has enough characters, in code points.
 
     Between n matches split() gives n + 1 pieces, so a match starts after the
-    pieces and matches before it.  Texts without a match cost one scan.
+    pieces and matches before it.  Texts without a match cost one scan.  Matches are
+    walked in runs of RUN, so the spans found so far are copied once a run, not once a match.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
@@ -50,7 +53,14 @@ def spans(text: Column, pattern: str, group: int, least: int, order: int) -> Col
         return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     matches = F.filter(found, lambda x: x["m"].isNotNull())
-    walked = F.aggregate(matches, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    begin = lambda at: F.struct(at.alias("at"), none.alias("out"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int")), lambda k: F.slice(matches, k * RUN + 1, RUN))
+
+    def run(acc, part):
+        one = F.array(F.aggregate(part, begin(acc["at"]), step))  # held in an array, so that it is walked once although it is read twice
+        return F.element_at(F.transform(one, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out"))), 1)
+
+    walked = F.aggregate(runs, begin(F.lit(0)), run, lambda acc: acc["out"])
     return F.when(F.regexp_instr(text, F.lit(pattern)) > 0, walked).otherwise(none)
 
 

@@ -1,18 +1,20 @@
 """Sharding by size-tiered compaction under a versioned manifest.
 
-append() writes arrivals as small immutable Parquet files.  compact() merges files of
-like size, tier by tier, into files of about TARGET_BYTES: the scan itself packs the
-small files of a merge into read partitions of that size, and each partition writes
-one file, so nothing is shuffled.  Every change commits one new manifest, a JSON
-file renamed into place where no file of that version may exist; readers see either
-version, never a mixture.  Replaced files stay until vacuum().
+append() writes arrivals as small immutable Parquet files, arrive() several arrivals in
+one job with a commit each.  compact() merges the files of one tier of like size at a
+time into files of about TARGET_BYTES: the scan itself packs the small files of a merge
+into read partitions of that size, and each partition writes one file, so nothing is
+shuffled.  Every change commits one new manifest, a JSON file renamed into place where
+no file of that version may exist; readers see either version, never a mixture.
+Replaced files stay until vacuum().
 
 The driver holds the manifest, a line for each file (not row).  All of it goes
 through Hadoop's file systems, so the store can be anywhere that Spark can write.
 
 Defined results: rows and columns are stored as they are, nulls, repeated rows and
 empty texts included; files without rows are not listed; an empty store reads as no
-rows.  The column name `_metadata` is Spark's own and is not allowed.
+rows.  A store takes no column called `_metadata`, which is Spark's own; sharded() stores
+it under another name and gives it back.
 """
 
 from __future__ import annotations
@@ -21,12 +23,19 @@ import json
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import free_name, new_path
 
 TARGET_BYTES, TIER_FACTOR, MERGE_AT = 128 << 20, 4, 4
+#: Arrivals that the rows of one table are taken as.
+ARRIVALS = 4
+
+
+def _name() -> Column:
+    """What tells the file that a row was read from: its folder and name."""
+    return F.substring_index(F.col("_metadata.file_path"), "/", -2)
 
 
 class Store:
@@ -63,18 +72,48 @@ class Store:
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf).rename(draft, final, options)  # fails where final exists
         return new
 
+    def _described(self, folders: list[str], schema) -> list[list[dict]]:
+        """Names, bytes and rows of the files of each written folder that have rows; one job counts them all."""
+        df = self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])
+        rows = {r.f: r.n for r in df.groupBy(_name().alias("f")).agg(F.count("*").alias("n")).collect()}
+        out = []
+        for folder in folders:
+            files = {f"{folder.rsplit('/', 1)[1]}/{s.getPath().getName()}": s for s in self._fs.listStatus(self._path(folder))}
+            out.append([{"file": f"{folder}/{s.getPath().getName()}", "bytes": s.getLen(), "rows": rows[k]} for k, s in files.items() if k in rows])
+        return out
+
     def _written(self, df: DataFrame) -> list[dict]:
         """Write df as files of a new folder; their names, bytes and rows."""
         folder = f"data/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        rows = {r.f: r.n for r in self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n")).collect()}
-        sizes = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(folder))}
-        return [{"file": f"{folder}/{f}", "bytes": sizes[f], "rows": n} for f, n in rows.items()]
+        return self._described([folder], df.schema)[0]
+
+    def arrive(self, df: DataFrame, arrivals: int = ARRIVALS) -> dict:
+        """df's rows as several arrivals, dealt out by a hash, written in one job; each becomes a version of its own."""
+        self._checked(df)
+        deal, draft = free_name(df, "arrival"), f"drafts/{uuid.uuid4().hex}"
+        key = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")], F.lit(5))
+        df.withColumn(deal, F.pmod(key, F.lit(arrivals))).write.option("compression", "zstd").partitionBy(deal).parquet(f"{self.root}/{draft}")
+        folders = []
+        self._fs.mkdirs(self._path("data"))
+        for s in sorted(self._fs.listStatus(self._path(draft)), key=lambda s: s.getPath().getName()):
+            if s.isDirectory():
+                folders.append(f"data/{uuid.uuid4().hex}")
+                self._fs.rename(s.getPath(), self._path(folders[-1]))
+        self._fs.delete(self._path(draft), True)
+        m = self.manifest()
+        for shards in self._described(folders, df.schema) if folders else []:
+            m = self._commit(m, m["shards"] + shards, df.schema.json())
+        return m
+
+    @staticmethod
+    def _checked(df: DataFrame) -> None:
+        if "_metadata" in (c.lower() for c in df.columns):
+            raise ValueError("the column name _metadata is not allowed")
 
     def append(self, df: DataFrame) -> dict:
         """One new shard for each partition of df that has rows."""
-        if "_metadata" in df.columns:
-            raise ValueError("the column name _metadata is not allowed")
+        self._checked(df)
         base = self.manifest()
         return self._commit(base, base["shards"] + self._written(df), df.schema.json())
 
@@ -83,24 +122,16 @@ class Store:
         return max(0, math.ceil(math.log(max(1, self.target / 2) / max(1, size), TIER_FACTOR))) if size < self.target / 2 else 0
 
     def _due(self, shards: list[dict]) -> list[dict]:
-        """The files of the smallest tier, and of those above as they fill up, that are due for a merge."""
+        """The files of the smallest tier that has enough of them; files of the largest tier are done."""
         tiers: dict[int, list[dict]] = {}
         for s in shards:
             tiers.setdefault(self.tier(s["bytes"]), []).append(s)
-        tiers.pop(0, None)
-        due: list[dict] = []
-        for t in sorted(tiers, reverse=True):
-            if len(tiers[t]) + bool(due) >= self.merge_at:
-                due += tiers[t]
-        return due
-
-    def compact(self, most_rounds: int = 20) -> dict:
-        """Merge until no tier is due; each round is one job and one commit."""
+        return next((tiers[t] for t in sorted(tiers, reverse=True) if t and len(tiers[t]) >= self.merge_at), [])
+
+    def compact(self) -> dict:
+        """Merge until no tier is due; each round is one job and one commit, and leaves fewer files."""
         m = self.manifest()
-        for _ in range(most_rounds):
-            due = self._due(m["shards"])
-            if len(due) < 2:
-                break
+        while due := self._due(m["shards"]):
             names = {s["file"] for s in due}
             merged = self._merged(due, m["schema"])
             if len(merged) >= len(due):  # the session packs no further
@@ -143,21 +174,30 @@ class Store:
 
 
 def sharded(docs: DataFrame, root: str | None = None, **how) -> DataFrame:
-    """Append docs, compact, and read back: docs' columns with shard, shard_bytes, shard_rows and manifest_version.
+    """Take docs as arrivals, compact, and read back: docs' columns with shard, shard_bytes, shard_rows and manifest_version.
 
-    Existing columns of these names are renamed with a trailing underscore.
+    A column of docs that has one of these names gets underscores at its end until its name is free.
     """
-    spark = docs.sparkSession
-    added = ["shard", "shard_bytes", "shard_rows", "manifest_version"]
-    docs = docs.select(*[F.col(f"`{c}`").alias(f"{c}_" if c in added else c) for c in docs.columns])
+    spark, added = docs.sparkSession, ["shard", "shard_bytes", "shard_rows", "manifest_version"]
+    for c in docs.columns:
+        if c.lower() in added:
+            new = c + "_"
+            while new.lower() in {x.lower() for x in docs.columns} | set(added):
+                new += "_"
+            docs = docs.withColumnRenamed(c, new)
+    stored = {c: free_name(docs, "metadata_of_row") for c in docs.columns if c.lower() == "_metadata"}
+    named = docs.withColumnsRenamed(stored)
     store = Store(spark, root or new_path(spark, "shards"), **how)
-    store.append(docs)
+    store.arrive(named)
     m = store.compact()
+    columns = [F.col(f"`{stored.get(c, c)}`").alias(c) for c in docs.columns]
     if not m["shards"]:
         return docs.limit(0).select("*", F.lit("").alias("shard"), *[F.lit(0).cast("long").alias(c) for c in added[1:]])
-    listed = spark.createDataFrame([(s["file"].rsplit("/", 1)[1], s["file"], s["bytes"], s["rows"]) for s in m["shards"]], "_f string, shard string, shard_bytes long, shard_rows long")
-    rows = store.read().select("*", F.col("_metadata.file_name").alias("_f"))
-    return rows.join(F.broadcast(listed), "_f").drop("_f").withColumn("manifest_version", F.lit(m["version"]).cast("long"))
+    key = free_name(named, "file_of_row")
+    facts = [(s["file"].split("/", 1)[1], s["file"], s["bytes"], s["rows"]) for s in m["shards"]]
+    listed = spark.createDataFrame(facts, f"`{key}` string, shard string, shard_bytes long, shard_rows long")
+    rows = store.read().withColumn(key, _name())
+    return rows.join(F.broadcast(listed), key).select(*columns, *added[:-1], F.lit(m["version"]).cast("long").alias(added[-1]))
 
 
 def report(docs: DataFrame) -> DataFrame:
