@@ -149,7 +149,8 @@ class Preprocessor:
         return df.select(*keep, *self.columns())
 
     def to_json(self) -> str:
-        return json.dumps(self.__dict__, sort_keys=True)
+        """The order of features is that of the matrix, so it is kept."""
+        return json.dumps(self.__dict__)
 
     @staticmethod
     def from_json(text: str) -> Preprocessor:

@@ -87,7 +87,7 @@ def save(folder: str, name: str, model, pre: Preprocessor, metrics: dict) -> Pac
     to = Path(folder)
     to.mkdir(parents=True, exist_ok=False)
     for f, value in text.items():
-        (to / f).write_text(json.dumps(value, sort_keys=True, indent=2), encoding="utf-8")
+        (to / f).write_text(json.dumps(value, indent=2), encoding="utf-8")  # unsorted: the order of features is that of the trees
     manifest = {f: {"bytes": (to / f).stat().st_size, "sha256": hashlib.sha256((to / f).read_bytes()).hexdigest()} for f in FILES}
     (to / "manifest.json").write_text(json.dumps(manifest, sort_keys=True, indent=2), encoding="utf-8")
     return Package(name, trees, pre, kept)
