@@ -141,6 +141,53 @@ def test_rules_estimate_equals_numpy(spark):
     assert (d[:800] < rules.CUTOFF).mean() > 0.99 and (d[800:] > rules.CUTOFF).all()
 
 
+def plain_mcd(x, start):
+    """Concentration steps on a numpy array from (centre, scatter), with the exact h-subset, until it stays."""
+    noise, h = np.diag(np.array(rules.NOISE) ** 2), math.ceil(len(x) * rules.H)
+    centre, scatter, before = *start, None
+    for _ in range(100):
+        d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+        inside = np.sort(np.argsort(d, kind="stable")[:h])
+        centre, scatter = x[inside].mean(0), np.cov(x[inside].T, bias=True) * rules.CONSISTENT + noise
+        if before is not None and (inside == before).all():
+            break
+        before = inside
+    return np.linalg.slogdet(scatter)[1], centre, scatter
+
+
+def test_rules_estimate_equals_a_plain_one(spark):
+    """Determinant, centre and scatter come near those of exact concentration steps from the same two starts."""
+    rng = np.random.default_rng(12)
+    mix = rng.normal(size=(rules.D, rules.D)) / 4
+    x = np.round(np.concatenate([rng.normal(0, 1, (700, rules.D)) @ mix, rng.normal(4, 0.5, (180, rules.D))]) * rules.UNIT).astype(int)
+    df = spark.createDataFrame([("c", *map(int, r)) for r in x], "cell string, " + ", ".join(f"x{i} long" for i in range(rules.D)))
+    got, y = rules.estimates(df).first(), x / rules.UNIT
+    noise = np.diag(np.array(rules.NOISE) ** 2)
+    q = np.percentile(y, [25, 50, 75], axis=0)
+    starts = (y.mean(0), np.cov(y.T, bias=True) * rules.CONSISTENT + noise), (q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + noise)
+    logdet, centre, scatter = min((plain_mcd(y, s) for s in starts), key=lambda m: m[0])
+    w = np.array([[got[f"w{i}{j}"] if j <= i else 0.0 for j in range(rules.D)] for i in range(rules.D)])
+    mine = np.linalg.inv(w.T @ w)
+    assert got.n_rows == len(x) and abs(np.linalg.slogdet(mine)[1] - logdet) < 0.05
+    assert np.abs([got[f"c{i}"] for i in range(rules.D)] - centre).max() < 0.02 and np.abs(mine - scatter).max() < 0.05
+
+
+def test_rules_subset_has_its_size_exactly(spark):
+    """Many rows at one distance do not swell the subset."""
+    x = [(0,) * rules.D] * 90 + [(5 * rules.UNIT,) * rules.D] * 10
+    df = spark.createDataFrame([("c", *r) for r in x], "cell string, " + ", ".join(f"x{i} long" for i in range(rules.D)))
+    assert rules.moments(df).first().n == math.ceil(100 * rules.H)
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """A source of three texts is judged by its language's estimate, nearly; a large one by its own; no size switches."""
+    rng = random.Random(14)
+    prose = lambda mark: " ".join(rng.choice(["the", "house", "river,", "stone", "walks", "along.", "Green"]) + str(rng.randint(0, 9)) + mark * (rng.random() < 0.1) for _ in range(80))
+    r = [(i, prose(""), "en", "large", 0) for i in range(400)] + [(1000 + i, prose("#"), "en", "own", 0) for i in range(400)] + [(2000 + i, prose(""), "en", "tiny", 0) for i in range(3)] + [(3000, " ".join(x + "%%%%" for x in prose("").split()), "en", "tiny", 0)]
+    kept = {x.doc_id for x in rules.keep_good(spark.createDataFrame(r, SCHEMA)).collect()}
+    assert len([i for i in kept if i < 1000]) >= 396 and len([i for i in kept if 1000 <= i < 2000]) >= 396 and {2000, 2001, 2002} <= kept and 3000 not in kept
+
+
 def test_rules_keep_clean_documents(spark, odd):
     rng = random.Random(2)
     prose = lambda: " ".join(rng.choice(["the", "house", "river,", "stone", "walks", "along.", "Green"]) + str(rng.randint(0, 9)) for _ in range(80))

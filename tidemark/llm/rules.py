@@ -1,19 +1,22 @@
 """Quality rules: base statistics of every text, and robust multivariate outliers.
 
-Six transformed statistics of a text form its vector.  For each language and source
-the minimum-covariance-determinant estimate of centre and scatter is sought by
-concentration steps over all rows, from two starts (medians, and plain moments); the
-start that ends with the smaller determinant counts.  A text whose Mahalanobis
-distance from its estimate is above CUTOFF is rejected.
+Six transformed statistics of a text form its vector.  For each language and source,
+each language, and all texts the minimum-covariance-determinant estimate of centre and
+scatter is sought by concentration steps over all rows, from two starts (medians, and
+plain moments), until it settles; the start that ends with the smaller determinant
+counts.  A text whose Mahalanobis distance from its estimate is above CUTOFF is rejected.
 
 A concentration step is one aggregation: rows are binned by the logarithm of their
-distance, every bin sums its moments, and the bins up to the H share are added up.
-So no group is ever sorted or gathered, and a source that holds a third of all rows
-costs no more than the rest.  Sums are of whole numbers, so reruns agree.
+distance, every bin sums its moments, and the bins up to the H share are added up, the
+last one in part, so that the subset has its size exactly.  So no group is ever sorted
+or gathered, and a source that holds a third of all rows costs no more than the rest.
+Sums are of whole numbers, so reruns agree.
 
-Groups with fewer than MIN_ROWS texts use their language's estimate, and languages
-with fewer use that of all texts, which is always fitted.  NOISE is added to the variances, so a statistic
-that is zero in nearly all texts does not make the scatter singular.
+Every language and source has an estimate of its own, whatever its size: its moments are
+added to PRIOR rows' worth of its language's, and those to as many of all texts'.  Large
+groups hardly notice, a group of a few texts is judged mostly by its language.  NOISE is
+added to the variances, so a statistic that is zero in nearly all texts does not make
+the scatter singular.
 
 Defined results: a null text has no words and fails the base; a null language or
 source is a group of its own; an estimate of a few texts rejects few, as
@@ -25,10 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SPACE, cut, discard
 
-#: MIN_ROWS is five rows for each of the 6 dimensions; CUTOFF is the 0.9999 quantile of chi-square with 6 degrees of freedom.
-MIN_ROWS, H, STEPS, CUTOFF = 30, 0.75, 4, 27.86
+#: PRIOR is five rows for each of the 6 dimensions; STEPS is a bound, most estimates settle before; CUTOFF is the 0.9999 quantile of chi-square with 6 degrees of freedom.
+PRIOR, H, STEPS, CUTOFF = 30, 0.75, 10, 27.86
 #: Fixed scale: statistics are whole multiples of 1 / UNIT in all sums.
 UNIT = 1024
 #: Standard deviation that each statistic has at least.
@@ -121,26 +124,57 @@ def _moments() -> list[Column]:
     return [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(D) for j in range(i + 1)]]
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Per cell of rows (cell, x<i>): the MCD centre, factor and n_rows of the start with the smallest determinant."""
+MOMENTS = ("n", *[f"s{i}" for i in range(D)], *[f"p{i}{j}" for i in range(D) for j in range(i + 1)])
+
+
+def _hint(df: DataFrame, cells: int) -> DataFrame:
+    """df, one row or two a cell, broadcast where the number of cells is bounded."""
+    return F.broadcast(df) if cells <= BROADCAST_CELLS else df
+
+
+def moments(rows: DataFrame) -> DataFrame:
+    """Per cell of rows (cell, x<i>): the moments of the H-subset that the start with the smallest determinant ends with."""
     plain = _solved(rows.groupBy("cell").agg(*_moments())).withColumn("start", F.lit("moments"))
     mid = rows.groupBy("cell").agg(F.count("*").alias("n"), *[F.expr(f"percentile(x{i}, array(0.25, 0.5, 0.75))").alias(f"r{i}") for i in range(D)])
     spread = lambda i: F.pow((F.col(f"r{i}")[2] - F.col(f"r{i}")[0]) / UNIT / 1.349, 2) + NOISE[i] ** 2
     mid = mid.withColumns({f"c{i}": F.col(f"r{i}")[1] / UNIT for i in range(D)} | {f"v{i}{j}": spread(i) if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)})
     mid = _factored(mid.drop(*[f"r{i}" for i in range(D)])).withColumn("start", F.lit("medians"))
     params = cut(plain.unionByName(mid), "mcd-start").withColumnRenamed("n", "n_rows")
-    small = params.count() <= BROADCAST_CELLS
-    whole = Window.partitionBy("cell", "start")
+    cells, before, settled = params.count(), None, None
+    whole = Window.partitionBy("cell", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(STEPS):
-        near = rows.join(F.broadcast(params) if small else params, "cell")
-        bin_ = F.floor(8 * F.log2(distance() + 1e-6))
-        bins = near.groupBy("cell", "start", "n_rows", bin_.alias("bin")).agg(*_moments())
-        seen = F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-        inner = bins.withColumn("seen", F.coalesce(seen, F.lit(0))).filter(F.col("seen") < F.ceil(F.col("n_rows") * H))
-        kept = inner.groupBy("cell", "start", "n_rows").agg(*[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(D)], *[f"p{i}{j}" for i in range(D) for j in range(i + 1)])])
-        params = cut(_solved(kept).drop("n"), "mcd-step")
+        near = rows.join(_hint(params, cells), "cell")
+        bins = near.groupBy("cell", "start", "n_rows", F.floor(8 * F.log2(distance() + 1e-6)).alias("bin")).agg(*_moments())
+        room = F.ceil(F.col("n_rows") * H) - F.coalesce(F.sum("n").over(whole), F.lit(0))
+        inner = bins.withColumn("room", room).filter("room > 0").withColumn("part", F.least(F.lit(1.0), F.col("room") / F.col("n")))
+        kept = inner.groupBy("cell", "start", "n_rows").agg(*[F.sum(F.round(F.col(c) * F.col("part")).cast("long")).alias(c) for c in MOMENTS])
+        kept = cut(kept, "mcd-step")
+        if before is not None:
+            discard(before)
+        params, before = cut(_solved(kept).drop("n"), "mcd-step"), kept
+        state = params.agg(F.sum(F.round("logdet", 6).cast("decimal(38,6)"))).first()[0]
+        if state == settled:
+            break
+        settled = state
     first = F.row_number().over(Window.partitionBy("cell").orderBy(F.round("logdet", 9), "start"))
-    return params.withColumn("_k", first).filter("_k = 1").drop("_k", "start", "logdet")
+    best = params.withColumn("k_", first).filter("k_ = 1").select("cell", "start")
+    return before.join(best, ["cell", "start"]).select("cell", "n_rows", *MOMENTS)
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """Per cell of rows: n_rows and the centre c<i> and factor w<i><j> of its own rows alone."""
+    return _solved(moments(rows)).drop("n", "logdet")
+
+
+def shrunk(groups: DataFrame, found: DataFrame, cells: int) -> DataFrame:
+    """groups (cell2, cell1, cell0 from the narrowest to all texts) with the moments of their own cell and PRIOR rows' worth of those above."""
+    side = lambda k: _hint(found.select(F.col("cell").alias(f"cell{k}"), *[F.col(c).cast("double").alias(f"{c}_{k}") for c in MOMENTS]), cells)
+    j = groups
+    for k in range(3):
+        j = j.join(side(k), f"cell{k}")
+    wider = {c: F.col(f"{c}_1") + PRIOR * F.col(f"{c}_0") / F.col("n_0") for c in MOMENTS}
+    own = {c: F.col(f"{c}_2") + PRIOR * wider[c] / wider["n"] for c in MOMENTS}
+    return j.select(*groups.columns, *[v.alias(c) for c, v in own.items()])
 
 
 def judged(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
@@ -156,15 +190,14 @@ def judged(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
     cell = lambda *v: F.to_json(F.struct(F.lit(len(v)).alias("level"), *[c.alias(f"k{i}") for i, c in enumerate(v)]))
     levels = [cell(F.col("lang"), F.col("source")), cell(F.col("lang")), cell()]
     stats = wide.filter(~F.col("base_failed")).select("lang", "source", *names)
-    sizes = stats.groupBy("lang", "source").agg(F.count("*").alias("n2"))
-    sizes = sizes.withColumn("n1", F.sum("n2").over(Window.partitionBy("lang"))).withColumn("n0", F.sum("n2").over(Window.partitionBy()))
-    pick = F.when(F.col("n2") >= MIN_ROWS, levels[0]).when(F.col("n1") >= MIN_ROWS, levels[1]).otherwise(levels[2])
-    groups = cut(sizes.select(F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), pick.alias("cell")), "mcd-groups")
-    wanted = groups.filter("cell is not null").select("cell").distinct()
-    small = groups.count() <= BROADCAST_CELLS
-    hint = F.broadcast if small else lambda d: d
-    rows = stats.select(F.explode(F.array(*levels)).alias("cell"), *names).join(hint(wanted), "cell", "left_semi")
-    fitted = cut(groups.join(estimates(rows), "cell"), "mcd-fitted")
+    keys = stats.select("lang", "source").distinct()
+    groups = cut(keys.select(F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), *[c.alias(f"cell{2 - i}") for i, c in enumerate(levels)]), "mcd-groups")
+    cells = groups.count()
+    found = cut(moments(stats.select(F.explode(F.array(*levels)).alias("cell"), *names)), "mcd-moments")
+    both = cut(shrunk(groups, found, cells), "mcd-shrunk")
+    fitted = cut(_solved(both).drop("n", "logdet", "cell0", "cell1", "cell2"), "mcd-fitted")
+    discard(found, both, groups)
+    hint = lambda df: _hint(df, cells)
     same = F.col("lang").eqNullSafe(F.col("_q_lang")) & F.col("source").eqNullSafe(F.col("_q_source"))
     out = wide.join(hint(fitted), same, "left").withColumn("distance2", F.round(distance(), 6))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF))
