@@ -273,7 +273,9 @@ class Words:
     ASCII punctuation before or after them are encoded as two or three pieces.
     """
 
-    LIMIT = 600_000
+    LIMIT = 500_000
+    #: Bytes of texts that are remembered.
+    COPIES = 24_000_000
     #: ASCII punctuation without the apostrophe, which can begin a piece with letters in it.
     EDGE = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -284,7 +286,7 @@ class Words:
         # runs of a-z need no normalising and are parted by blanks alone; this reads them faster, once it has been seen to read some alike
         bare = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.bare = Tokenizer.from_str(json.dumps(json.loads(spec) | {"normalizer": None, "pre_tokenizer": bare, "added_tokens": []}))
-        self.trusted = None
+        self.trusted, self.copies, self.held = None, {}, 0
         self.ends = np.zeros(1 << 16, bool)  # ids that end a piece
         for token, i in self.tokenizer.get_vocab().items():
             if i >= 1 << 16:
@@ -352,12 +354,20 @@ class Words:
             known[w] = b"".join(map(known.__getitem__, pieces))
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """The ids of each text and END."""
+        """The ids of each text and END; a copy of a text that was met lately is not encoded again."""
+        new = list(dict.fromkeys(t for t in texts if t not in self.copies))
+        size = sum(map(len, filter(None, new)))
+        if self.held + size > self.COPIES:
+            new, self.copies, self.held = list(dict.fromkeys(texts)), {}, 0
+            size = sum(map(len, filter(None, new)))
+        self.held += size
         # a text that may hold a special token's string keeps its case, on which that token depends
-        words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in new]
         self.learn(set().union(*words))
-        end = np.array([END], "<u2").tobytes()
-        return [np.frombuffer(b"".join(map(self.ids.__getitem__, w)) + end, "<u2") for w in words]
+        end, ids = np.array([END], "<u2").tobytes(), self.ids
+        for t, w in zip(new, words, strict=True):
+            self.copies[t] = np.frombuffer(b"".join(map(ids.__getitem__, w)) + end, "<u2")
+        return [self.copies[t] for t in texts]
 
 
 #: The words that this process knows, by the hash of the tokenizer: a Python worker keeps them from task to task.
