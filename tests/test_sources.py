@@ -133,3 +133,22 @@ def test_stream_lands_each_page_once(spark, tmp_path):
     landing.land(landing.page_stream(spark, src, RECORD), out, mark)
     landing.land(landing.page_stream(spark, src, RECORD), out, mark)
     assert sorted(r.CIN for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_broken_bodies_and_fractions_of_a_second(tmp_path):
+    import http.client
+    import io
+
+    waits, calls = [], []
+
+    class Broken(io.BytesIO):
+        def read(self, *a):
+            raise http.client.IncompleteRead(b"{")
+
+    def opener(url):
+        calls.append(url)
+        return Broken() if len(calls) < 3 else io.BytesIO(b"{}")
+
+    c = pages.PageClient("http://x", "key", 1, sleep=waits.append, opener=opener, first_delay=0.5)
+    assert c.fetch(0) == b"{}" and waits == [0.5, 1.0]
+    assert c.delay(0, "1.5") == 1.5 and c.delay(0, "Wed, 21 Oct 2015 07:28:00 GMT") == 0.5 and c.delay(0, "nan") == 0.5

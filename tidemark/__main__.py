@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import decide, evaluate, linkage, serving
-from .plans import catalogue
+from .plans import evidence
 from .sources import artifacts, pages, readers
 
 UNITS = {
@@ -41,7 +41,7 @@ def published(df: DataFrame, out: str, parameters: dict) -> dict:
 
 
 def query(a) -> dict:
-    return published(catalogue.QUERIES[a.name](session(), a.data), a.out, {"query": a.name, "data": a.data})
+    return published(evidence.QUERIES[a.name](session(), a.data), a.out, {"query": a.name, "data": a.data})
 
 
 def acquire(a) -> dict:
@@ -124,7 +124,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(f"--{n.replace('_', '-')}", type=kind, default=default)
         return c
 
-    command("query", query, "data", "out").add_argument("name", choices=sorted(catalogue.QUERIES))
+    command("query", query, "data", "out").add_argument("name", choices=sorted(evidence.QUERIES))
     command("acquire", acquire, "url", "folder", key_variable=(str, "PAGE_API_KEY"), limit=(int, 10_000))
     command("manifest", manifest, "path")
     command("verify", verify, "report", "root")

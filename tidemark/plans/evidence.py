@@ -211,6 +211,7 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.hash_sample(registry(spark, sf_dir), "company_snapshot_id", 250_000, 7).select("company_snapshot_id")
 
 
+#: Names as sources spell them, and as fields are called here.
 FIELD_SQL = " UNION ALL ".join(f"SELECT '{n}' AS source_name, '{snake_upper(n)}' AS field_name" for n in ("CompanyROCcode", "Listing status", "paidUp Capital", "PAN"))
 
 

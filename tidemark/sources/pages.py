@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import http.client
 import json
+import math
 import shutil
 import time
 import urllib.error
@@ -20,12 +23,17 @@ RETRY = frozenset({408, 425, 429, 500, 502, 503, 504})
 class PageClient:
     """fetch(offset) with retries; the key goes into the request and never into a message."""
 
-    def __init__(self, url: str, key: str, limit: int, attempts: int = 5, first_delay: float = 1.0, longest_delay: float = 60.0, opener: Callable | None = None, sleep: Callable[[float], None] = time.sleep):
+    def __init__(self, url: str, key: str, limit: int, attempts: int = 5, first_delay: float = 1.0, longest_delay: float = 60.0, opener: Callable | None = None, sleep: Callable[[float], None] = time.sleep, timeout: float = 60.0):
         self.url, self._key, self.limit, self.attempts = url, key, limit, attempts
-        self.first_delay, self.longest_delay, self._open, self._sleep = first_delay, longest_delay, opener or urllib.request.urlopen, sleep
+        self.first_delay, self.longest_delay, self._open, self._sleep = first_delay, longest_delay, opener or functools.partial(urllib.request.urlopen, timeout=timeout), sleep
 
     def delay(self, attempt: int, retry_after: str | None) -> float:
-        wanted = float(retry_after) if retry_after and retry_after.strip().isdigit() else 0.0
+        """Doubling from first_delay, never less than the server asks for in seconds (fractions too), never more than longest_delay."""
+        try:
+            wanted = float(retry_after or 0)
+        except ValueError:  # a date
+            wanted = 0.0
+        wanted = wanted if math.isfinite(wanted) else 0.0
         return min(max(self.first_delay * 2**attempt, wanted), self.longest_delay)
 
     def fetch(self, offset: int) -> bytes:
@@ -39,7 +47,7 @@ class PageClient:
                 why, after = f"HTTP {e.code}", e.headers.get("Retry-After") if e.headers else None
                 if e.code not in RETRY:
                     raise ContractError(f"offset {offset}: {why}") from None
-            except (urllib.error.URLError, TimeoutError, ConnectionError):
+            except (urllib.error.URLError, TimeoutError, ConnectionError, http.client.IncompleteRead):
                 pass
             if attempt + 1 < self.attempts:
                 self._sleep(self.delay(attempt, after))
