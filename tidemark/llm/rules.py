@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, cut, discard
 
 #: PRIOR is five rows for each of the 6 dimensions; STEPS is a bound, most estimates settle before; CUTOFF is the 0.9999 quantile of chi-square with 6 degrees of freedom.
-PRIOR, H, STEPS, CUTOFF = 30, 0.75, 10, 27.86
+PRIOR, H, STEPS, CUTOFF = 30, 0.75, 8, 27.86
 #: Fixed scale: statistics are whole multiples of 1 / UNIT in all sums.
 UNIT = 1024
 #: Standard deviation that each statistic has at least.
@@ -139,26 +139,24 @@ def moments(rows: DataFrame) -> DataFrame:
     spread = lambda i: F.pow((F.col(f"r{i}")[2] - F.col(f"r{i}")[0]) / UNIT / 1.349, 2) + NOISE[i] ** 2
     mid = mid.withColumns({f"c{i}": F.col(f"r{i}")[1] / UNIT for i in range(D)} | {f"v{i}{j}": spread(i) if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)})
     mid = _factored(mid.drop(*[f"r{i}" for i in range(D)])).withColumn("start", F.lit("medians"))
-    params = cut(plain.unionByName(mid), "mcd-start").withColumnRenamed("n", "n_rows")
-    cells, before, settled = params.count(), None, None
+    params = cut(plain.unionByName(mid).withColumnRenamed("n", "n_rows"), "mcd-start")
+    cells, settled = params.count(), None
     whole = Window.partitionBy("cell", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(STEPS):
-        near = rows.join(_hint(params, cells), "cell")
+        near = rows.join(_hint(params.drop(*[f"m_{c}" for c in MOMENTS]), cells), "cell")
         bins = near.groupBy("cell", "start", "n_rows", F.floor(8 * F.log2(distance() + 1e-6)).alias("bin")).agg(*_moments())
         room = F.ceil(F.col("n_rows") * H) - F.coalesce(F.sum("n").over(whole), F.lit(0))
         inner = bins.withColumn("room", room).filter("room > 0").withColumn("part", F.least(F.lit(1.0), F.col("room") / F.col("n")))
         kept = inner.groupBy("cell", "start", "n_rows").agg(*[F.sum(F.round(F.col(c) * F.col("part")).cast("long")).alias(c) for c in MOMENTS])
-        kept = cut(kept, "mcd-step")
-        if before is not None:
-            discard(before)
-        params, before = cut(_solved(kept).drop("n"), "mcd-step"), kept
+        solved = _solved(kept.withColumns({f"m_{c}": F.col(c) for c in MOMENTS})).drop("n")
+        old, params = params, cut(solved.coalesce(4) if cells <= BROADCAST_CELLS else solved, "mcd-step")
+        discard(old)
         state = params.agg(F.sum(F.round("logdet", 6).cast("decimal(38,6)"))).first()[0]
         if state == settled:
             break
         settled = state
     first = F.row_number().over(Window.partitionBy("cell").orderBy(F.round("logdet", 9), "start"))
-    best = params.withColumn("k_", first).filter("k_ = 1").select("cell", "start")
-    return before.join(best, ["cell", "start"]).select("cell", "n_rows", *MOMENTS)
+    return params.withColumn("k_", first).filter("k_ = 1").select("cell", "n_rows", *[F.col(f"m_{c}").alias(c) for c in MOMENTS])
 
 
 def estimates(rows: DataFrame) -> DataFrame:
