@@ -314,26 +314,26 @@ def _shared_posts(classes: DataFrame) -> DataFrame:
 
 
 def _beyond(docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) between classes (id, n, odd, prefix, root) of different roots whose exact Jaccard similarity is enough."""
+    """Edges (u, v) between the roots of classes (id, n, odd, prefix, root) whose exact Jaccard similarity is enough; one for each two roots, however many classes link them."""
     kept = cut(_shared_posts(classes), "dedup-posts")
     posts = kept.join(classes.select("id", "n"), "id")
     other = posts.select("h", F.col("id").alias("v"), F.col("root").alias("root2"), F.col("n").alias("n2"))
     sized = F.least("n", "n2") >= similarity * F.greatest("n", "n2")
-    pairs = posts.join(other, "h").filter((F.col("root") < F.col("root2")) & sized).select(F.col("id").alias("u"), "v").distinct()
+    pairs = posts.join(other, "h").filter((F.col("root") < F.col("root2")) & sized).select(F.col("id").alias("u"), "v", F.col("root").alias("root_u"), F.col("root2").alias("root_v")).distinct()
     sketch = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}"))
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                rows = _folded_pairs(b.column(4).to_pylist(), b.column(5).to_pylist(), np.asarray(b.column(2), np.int64) + np.asarray(b.column(3), np.int64), similarity)
-                yield b.select([0, 1]).filter(pa.array(rows))
+                rows = _folded_pairs(b.column(6).to_pylist(), b.column(7).to_pylist(), np.asarray(b.column(4), np.int64) + np.asarray(b.column(5), np.int64), similarity)
+                yield b.select([0, 1, 2, 3]).filter(pa.array(rows))
 
-    tested = pairs.join(sketch("u"), "u").join(sketch("v"), "v").select("u", "v", "n_u", "n_v", "odd_u", "odd_v").mapInArrow(possible, "u long, v long")
+    tested = pairs.join(sketch("u"), "u").join(sketch("v"), "v").select("u", "v", "root_u", "root_v", "n_u", "n_v", "odd_u", "odd_v").mapInArrow(possible, "u long, v long, root_u long, root_v long")
     tested = cut(tested, "dedup-pairs")
     sets = _sets(docs, tested.select(F.col("u").alias("id")).union(tested.select("v")))
     met = tested.join(sets.select(F.col("id").alias("u"), "s"), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("s2")), "v")
-    met = met.select("u", "v", F.size(F.array_intersect("s", "s2")).alias("common"), (F.size("s") + F.size("s2")).alias("total"))
-    links = cut(met.filter(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select("u", "v"), "dedup-far")
+    met = met.select("root_u", "root_v", F.size(F.array_intersect("s", "s2")).alias("common"), (F.size("s") + F.size("s2")).alias("total"))
+    links = cut(met.filter(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select(F.col("root_u").alias("u"), F.col("root_v").alias("v")).distinct(), "dedup-far")
     discard(kept, tested, sets)
     return links
 
