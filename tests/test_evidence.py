@@ -33,6 +33,11 @@ def test_addresses_are_grouped_by_their_normal_form(spark):
     assert one(" 12/a,  Main road ") == one("12 A MAIN ROAD") == "12 A MAIN ROAD" and one(None) == ""
 
 
+def test_addresses_without_an_identifier_have_no_key(spark):
+    one = lambda **given: canonical.addresses(raw_company(spark, **given), "snap", date(2023, 11, 3)).first()
+    assert one(CIN=None).company_address_snapshot_id is None and one(CIN=" ").company_address_snapshot_id == "snap:" and one(CIN=" x-1").company_address_snapshot_id == "snap:X-1"
+
+
 def test_events_need_all_their_fields(spark):
     row = {c: None for c in canonical.EVENT_FIELDS} | {"DIN / CIN": " 00012345 ", "PAN": "abcde1234f", "Order Date": "05-FEB-2020", "Date of NSE circular": "06/02/2020", "source_row_number": "7"}
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"`{c}` string" for c in row))

@@ -33,9 +33,9 @@ def _field(name: str) -> Column:
 
 
 def _common(identifier: Column, snapshot: str, as_of: date, key: str) -> list[Column]:
-    """Identity and lineage that companies and addresses share."""
+    """Identity and lineage that companies and addresses share; a row without an identifier has no key either."""
     return [
-        F.concat_ws(":", F.lit(snapshot), identifier).alias(key), F.lit(COMPANY_SOURCE).alias("source_id"), identifier.alias("source_record_id"), F.col("source_file_sha256"), F.lit(snapshot).alias("source_snapshot_id"),
+        F.concat(F.lit(f"{snapshot}:"), identifier).alias(key), F.lit(COMPANY_SOURCE).alias("source_id"), identifier.alias("source_record_id"), F.col("source_file_sha256"), F.lit(snapshot).alias("source_snapshot_id"),
         F.lit(as_of).alias("snapshot_as_of"), F.col("observed_at"), F.lit(COMPANY_VERSION).alias("schema_version"), identifier.alias("legal_entity_identifier"),
     ]
 
