@@ -28,6 +28,11 @@ def test_companies_keep_rows_that_are_malformed(spark):
         canonical.companies(raw_company(spark).drop("CIN"), "snap", date(2023, 11, 3))
 
 
+def test_companies_without_an_identifier_have_no_key(spark):
+    r = canonical.companies(raw_company(spark, CIN=None), "snap", date(2023, 11, 3)).first()
+    assert (r.company_snapshot_id, r.source_record_id, r.legal_entity_identifier_type, r.legal_entity_identifier_is_valid_format) == (None, None, "UNKNOWN", False)
+
+
 def test_addresses_are_grouped_by_their_normal_form(spark):
     one = lambda a: canonical.addresses(raw_company(spark, Registered_Office_Address=a), "snap", date(2023, 11, 3)).first().address_group_key
     assert one(" 12/a,  Main road ") == one("12 A MAIN ROAD") == "12 A MAIN ROAD" and one(None) == ""
