@@ -268,3 +268,10 @@ def test_transactions(spark):
     assert abs(r.CUSTOMER_AMOUNT_TO_AVG_1D - 1 / 5.001) < 1e-6 and abs(r.CUSTOMER_TX_ACCEL_1D_TO_7D - 4 / (6 / 7 + 0.001)) < 1e-5 and r.TERMINAL_RISK_MAX == 15 and r.TERMINAL_RISK_SLOPE_1D_30D == -4
     with pytest.raises(checks.ContractError):
         transactions.engineered(df.withColumn("TX_AMOUNT", F.lit(None).cast("double")))
+
+
+def test_velocity_goes_by_the_nearest_second(spark):
+    at = ["2024-01-01 00:00:10.5", "2024-01-01 00:00:11.5", "2024-01-02 00:00:11.6", "2024-01-03 00:00:12.4"]
+    e = spark.createDataFrame([(i, 1, t, 1.0) for i, t in enumerate(at)], "event_id long, user_id long, ts string, value double")
+    got = features.velocity(e.withColumn("ts", F.col("ts").cast("timestamp"))).orderBy("event_id")
+    assert [r.n_1d for r in got.collect()] == [1, 2, 2, 2]

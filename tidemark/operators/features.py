@@ -115,9 +115,12 @@ def company_features(df: DataFrame, cutoff: date) -> DataFrame:
 
 
 def velocity(events: DataFrame, key: str = "user_id", at: str = "ts", value: str = "value", epsilon: float = 1e-3) -> DataFrame:
-    """Counts and means over trailing 1, 7 and 30 days, and the ratios between them; range windows with the row itself included."""
+    """Counts and means over trailing 1, 7 and 30 days, and the ratios between them; range windows with the row itself included.
+
+    Windows go by the nearest second, halves to the even one.
+    """
     day = 86_400
-    seconds = F.unix_timestamp(F.col(at))
+    seconds = F.rint(F.col(at).cast("timestamp").cast("double")).cast("long")
     over = lambda days: Window.partitionBy(key).orderBy("at_").rangeBetween(-days * day, 0)
     e = events.withColumn("at_", seconds)
     e = e.withColumns({f"n_{d}d": F.count("*").over(over(d)) for d in (1, 7, 30)} | {f"mean_{d}d": F.avg(value).over(over(d)) for d in (1, 7, 30)})
