@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -357,6 +358,33 @@ def test_similar_texts_with_far_fingerprints_meet(spark):
     assert {r.id: r.stays for r in neardup.groups(df).collect()} == want and len(set(want.values())) == len(texts) - 6
 
 
+def test_shards_link_near_copies_by_a_forest():
+    """A shard finds its similar sets, whose hashes fill all 64 bits, and emits one link fewer than each group has members."""
+    rng = np.random.default_rng(5)
+    base, sets = rng.integers(0, 1 << 64, 100, np.uint64), []
+    for k in range(60):  # each shares 0.8 or more with its neighbours, less with those further on
+        own = rng.integers(0, 1 << 64, 100, np.uint64)
+        sets.append(np.unique(np.concatenate([base[k % 12 :], own[: k % 12]])))
+    g = pd.DataFrame({"id": range(60), "fp": 0, "n": [len(x) for x in sets], "odd": [neardup._odd(x) for x in sets], "resident": True, "query": True, "s": [x.view(np.int64) for x in sets]})
+    got = neardup._linked(g, 14, 0.8)
+    want = plain_components(range(60), lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])))
+    links = set(zip(got["u"].tolist(), got["v"].tolist(), strict=True))
+    assert plain_components(range(60), lambda a, b: (a, b) in links or (b, a) in links) == want
+    assert len(got) == 60 - len(set(want.values())) > 40
+
+
+def test_a_long_common_passage_makes_no_pairs(spark):
+    """Sets that share 85 of 100 shingles, so share some in their prefixes, but have too few left after them to be similar."""
+    n, rows = 40, []
+    for i in range(n):
+        rows.append((i, 100, [*range(1000 * (i + 1), 1000 * (i + 1) + 15), *range(6)], i))
+    rows += [(n, 100, [*range(1000, 1010), *range(11)], n)]  # shares ten of its own with class 0
+    classes = spark.createDataFrame(rows, "id long, n int, prefix array<long>, root long")
+    posts = neardup._shared_posts(classes)
+    assert {(r.id, r.place) for r in posts.collect() if r.h == 3} == {*((i, 18) for i in range(n)), (n, 13)}
+    assert [(r.u, r.v) for r in neardup._met(posts, classes, 0.8).collect()] == [(0, n)]
+
+
 def test_odd_sketches_never_hide_a_similar_pair():
     rng = np.random.default_rng(9)
     for n in (1, 3, 20, 64, 65, 700, 5000):

@@ -15,7 +15,8 @@ candidates are checked by the exact Jaccard similarity of their shingle sets.
 3. Similar pairs beyond the radius are found by an exact prefix join: in any one order of
    all shingles, two sets as similar as wanted share one of their first
    n - ceil(similarity * n) + 1 shingles.  Shingles frequent in a sample come last in that
-   order.  A shingle that only one group's prefixes hold makes no pairs.
+   order.  A shingle that only one group's prefixes hold makes no pairs, nor does one that
+   leaves too few after its place in either set.
 
 So no link is lost, whatever RADIUS is.  At 14 bits the triangle bounds prune little:
 within a band the search compares blocks of all classes.  A lower RADIUS costs less
@@ -234,7 +235,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _linked(g: pd.DataFrame, radius: int, similarity: float) -> pd.DataFrame:
     """A spanning forest (u, v) of the links between residents and queries of g, whose sets are in s."""
     g = g.reset_index(drop=True)
-    ids, n, sets = g["id"].to_numpy(np.int64), g["n"].to_numpy(np.int64), [np.asarray(s, np.int64) for s in g["s"]]
+    ids, n, sets = g["id"].to_numpy(np.int64), g["n"].to_numpy(np.int64), [np.asarray(s, np.int64).view(np.uint64) for s in g["s"]]  # sets are in the order of unsigned numbers
     residents, queries = (np.nonzero(g[c].to_numpy(bool))[0] for c in ("resident", "query"))
     root, u, v = np.arange(len(g)), [], []
     for i in range(0, len(queries), QUERY_ROWS):  # pairs in memory: at most those of a block of queries
@@ -257,6 +258,7 @@ def _linked(g: pd.DataFrame, radius: int, similarity: float) -> pd.DataFrame:
                 shared = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
                 common = np.add.reduceat(shared.astype(np.int64), np.cumsum(n[p]) - n[p])
                 p = p[common >= similarity * (n[q] + n[p] - common) - 1e-9]
+                p = p[np.unique(root[p], return_index=True)[1]]  # one link for each group that q joins
                 u += [int(ids[q])] * len(p)
                 v += ids[p].tolist()
                 root[np.isin(root, root[p])] = root[q]
@@ -281,10 +283,10 @@ def _checked(involved: DataFrame, sets: DataFrame, radius: int, similarity: floa
 
 
 def _shared_posts(classes: DataFrame) -> DataFrame:
-    """(h, id) of the prefix shingles that classes (id, root, prefix) of several roots hold; they travel packed, a row for each batch and part."""
+    """(h, id, root, place) of the prefix shingles that classes (id, root, prefix) of several roots hold; they travel packed, a row for each batch and part."""
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     parts = max(8, -(-total // PART_POSTS))
-    columns = ("h", "id", "root")
+    columns = ("h", "id", "root", "place")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -292,34 +294,50 @@ def _shared_posts(classes: DataFrame) -> DataFrame:
             size = np.diff(np.asarray(first.offsets, np.int64))
             h = np.asarray(first.flatten(), np.int64)
             ids, roots = (np.repeat(np.asarray(b.column(i), np.int64), size) for i in range(2))
+            place = (np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
             part = (h.view(np.uint64) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             there, ends = np.unique(part, return_index=False), np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
             at = pa.array(np.append(ends[there], len(h)).astype(np.int32))
             # a root is sent as its distance from the id, which is mostly none
-            yield pa.RecordBatch.from_arrays([pa.array(there), *[pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (h, ids, roots - ids)]], names=["part", *columns])
+            yield pa.RecordBatch.from_arrays([pa.array(there), *[pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (h, ids, roots - ids, place)]], names=["part", *columns])
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
-        h, ids, roots = (np.concatenate([np.asarray(x, np.int64) for x in g[c]]) for c in columns)
+        h, ids, roots, place = (np.concatenate([np.asarray(x, np.int64) for x in g[c]]) for c in columns)
         roots = roots + ids
         order = np.lexsort((roots, h))
-        h, ids, roots = h[order], ids[order], roots[order]
+        h, ids, roots, place = h[order], ids[order], roots[order], place[order]
         first = np.append(True, h[1:] != h[:-1])
         last = np.append(first[1:], True)
         on = (roots[first] != roots[last])[np.cumsum(first) - 1]
-        return pd.DataFrame({"h": h[on], "id": ids[on], "root": roots[on]})
+        return pd.DataFrame({"h": h[on], "id": ids[on], "root": roots[on], "place": place[on]})
 
-    packed = classes.select("id", "root", "prefix").mapInArrow(pack, "part long, h array<long>, id array<long>, root array<long>")
-    return packed.groupBy("part").applyInPandas(meet, "h long, id long, root long")
+    packed = classes.select("id", "root", "prefix").mapInArrow(pack, "part long, h array<long>, id array<long>, root array<long>, place array<int>")
+    return packed.groupBy("part").applyInPandas(meet, "h long, id long, root long, place int")
+
+
+def _met(kept: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, root_u, root_v) of the classes of several roots that share a shingle of kept early enough to be similar.
+
+    What two sets share comes at or after the first shingle in the common order that they
+    share, so after its place each must have enough left.  The smaller set, u, needs
+    the more of its own, so fewer of its shingles count.
+    """
+    share = similarity / (1 + similarity)
+    posts = kept.join(classes.select("id", "n"), "id")
+    other = posts.select("h", F.col("id").alias("v"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+    smaller = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("v")))
+    need = share * (F.col("n") + F.col("n2")) - 1e-6
+    enough = (F.col("n") - F.col("place") >= need) & (F.col("n2") - F.col("place2") >= need) & (F.col("n") >= similarity * F.col("n2"))
+    early = posts.filter(F.col("n") - F.col("place") >= 2 * share * F.col("n") - 1e-6)
+    met = early.join(other, "h").filter((F.col("root") != F.col("root2")) & smaller & enough)
+    return met.select(F.col("id").alias("u"), "v", F.col("root").alias("root_u"), F.col("root2").alias("root_v")).distinct()
 
 
 def _beyond(docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Edges (u, v) between the roots of classes (id, n, odd, prefix, root) whose exact Jaccard similarity is enough; one for each two roots, however many classes link them."""
     kept = cut(_shared_posts(classes), "dedup-posts")
-    posts = kept.join(classes.select("id", "n"), "id")
-    other = posts.select("h", F.col("id").alias("v"), F.col("root").alias("root2"), F.col("n").alias("n2"))
-    sized = F.least("n", "n2") >= similarity * F.greatest("n", "n2")
-    pairs = posts.join(other, "h").filter((F.col("root") < F.col("root2")) & sized).select(F.col("id").alias("u"), "v", F.col("root").alias("root_u"), F.col("root2").alias("root_v")).distinct()
+    pairs = _met(kept, classes, similarity)
     sketch = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("odd").alias(f"odd_{k}"))
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +351,7 @@ def _beyond(docs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
     sets = _sets(docs, tested.select(F.col("u").alias("id")).union(tested.select("v")))
     met = tested.join(sets.select(F.col("id").alias("u"), "s"), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("s2")), "v")
     met = met.select("root_u", "root_v", F.size(F.array_intersect("s", "s2")).alias("common"), (F.size("s") + F.size("s2")).alias("total"))
-    links = cut(met.filter(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select(F.col("root_u").alias("u"), F.col("root_v").alias("v")).distinct(), "dedup-far")
+    links = cut(met.filter(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select(F.least("root_u", "root_v").alias("u"), F.greatest("root_u", "root_v").alias("v")).distinct(), "dedup-far")
     discard(kept, tested, sets)
     return links
 
