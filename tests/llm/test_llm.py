@@ -879,3 +879,16 @@ def test_pipeline_stages(spark, tmp_path):
             assert bag(out, *docs.columns) == bag(at, *docs.columns)
             assert out.select("shard", "shard_rows").distinct().agg(F.sum("shard_rows")).first()[0] == at.count()
         at = out
+
+
+def test_token_files_part_words_as_the_tokenizer_does(spark):
+    """Texts of letters, marks, digits, signs and blanks in any order, among them a letter whose small form has a mark that joins what follows."""
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    t = Tokenizer.from_file(path)
+    some = ["a", "B", "É", "é", "ß", "ñ", "×", "÷", "İ", "ı", "ǅ", "ȿ", "́", "—", "日", "ª", "\xa0", "\x85", "'", "'s", "'LL", ",", ".", "$$", "<", "<|", "<|endoftext|>", "22", "²", "\x01", "\x1c", "\x7f", " ", "\n", "\r\n", "\U0001f600", "-"]
+    texts = ["İ, İ$", "", " \n"] + ["".join(rng.choices(some, k=rng.randrange(12))) for _ in range(3000)]
+    got = tokenbin.read(tokenbin.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)).orderBy("doc_id").collect()
+    want = [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]

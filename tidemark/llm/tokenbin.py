@@ -35,12 +35,14 @@ vocabulary with ids of 65,536 or more is refused.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,7 +86,8 @@ class Mixer:
         weight = max(1, min(COUNT, ((1 << FLOOR) - self.alphabet) // max(1, int(self.seen.sum()))))
         self.below = np.zeros(self.alphabet + 1, U64)
         np.cumsum((self.seen * weight + 1).astype(U64), out=self.below[1:])
-        self.total, self.lookup = self.below[-1], None
+        self.below = (self.below << U64(FLOOR)) // self.below[-1]  # sums to a power of two; still every id has some, as there is no more than that to begin with
+        self.lookup = None
 
     def predict(self, m: int) -> None:
         """What the first m lanes expect: ids a and b, and the weights of a, b and order 0."""
@@ -100,7 +103,7 @@ class Mixer:
 
     def _zero(self, x: np.ndarray, w0: np.ndarray) -> np.ndarray:
         """Order 0's weight of all ids below x."""
-        return w0 * self.below.take(x) // self.total
+        return (w0 * self.below.take(x)) >> U64(FLOOR)
 
     def span(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(weight of all ids below x, weight of x) in each lane."""
@@ -119,19 +122,20 @@ class Mixer:
         start, end = self._zero(a, w0) + w1 * (b < a), self._zero(a + 1, w0) + w2 + w1 * ~less
         start_b, end_b = self._zero(b, w0) + w2 * less, self._zero(b + 1, w0) + w1 + w2 * (a <= b)
         in_b = (v >= start_b) & (v < end_b)
-        rest = np.nonzero(~in_b & ((v < start) | (v >= end)))[0]
-        beyond = w2[rest] * (v[rest] >= end[rest]) + w1[rest] * (v[rest] >= end_b[rest])
+        rest = np.flatnonzero(~in_b & ((v < start) | (v >= end)))
+        y = v.take(rest)
+        beyond = w2.take(rest) * (y >= end.take(rest)) + w1.take(rest) * (y >= end_b.take(rest))
         x, start, end = np.where(in_b, b, a), np.where(in_b, start_b, start), np.where(in_b, end_b, end)
         if len(rest):
-            w = w0[rest]
-            x[rest] = found = self._rank(((v[rest] - beyond + U64(1)) * self.total - U64(1)) // w)
+            w = w0.take(rest)
+            x[rest] = found = self._rank((((y - beyond + U64(1)) << U64(FLOOR)) - U64(1)) // w)
             start[rest], end[rest] = self._zero(found, w) + beyond, self._zero(found + 1, w) + beyond
         return x, start, end - start
 
     def _rank(self, y: np.ndarray) -> np.ndarray:
         """The id whose counts hold y: a lookup by y's upper bits is right or just below for all but rare ids, which are searched."""
         if self.lookup is None:
-            self.shift = U64(max(0, int(self.total).bit_length() - LOOKUP))
+            self.shift = U64(FLOOR - LOOKUP)
             edges = (self.below + ((U64(1) << self.shift) - U64(1))) >> self.shift
             self.lookup = np.repeat(np.arange(self.alphabet), np.diff(edges.astype(I64)))
             self.lookup = np.concatenate([[0], self.lookup])  # place k + 1: the last id that begins at or before k's start
@@ -148,7 +152,7 @@ class Mixer:
         is_a, is_b = self.a == x, self.b == x
         kind = np.where(is_a, 0, 2 - is_b)
         self.right += np.bincount(self.state * 3 + kind, minlength=self.right.size).reshape(self.right.shape)
-        self.fresh.append(x[kind == 2])
+        self.fresh.append(x.take(np.flatnonzero(kind == 2)))
         for table, slot, held, sure, hit in zip(self.tables, self.slots, (self.a, self.b), self.sure, (is_a, is_b), strict=True):
             kept = np.where(hit | (sure > 1), held, x)
             table[slot] = kept | NEXT.take(sure + hit * (SURE + 1))  # of lanes with one slot the last one counts
@@ -157,7 +161,7 @@ class Mixer:
         self.step += 1
         if self.step >= self.due:
             self._recount()
-            self.due = self.step + min(8, 1 + self.step // 4)
+            self.due = self.step + min(16, 1 + self.step // 4)
 
 
 def _lanes(n: int) -> tuple[int, np.ndarray]:
@@ -265,17 +269,32 @@ def read_chunk(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if x else d for x, d in zip(null.tolist(), doc_ids.tolist(), strict=True)], lengths, np.concatenate(ids)
 
 
+#: Small letters alone, of ASCII and Latin-1: no normalising changes them.
+_small = re.compile(rb"(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+").fullmatch
+
+
+def _kinds() -> bytes:
+    """What a byte is for parting words: 0 white space, 1 of a letter, 2 digit, 3 punctuation, 4 of anything that leaves its word whole."""
+    kinds = np.full(256, 4, np.uint8)
+    kinds[list(b" \t\n\v\f\r")] = 0
+    kinds[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = 1  # with the following bytes of Latin letters up to U+023F
+    kinds[48:58] = 2
+    kinds[list(Words.EDGE)] = 3
+    return kinds.tobytes()
+
+
 class Words:
     """Lower-cased words and their ids as bytes.
 
     The tokenizer drops white space and never joins across it, so words are encoded on
-    their own, each once.  Its pattern parts letters from punctuation, so letters with
+    their own, each once.  Its pattern parts letters, digits and punctuation, so words of
+    ASCII and Latin letters are parted before they are looked up; in others letters with
     ASCII punctuation before or after them are encoded as two or three pieces.
     """
 
     LIMIT = 500_000
-    #: Bytes of texts that are remembered.
-    COPIES = 24_000_000
+    #: Bytes of texts that are worked in one go.
+    BYTES = 8_000_000
     #: ASCII punctuation without the apostrophe, which can begin a piece with letters in it.
     EDGE = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -283,10 +302,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.ids, self.older = Tokenizer.from_str(spec), {}, {}
-        # runs of a-z need no normalising and are parted by blanks alone; this reads them faster, once it has been seen to read some alike
+        # runs of small Latin letters need no normalising and are parted by blanks alone; this reads them faster, once it has been seen to read some alike
         bare = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.bare = Tokenizer.from_str(json.dumps(json.loads(spec) | {"normalizer": None, "pre_tokenizer": bare, "added_tokens": []}))
-        self.trusted, self.copies, self.held = None, {}, 0
+        self.trusted, self.kinds = None, _kinds()
         self.ends = np.zeros(1 << 16, bool)  # ids that end a piece
         for token, i in self.tokenizer.get_vocab().items():
             if i >= 1 << 16:
@@ -294,8 +313,8 @@ class Words:
             self.ends[i] = token.endswith("</w>")
 
     def _learn_runs(self, tokenizer, runs: list[bytes]) -> None:
-        """Of letters alone or punctuation alone: encoded a thousand in one go, as the end of each shows."""
-        parts = [runs[i : i + 1000] for i in range(0, len(runs), 1000)]
+        """Of letters alone or punctuation alone: encoded some hundreds in one go, as the end of each shows."""
+        parts = [runs[i : i + 200] for i in range(0, len(runs), 200)]
         for part, e in zip(parts, tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u2")
             ends = np.nonzero(self.ends[ids])[0] + 1
@@ -308,7 +327,7 @@ class Words:
                 at = e
 
     def _trusts(self, plain: list[bytes]) -> bool:
-        """Whether the bare tokenizer reads runs of a-z as the whole one does, tried on the first that come."""
+        """Whether the bare tokenizer reads runs of small letters as the whole one does, tried on the first that come."""
         if self.trusted is None and plain:
             text = b" ".join(plain[:2000]).decode()
             self.trusted = self.bare.encode(text, add_special_tokens=False).ids == self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -327,14 +346,14 @@ class Words:
         for w in again:
             known[w] = older[w]
         new.difference_update(again)
-        plain = {w for w in new if w.isalpha() and w.islower()}  # bytes: a-z alone
+        plain = set(filter(_small, new))
         new -= plain
         runs, others, edged, edges = set(), [], [], []
         for w in new:
             core = w.strip(self.EDGE)
             if not core:
                 runs.add(w)
-            elif not (core.isalpha() or core.decode().isalpha()) or b"<|" in w:
+            elif not (core.isalpha() or core.decode().lower().isalpha()) or b"<|" in w:
                 others.append(w)
             elif len(core) == len(w):
                 runs.add(w)
@@ -343,7 +362,7 @@ class Words:
                 edged.append(w)
                 edges.append((w[:at], core, w[at + len(core) :]))
                 runs.update(edges[-1])
-        plain.update(w for w in runs if w.isalpha() and w.islower())
+        plain.update(filter(_small, runs))
         runs.difference_update(plain, (b"",))
         self._learn_words(others)
         todo = list(plain.difference(known))
@@ -353,21 +372,60 @@ class Words:
         for w, pieces in zip(edged, edges, strict=True):
             known[w] = b"".join(map(known.__getitem__, pieces))
 
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """The ids of each text and END; a copy of a text that was met lately is not encoded again."""
-        new = list(dict.fromkeys(t for t in texts if t not in self.copies))
-        size = sum(map(len, filter(None, new)))
-        if self.held + size > self.COPIES:
-            new, self.copies, self.held = list(dict.fromkeys(texts)), {}, 0
-            size = sum(map(len, filter(None, new)))
-        self.held += size
-        # a text that may hold a special token's string keeps its case, on which that token depends
-        words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in new]
-        self.learn(set().union(*words))
-        end, ids = np.array([END], "<u2").tobytes(), self.ids
-        for t, w in zip(new, words, strict=True):
-            self.copies[t] = np.frombuffer(b"".join(map(ids.__getitem__, w)) + end, "<u2")
-        return [self.copies[t] for t in texts]
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The bytes of texts in runs of white space, letters, punctuation, words left whole, and single digits: the runs, and the first run of each text."""
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        starts = ends[:-1] - ends[0]
+        data = np.frombuffer(bytearray(raw).lower(), np.uint8)
+        angles = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        for i in np.unique(np.searchsorted(starts, angles, "right") - 1).tolist():  # a text that may hold a special token's string keeps its case, on which that token depends
+            at = slice(starts[i], ends[i + 1] - ends[0])
+            data[at] = raw[at]
+        kinds = np.frombuffer(bytearray(data).translate(self.kinds), np.uint8)
+        kinds[angles] = 4
+        lead = np.flatnonzero((data[:-1] == 0xC3) | (data[:-1] == 0xC4))
+        both = data[lead].astype(np.uint16) << 8 | data[lead + 1]
+        kinds[lead[(both == 0xC397) | (both == 0xC3B7) | (both == 0xC4B0)]] = 4  # two signs, and a letter whose small form has a mark
+        cut = np.empty(len(data) + 1, bool)
+        cut[0] = cut[-1] = True
+        odd = np.flatnonzero(kinds == 4)
+        if len(odd):  # words with such bytes are one run each
+            blank = kinds == 0
+            np.not_equal(blank[1:], blank[:-1], out=cut[1:-1])
+            cut[starts] = True
+            edges = np.flatnonzero(cut)
+            word = np.unique(np.searchsorted(edges, odd, "right") - 1)
+            first, sizes = edges[word], edges[word + 1] - edges[word]
+            kinds[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = 4
+        np.not_equal(kinds[1:], kinds[:-1], out=cut[1:-1])
+        cut[:-1] |= kinds == 2
+        cut[starts] = True
+        edges = np.flatnonzero(cut).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        return runs, np.searchsorted(edges, starts)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text (a string array), END included, and the ids of all."""
+        if not len(texts) or not texts.buffers()[2] or not texts.buffers()[2].size:
+            return np.ones(len(texts), np.int64), np.full(len(texts), END, np.uint16)
+        runs, first = self._pieces(texts)
+        runs = runs.dictionary_encode()
+        at, raw = (np.frombuffer(x, t) for x, t in zip(runs.dictionary.buffers()[1:], (np.int32, np.uint8), strict=True))
+        at, raw = at[: len(runs.dictionary) + 1].tolist(), raw.tobytes()
+        known = [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+        self.learn(set(known))
+        found = pa.array([*map(self.ids.__getitem__, known), np.array([END], "<u2").tobytes()], pa.binary())
+        # every text has its runs' places and one of END
+        ends = np.append(first[1:], len(runs))
+        taken = found.take(pa.array(np.insert(np.asarray(runs.indices), ends, len(known))))
+        at = np.frombuffer(taken.buffers()[1], np.int32)[np.append(0, ends + np.arange(1, len(ends) + 1))] >> 1
+        return np.diff(at).astype(np.int64), np.frombuffer(taken.buffers()[2], "<u2", at[-1])
+
+
+def _plain(texts: pa.Array) -> pa.Array:
+    """Texts with 32-bit places and without nulls, whatever string type they came in."""
+    return pc.fill_null(texts, "").cast(pa.string())
 
 
 #: The words that this process knows, by the hash of the tokenizer: a Python worker keeps them from task to task.
@@ -402,14 +460,27 @@ def write(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())], names=["part", "chunk", "n_ids", "payload"])
 
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                s = b.slice(i, 256)
-                for d, x in zip(s.column(0).to_pylist(), words.encode(s.column(1).cast(pa.binary()).to_pylist()), strict=True):
-                    if n and n + len(x) > CHUNK:
+            texts, known = b.column(1), b.column(0)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            i = 0
+            while i < b.num_rows:
+                till = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + words.BYTES, "right")))
+                counts, found = words.encode(_plain(texts.slice(i, till - i)))
+                ends, at = np.cumsum(counts), 0
+                while at < len(counts):
+                    base = ends[at - 1] if at else 0
+                    fit = int(np.searchsorted(ends, base + CHUNK - n, "right"))
+                    if fit <= at and n:
                         yield flush()
                         doc_ids, lengths, ids, n, chunk = [], [], [], 0, chunk + 1
-                    doc_ids.append(d), lengths.append(len(x)), ids.append(x)
-                    n += len(x)
+                        continue
+                    fit = max(fit, at + 1)
+                    doc_ids += known.slice(i + at, fit - at).to_pylist()
+                    lengths += counts[at:fit].tolist()
+                    ids.append(found[base : ends[fit - 1]])
+                    n += int(ends[fit - 1] - base)
+                    at = fit
+                i = till
         if n:
             yield flush()
 
