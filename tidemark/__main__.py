@@ -83,7 +83,7 @@ def evaluate_signals(a) -> dict:
     return {"units": list(report["units"]), "holdout_states": report["holdout_states"]}
 
 
-def evidence(metrics: dict) -> dict[str, decide.SliceEvidence]:
+def slice_evidence(metrics: dict) -> dict[str, decide.SliceEvidence]:
     pair = lambda v: tuple(v) if v else None
     return {s: decide.SliceEvidence(pair(m.get("precision_interval")), pair(m.get("base_rate_interval")), m["requested_review_capacity"], m.get("realized_review_capacity"), m["false_positive_review_cost"], m.get("p_value")) for s, m in metrics.items()}
 
@@ -94,7 +94,7 @@ def verdict(a) -> dict:
     units = r["units"]
     positives = {s: m.get("positive_rows", 0) for s, m in units["shared_address"].items()}
     ready = decide.evidence_ready(positives, len(r["holdout_states"]))
-    decision, signal, reasons = decide.verdict(evidence(units["shared_address"]), evidence(units["address_registration_month_cohort"]), ready)
+    decision, signal, reasons = decide.verdict(slice_evidence(units["shared_address"]), slice_evidence(units["address_registration_month_cohort"]), ready)
     out = {"verdict": decision, "selected_signal": signal, "reason_codes": reasons, "evidence_ready": ready, "training": decide.training_decision(positives["overall"])}
     artifacts.write_report(a.out, out)
     return out
