@@ -142,6 +142,19 @@ def test_rules_estimate_equals_numpy(spark):
     assert (d[:800] < rules.CUTOFF).mean() > 0.99 and (d[800:] > rules.CUTOFF).all()
 
 
+def test_rules_solve_in_few_projections(spark):
+    """What a concentration step solves is a short plan, as the driver plans it every time, with the numbers of numpy."""
+    x = np.random.default_rng(11).integers(-3000, 3000, (40, rules.D))
+    df = spark.createDataFrame([("c", *map(int, r)) for r in x], "cell string, " + ", ".join(f"x{i} long" for i in range(rules.D)))
+    solved = rules._solved(df.groupBy("cell").agg(*rules._moments()))
+    assert len(re.findall(r"\bProject\b", solved._jdf.queryExecution().analyzed().toString())) <= 8
+    got, y = solved.first(), x / rules.UNIT
+    lower = np.linalg.cholesky(np.cov(y.T, bias=True) * rules.CONSISTENT + np.diag(np.array(rules.NOISE) ** 2))
+    assert np.allclose([got[f"c{i}"] for i in range(rules.D)], y.mean(0))
+    assert np.allclose([[got[f"w{i}{j}"] if j <= i else 0.0 for j in range(rules.D)] for i in range(rules.D)], np.linalg.inv(lower))
+    assert np.isclose(got.logdet, 2 * np.log(np.diag(lower)).sum())
+
+
 def plain_mcd(x, start):
     """Concentration steps on a numpy array from (centre, scatter), with the exact h-subset, until it stays."""
     noise, h = np.diag(np.array(rules.NOISE) ** 2), math.ceil(len(x) * rules.H)

@@ -93,35 +93,45 @@ def vector(n=F.col) -> list[Column]:
     return [F.round(c * UNIT).cast("long").alias(f"x{i}") for i, c in enumerate(x)]
 
 
+def _number(x: float) -> str:
+    """x as SQL writes a double."""
+    return f"{x!r}D"
+
+
 def _solved(m: DataFrame) -> DataFrame:
     """From keys, n, sums s<i> and products p<i><j>: centre c<i>, w<i><j> (inverse of the Cholesky factor) and logdet."""
-    n = F.col("n").cast("double")
-    m = m.withColumns({f"c{i}": F.col(f"s{i}") / n / UNIT for i in range(D)})
-    v = lambda i, j: (F.col(f"p{i}{j}") / n / (UNIT * UNIT) - F.col(f"c{i}") * F.col(f"c{j}")) * CONSISTENT
-    return _factored(m.withColumns({f"v{i}{j}": F.greatest(v(i, j), F.lit(0.0)) + NOISE[i] ** 2 if i == j else v(i, j) for i in range(D) for j in range(i + 1)}))
+    m = m.select("*", *[F.expr(f"s{i} / cast(n AS double) / {UNIT} AS c{i}") for i in range(D)])
+    v = lambda i, j: f"(p{i}{j} / cast(n AS double) / {UNIT * UNIT} - c{i} * c{j}) * {_number(CONSISTENT)}"
+    cells = [f"greatest({v(i, j)}, 0D) + {_number(NOISE[i] ** 2)}" if i == j else v(i, j) for i in range(D) for j in range(i + 1)]
+    return _factored(m.select(*[c for c in m.columns if c[0] not in "sp" or c == "start"], F.expr(f"array({', '.join(cells)}) AS v")))
 
 
 def _factored(m: DataFrame) -> DataFrame:
-    keep = [c for c in m.columns if c[0] not in "spv" or c == "start"]
-    total = lambda terms: sum(terms[1:], terms[0]) if terms else F.lit(0.0)
-    for j in range(D):
-        below = total([F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)])
-        m = m.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"v{j}{j}") - below, F.lit(NOISE[j] ** 2 / 4))))
-        m = m.withColumns({f"l{i}{j}": (F.col(f"v{i}{j}") - total([F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)])) / F.col(f"l{j}{j}") for i in range(j + 1, D)})
-    for i in range(D):
-        row = {f"w{i}{j}": -total([F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)]) / F.col(f"l{i}{i}") for j in range(i)}
-        m = m.withColumns(row | {f"w{i}{i}": 1 / F.col(f"l{i}{i}")})
-    return m.select(*keep, *[F.col(f"w{i}{j}") for i in range(D) for j in range(i + 1)], total([2 * F.log(f"l{i}{i}") for i in range(D)]).alias("logdet"))
+    """m with w<i><j> and logdet for its array v, a lower triangle by rows.
+
+    Triangles are arrays that one fold fills, so a plan has three projections for what
+    would be a chain of one a row and column: the driver plans this in every step.
+    """
+    at = lambda i, j: i * (i + 1) // 2 + j
+    cells = [(i, j) for i in range(D) for j in range(i + 1)]
+    steps = ", ".join(f"named_struct('v', {at(i, j)}, 'n', {j}, 'a', {at(i, 0) + 1}, 'b', {at(j, 0) + 1}, 'd', {at(j, j)}, 'least', {_number(NOISE[j] ** 2 / 4)})" for i, j in cells)
+    rest = "v[x.v] - aggregate(zip_with(slice(l, x.a, x.n), slice(l, x.b, x.n), (p, q) -> p * q), 0D, (t, y) -> t + y)"
+    m = m.select("*", F.expr(f"aggregate(array({steps}), cast(array() AS array<double>), (l, x) -> concat(l, array(if(x.d = x.v, sqrt(greatest({rest}, x.least)), ({rest}) / get(l, x.d))))) AS l"))
+    steps = ", ".join(f"named_struct('d', {at(i, i)}, 'a', {at(i, j) + 1}, 'above', cast(array({', '.join(str(at(k, j)) for k in range(j, i))}) AS array<int>))" for i, j in cells)
+    rest = "aggregate(zip_with(slice(l, x.a, size(x.above)), x.above, (p, k) -> p * w[k]), 0D, (t, y) -> t + y)"
+    m = m.select("*", F.expr(f"aggregate(array({steps}), cast(array() AS array<double>), (w, x) -> concat(w, array(if(size(x.above) = 0, 1, -{rest}) / l[x.d]))) AS w"))
+    logdet = " + ".join(f"2 * ln(l[{at(i, i)}])" for i in range(D))
+    return m.select(*[c for c in m.columns if c not in ("v", "l", "w")], *[F.expr(f"w[{at(i, j)}] AS w{i}{j}") for i, j in cells], F.expr(f"{logdet} AS logdet"))
 
 
 def distance() -> Column:
     """Squared Mahalanobis distance of x<i> from c<i> under w<i><j>."""
-    y = [sum((F.col(f"w{i}{j}") * (F.col(f"x{j}") / UNIT - F.col(f"c{j}")) for j in range(1, i + 1)), F.col(f"w{i}0") * (F.col("x0") / UNIT - F.col("c0"))) for i in range(D)]
-    return sum((v * v for v in y[1:]), y[0] * y[0])
+    y = ["(" + " + ".join(f"w{i}{j} * (x{j} / {UNIT} - c{j})" for j in range(i + 1)) + ")" for i in range(D)]
+    return F.expr(" + ".join(f"{v} * {v}" for v in y))
 
 
 def _moments() -> list[Column]:
-    return [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(D) for j in range(i + 1)]]
+    return [F.expr("count(*) AS n"), *[F.expr(f"sum(x{i}) AS s{i}") for i in range(D)], *[F.expr(f"sum(x{i} * x{j}) AS p{i}{j}") for i in range(D) for j in range(i + 1)]]
 
 
 MOMENTS = ("n", *[f"s{i}" for i in range(D)], *[f"p{i}{j}" for i in range(D) for j in range(i + 1)])
@@ -137,8 +147,9 @@ def moments(rows: DataFrame) -> DataFrame:
     plain = _solved(rows.groupBy("cell").agg(*_moments())).withColumn("start", F.lit("moments"))
     mid = rows.groupBy("cell").agg(F.count("*").alias("n"), *[F.expr(f"percentile(x{i}, array(0.25, 0.5, 0.75))").alias(f"r{i}") for i in range(D)])
     spread = lambda i: F.pow((F.col(f"r{i}")[2] - F.col(f"r{i}")[0]) / UNIT / 1.349, 2) + NOISE[i] ** 2
-    mid = mid.withColumns({f"c{i}": F.col(f"r{i}")[1] / UNIT for i in range(D)} | {f"v{i}{j}": spread(i) if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)})
-    mid = _factored(mid.drop(*[f"r{i}" for i in range(D)])).withColumn("start", F.lit("medians"))
+    apart = F.array(*[spread(i) if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)])
+    mid = mid.select("cell", "n", *[(F.col(f"r{i}")[1] / UNIT).alias(f"c{i}") for i in range(D)], apart.alias("v"))
+    mid = _factored(mid).withColumn("start", F.lit("medians"))
     params = cut(plain.unionByName(mid).withColumnRenamed("n", "n_rows"), "mcd-start")
     cells, settled = params.count(), None
     whole = Window.partitionBy("cell", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,8 +158,8 @@ def moments(rows: DataFrame) -> DataFrame:
         bins = near.groupBy("cell", "start", "n_rows", F.floor(8 * F.log2(distance() + 1e-6)).alias("bin")).agg(*_moments())
         room = F.ceil(F.col("n_rows") * H) - F.coalesce(F.sum("n").over(whole), F.lit(0))
         inner = bins.withColumn("room", room).filter("room > 0").withColumn("part", F.least(F.lit(1.0), F.col("room") / F.col("n")))
-        kept = inner.groupBy("cell", "start", "n_rows").agg(*[F.sum(F.round(F.col(c) * F.col("part")).cast("long")).alias(c) for c in MOMENTS])
-        solved = _solved(kept.withColumns({f"m_{c}": F.col(c) for c in MOMENTS})).drop("n")
+        kept = inner.groupBy("cell", "start", "n_rows").agg(*[F.expr(f"sum(cast(round({c} * part) AS bigint)) AS {c}") for c in MOMENTS])
+        solved = _solved(kept.select("*", *[F.expr(f"{c} AS m_{c}") for c in MOMENTS])).drop("n")
         old, params = params, cut(solved.coalesce(4) if cells <= BROADCAST_CELLS else solved, "mcd-step")
         discard(old)
         state = params.agg(F.sum(F.round("logdet", 6).cast("decimal(38,6)"))).first()[0]
@@ -166,13 +177,12 @@ def estimates(rows: DataFrame) -> DataFrame:
 
 def shrunk(groups: DataFrame, found: DataFrame, cells: int) -> DataFrame:
     """groups (cell2, cell1, cell0 from the narrowest to all texts) with the moments of their own cell and PRIOR rows' worth of those above."""
-    side = lambda k: _hint(found.select(F.col("cell").alias(f"cell{k}"), *[F.col(c).cast("double").alias(f"{c}_{k}") for c in MOMENTS]), cells)
+    side = lambda k: _hint(found.selectExpr(f"cell AS cell{k}", *[f"cast({c} AS double) AS {c}_{k}" for c in MOMENTS]), cells)
     j = groups
     for k in range(3):
         j = j.join(side(k), f"cell{k}")
-    wider = {c: F.col(f"{c}_1") + PRIOR * F.col(f"{c}_0") / F.col("n_0") for c in MOMENTS}
-    own = {c: F.col(f"{c}_2") + PRIOR * wider[c] / wider["n"] for c in MOMENTS}
-    return j.select(*groups.columns, *[v.alias(c) for c, v in own.items()])
+    wider = {c: f"({c}_1 + {PRIOR} * {c}_0 / n_0)" for c in MOMENTS}
+    return j.selectExpr(*groups.columns, *[f"{c}_2 + {PRIOR} * {v} / {wider['n']} AS {c}" for c, v in wider.items()])
 
 
 def judged(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
