@@ -688,6 +688,29 @@ def test_substrings(docs, odd, monkeypatch, hot):
         assert bag(fmindex.deduplicated(df), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_removal(df.collect())
 
 
+def test_substrings_of_a_small_table_go_to_few_files(spark, docs, tmp_path, monkeypatch):
+    """However many partitions a shuffle has: each file costs an executor three processes."""
+    files, delete = {}, fmindex.discard
+
+    def counted(*tables):
+        files.update({t.written_path.rsplit("/", 1)[1]: len(t.inputFiles()) for t in tables})
+        delete(*tables)
+
+    monkeypatch.setattr(fmindex, "discard", counted)
+    many = {"spark.sql.shuffle.partitions": "72", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        out = fmindex.deduplicated(docs)
+        assert out.rdd.getNumPartitions() <= 32 and max(files.values()) <= 32, files
+        assert any(k.startswith("fm-runs") for k in files)
+        assert bag(out, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_removal(docs.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_fm_index_matches_brute_force():
     rng = np.random.default_rng(2)
     text = rng.integers(1, 6, 3000).astype(np.int64)

@@ -30,11 +30,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
+def cut(df: DataFrame, tag: str, files: int = 0) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, is computed once.
+
+    files: how many files it is written to at most.  On a local folder Hadoop starts three
+    processes a file to set modes, and each shares the executor's memory until it has begun.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

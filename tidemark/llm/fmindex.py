@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import cut, discard, new_path, remove_path
 
 WINDOW, GRAM, HOT_DOCUMENTS, SHARD_WORDS, PART_BYTES = 13, 6, 2000, 1_500_000, 50_000_000
+#: Files of a table at most, for each PART_BYTES of text.
+PART_FILES = 4
 #: Segments that a task remembers to have written.
 WRITTEN = 500_000
 #: Rows without an id stand from here on, above all ids.
@@ -69,14 +71,17 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def measured(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _parts(docs: DataFrame) -> int:
+    """PART_BYTES of text that docs have, 8 at least."""
+    return max(8, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+
+
+def measured(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """id, row (a hash of the text), doc_id, n_words and whole_sha256 of every row; and (id, anchor) of the anchors that several ids name.
 
     An anchor that two ids of a batch name is marked there, and only its smallest and
     largest id travel on; so a very common anchor costs its part two rows a batch.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, -(-size // PART_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = lambda n: pa.nulls(n, pa.int64())
@@ -260,7 +265,7 @@ def _segments(cand: DataFrame) -> DataFrame:
     return cand.select("id", "row", "words", "shared", "hot").mapInArrow(run, "key long, seg long, id long, row long, start int, segment binary")
 
 
-def _candidates(docs: DataFrame, marks: DataFrame, name: str, path: str) -> DataFrame:
+def _candidates(docs: DataFrame, marks: DataFrame, name: str, path: str, parts: int) -> DataFrame:
     """The rows with shared anchors: id, row, their words joined by one space, shared and hot; a table in buckets of their ids."""
     spark = docs.sparkSession
     hot = marks.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_DOCUMENTS).select("anchor", F.lit(True).alias("hot"))
@@ -275,11 +280,11 @@ def _candidates(docs: DataFrame, marks: DataFrame, name: str, path: str) -> Data
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a row that repeats an id and a text stands once; such rows lose the same
     rows = text.join(lists, "id").dropDuplicates(["id", "row"])
-    rows.write.bucketBy(buckets, "id").option("path", path).option("compression", "zstd").saveAsTable(name)
+    rows.coalesce(PART_FILES * parts).write.bucketBy(buckets, "id").option("path", path).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
-def removals(cand: DataFrame) -> DataFrame:
+def removals(cand: DataFrame, parts: int) -> DataFrame:
     """(id, row, runs) of the rows of cand that lose words: runs of windows (start, n) to remove."""
     segs = cut(_segments(cand), "fm-segments")
     distinct = segs.groupBy("key", "seg").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.first("segment", ignorenulls=True).alias("segment"))
@@ -305,12 +310,12 @@ def removals(cand: DataFrame) -> DataFrame:
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     owned = cut(dealt.groupBy("shard").applyInPandas(shard, "key long, seg long, owner long, at int, n int"), "fm-owned")
     member = segs.select("key", "seg", "id", "row", "start").join(owned, ["key", "seg"]).filter(F.col("owner") < F.least("id", F.lit(NO_ID)))
-    gone = cut(member.groupBy("id", "row").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("start"), "n")).alias("runs")), "fm-runs")
+    gone = cut(member.groupBy("id", "row").agg(F.collect_list(F.struct((F.col("start") + F.col("at")).alias("start"), "n")).alias("runs")), "fm-runs", PART_FILES * parts)
     discard(segs, owned)
     return gone
 
 
-def _changed(cand: DataFrame, gone: DataFrame) -> DataFrame:
+def _changed(cand: DataFrame, gone: DataFrame, parts: int) -> DataFrame:
     """(id, row, n_removed, kept) of the rows that lose words; cand stays in its buckets, and rows that share an id find their own runs by their text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,20 +335,21 @@ def _changed(cand: DataFrame, gone: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["id", "row", "n_removed", "kept"])
 
     by_id = gone.groupBy("id").agg(F.collect_list(F.struct("row", "runs")).alias("of"))
-    return cut(cand.select("id", "row", "words").join(by_id, "id").select("id", "row", "words", "of").mapInArrow(run, "id long, row long, n_removed long, kept string"), "fm-changed")
+    return cut(cand.select("id", "row", "words").join(by_id, "id").select("id", "row", "words", "of").mapInArrow(run, "id long, row long, n_removed long, kept string"), "fm-changed", PART_FILES * parts)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
-    found, marks = measured(docs)
+    parts = _parts(docs)
+    found, marks = measured(docs, parts)
     name, path = f"tidemark_{uuid.uuid4().hex}", new_path(spark, "fm-candidates")
-    cand = _candidates(docs, marks, name, path)
+    cand = _candidates(docs, marks, name, path, parts)
     discard(marks)
-    gone = removals(cand)
-    changed = _changed(cand, gone)
+    gone = removals(cand, parts)
+    changed = _changed(cand, gone, parts)
     spark.sql(f"DROP TABLE {name}")
     remove_path(spark, path)
     discard(gone)
-    out = found.select("id", "row", "doc_id", "n_words", "sha").join(changed, ["id", "row"], "left")
+    out = found.select("id", "row", "doc_id", "n_words", "sha").join(changed, ["id", "row"], "left").coalesce(PART_FILES * parts)
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
