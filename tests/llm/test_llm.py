@@ -658,6 +658,18 @@ def test_chunks_follow_each_other(spark, monkeypatch):
     assert [got[r[:2]] for r in rows] == (np.cumsum(counts) - counts).tolist()
 
 
+def test_white_space_is_not_looked_up():
+    import pyarrow as pa
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = tokenbin.Words(f.read())
+    texts = ["", " ", "a  b\n\nc", "", "\tFu\u00df 12 don't \u6f22 \x0b", " x", "  "]
+    n, ids = words.encode(pa.array(texts))
+    ends = np.cumsum(n).tolist()
+    assert [ids[e - k : e].tolist() for e, k in zip(ends, n.tolist(), strict=True)] == [[*words.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert not [w for w in words.ids if w.strip() != w]
+
+
 # ---- 7
 
 def plain_removal(rows):

@@ -294,7 +294,7 @@ class Words:
 
     LIMIT = 500_000
     #: Bytes of texts that are worked in one go.
-    BYTES = 8_000_000
+    BYTES = 18_000_000
     #: ASCII punctuation without the apostrophe, which can begin a piece with letters in it.
     EDGE = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -373,7 +373,7 @@ class Words:
             known[w] = b"".join(map(known.__getitem__, pieces))
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """The bytes of texts in runs of white space, letters, punctuation, words left whole, and single digits: the runs, and the first run of each text."""
+        """The bytes of texts without white space in runs of letters, punctuation, words left whole, and single digits: the runs, and the first run of each text."""
         ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
         starts = ends[:-1] - ends[0]
@@ -402,8 +402,11 @@ class Words:
         cut[:-1] |= kinds == 2
         cut[starts] = True
         edges = np.flatnonzero(cut).astype(np.int32)
-        runs = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
-        return runs, np.searchsorted(edges, starts)
+        solid = kinds.take(edges[:-1]) != 0
+        first = np.append(0, np.cumsum(solid))[np.searchsorted(edges, starts)]
+        edges = np.append(0, np.cumsum(np.diff(edges)[solid])).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(bytearray(data).translate(None, b" \t\n\v\f\r"))])
+        return runs, first
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text (a string array), END included, and the ids of all."""
@@ -414,8 +417,13 @@ class Words:
         at, raw = (np.frombuffer(x, t) for x, t in zip(runs.dictionary.buffers()[1:], (np.int32, np.uint8), strict=True))
         at, raw = at[: len(runs.dictionary) + 1].tolist(), raw.tobytes()
         known = [raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-        self.learn(set(known))
-        found = pa.array([*map(self.ids.__getitem__, known), np.array([END], "<u2").tobytes()], pa.binary())
+        found = [*map(self.ids.get, known), np.array([END], "<u2").tobytes()]
+        new = [k for k, x in enumerate(found) if x is None]
+        if new:
+            self.learn({known[k] for k in new})
+            for k in new:
+                found[k] = self.ids[known[k]]
+        found = pa.array(found, pa.binary())
         # every text has its runs' places and one of END
         ends = np.append(first[1:], len(runs))
         taken = found.take(pa.array(np.insert(np.asarray(runs.indices), ends, len(known))))
